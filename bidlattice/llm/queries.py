@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sentence_pieces, token_counts, token_files, url_filters
+from . import decontaminate, sentence_pieces, shards, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_files": token_files.op2_token_files,
+    "op3_shards": shards.op3_shards,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
 }
 
-ORACLES = {"op5_url_filters": url_filters.ORACLE}
+ORACLES = {"op3_shards": shards.ORACLE, "op5_url_filters": url_filters.ORACLE}
