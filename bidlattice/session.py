@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,8 +53,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df, name: str):
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What only earlier steps needed, their shuffle files above all, goes as soon as the JVM has collected its garbage."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df) -> None:
+    """Deletes the files of a ``stored`` DataFrame that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/bidlattice-" in folder:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
