@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neighbours, quality, sentence_pieces, shards, token_counts, token_files, url_filters
+from . import decontaminate, neighbours, quality, sentence_pieces, shards, substrings, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_shards": shards.op3_shards,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_quality": quality.op7_quality,
     "op8_neighbours": neighbours.op8_neighbours,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
