@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neighbours, quality, sentence_pieces, shards, substrings, token_counts, token_files, url_filters
+from . import decontaminate, jaccard, neighbours, quality, sentence_pieces, shards, substrings, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_quality": quality.op7_quality,
     "op8_neighbours": neighbours.op8_neighbours,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
 }
 
