@@ -91,24 +91,42 @@ def gather(values: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begins[places], n)], offsets
 
 
-def encoder(tokenizer, separator: str, separator_id: int) -> Callable[[list[str]], list[bytes]]:
+def encoder(tokenizer, separator: str, separator_id: int, word_ends: np.ndarray | None = None) -> Callable[[list[str]], list[bytes]]:
     """Encodes many short pieces in one call of a tokenizers library object: a special token, of which the library
-    encodes both sides apart, stands between them. Pieces that could hold part of a special token go one by one."""
+    encodes both sides apart, stands between them. Pieces that could hold part of a special token go one by one.
+
+    ``word_ends``: for models that drop white space and mark the last token of each word, which ids are marked. Runs
+    of Latin letters are then one word each and need only spaces between them, if as many marks come back."""
+
+    def special(pieces: list[str]) -> list[bytes]:
+        return cut(tokenizer.encode(separator.join(pieces), add_special_tokens=False).ids, lambda ids: np.append(np.flatnonzero(ids == separator_id), len(ids)), 1)
+
+    def cut(ids: list[int], ends, skip: int) -> list[bytes]:
+        ids = np.array(ids, "<u4")
+        ends = ends(ids)
+        begins = np.append(0, ends[:-1] + skip)
+        raw = ids.tobytes()
+        return [raw[b:e] for b, e in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)]
+
+    def spaced(pieces: list[str]) -> list[bytes]:
+        found = cut(tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, lambda ids: np.flatnonzero(word_ends[ids]) + 1, 0)
+        return found if len(found) == len(pieces) else special(pieces)
 
     def encode(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        easy = [i for i, x in enumerate(pieces) if "<|" not in x and "|>" not in x]
-        hard = set(range(len(pieces))).difference(easy)
-        for lo in range(0, len(easy), 4096):
-            some = easy[lo : lo + 4096]
-            ids = np.array(tokenizer.encode(separator.join([pieces[i] for i in some]), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == separator_id), len(ids))
-            begins = np.append(0, ends[:-1] + 1)
-            raw = ids.tobytes()
-            for i, b, e in zip(some, (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
-                out[i] = raw[b:e]
-        for i in hard:
-            out[i] = np.array(tokenizer.encode(pieces[i], add_special_tokens=False).ids, "<u4").tobytes()
+        latin, easy = [], []
+        for i, x in enumerate(pieces):
+            if word_ends is not None and x.strip(" \n").isalpha() and max(x) < "\u0250":
+                latin.append(i)
+            elif "<|" in x or "|>" in x:
+                out[i] = np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                easy.append(i)
+        for places, joined in ((latin, spaced), (easy, special)):
+            for lo in range(0, len(places), 4096):
+                some = places[lo : lo + 4096]
+                for i, b in zip(some, joined([pieces[i] for i in some]), strict=True):
+                    out[i] = b
         return out
 
     return encode

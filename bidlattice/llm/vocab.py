@@ -46,7 +46,12 @@ def fast_table(path: str, lengths: bool = False) -> Table:
     def load():
         tokenizer = fast_tokenizer(path)
         special = next(i for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special)
-        encode = encoder(tokenizer, tokenizer.id_to_token(special), special)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        marked = None
+        if suffix:
+            marked = np.zeros(tokenizer.get_vocab_size(True), bool)
+            marked[[i for t, i in tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
+        encode = encoder(tokenizer, tokenizer.id_to_token(special), special, marked)
         return Table((lambda x: [len(b) >> 2 for b in encode(x)]) if lengths else encode)
 
     return _once(("table", path, lengths), load)
