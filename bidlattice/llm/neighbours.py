@@ -17,10 +17,10 @@ SAMPLE = 16384  # vectors that the tree is fitted on
 BRANCH = 8  # children of a node
 LEAF = 32  # fitted vectors in a leaf, at most
 CALIBRATION = 64  # vectors whose exact neighbours set how many leaves a search visits
-RECALL = 0.97  # that the visited leaves must reach on them
-BLOCK_ROWS = (64, 8192)  # least and most rows of a leaf that one task compares at once
+RECALL = 0.95  # that the visited leaves must reach on them
+BLOCK_ROWS = (64, 8192)  # least and most rows that one task compares at once
 QUERY_ROWS = 8192  # and most queries
-BLOCKS = 4096  # into which a table is divided while blocks may be as small as the least
+BLOCKS = 64  # into which a table is divided while that keeps blocks between those sizes
 
 
 def usable(v: Column) -> Column:
@@ -146,8 +146,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
 
     The tree is fitted on at most SAMPLE vectors, the first in an order of hashes; every row is put in a leaf. The
     number of leaves to visit is the least that reaches ``recall`` on CALIBRATION vectors, whose true neighbours come
-    from comparing all rows. A leaf with many rows, such as copies of one vector, is dealt into blocks, and a block
-    visited by many queries into groups of queries, so no task holds a whole leaf.
+    from comparing all rows. Small leaves share blocks; a leaf with many rows, such as copies of one vector, is dealt
+    into several, and a block visited by many queries meets them in groups, so no task holds more than a block.
     Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids and vectors of
     another length than the sample's most common one. A query is not its own neighbour; rows that share an id are
     candidates each. No usable rows or queries: no rows; fewer than k candidates: all of those found."""
@@ -171,35 +171,69 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(held.value.assign(_matrix(b.column("v"))), pa.int64())], ["vec_id", "v", "leaf"])
 
+    placed = stored(base.mapInArrow(place, "vec_id long, v array<double>, leaf long"), "leaves")
+    counts = np.zeros(tree.n_leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # as many rows as leaves: bounded by the sample
+        counts[r.leaf] = r["count"]
+    first, blocks = _deal(counts)
+    cut = F.broadcast(spark.createDataFrame(list(zip(range(tree.n_leaves), first.tolist(), blocks.tolist(), strict=True)), "leaf long, first int, blocks int"))
+    bins = spark.sparkContext.broadcast((tree, first, blocks))
+
     def route(batches):
+        tree, first, blocks = bins.value
         for b in batches:
-            x = _matrix(b.column("v"))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([held.value.leaves(q, visits) for q in x], pa.list_(pa.int64()))], ["vec_id", "v", "leaves"])
-
-    placed = stored(base.mapInArrow(place, "vec_id long, v array<double>, leaf long"), "leaves")
-    routed = stored(asked.mapInArrow(route, "vec_id long, v array<double>, leaves array<long>").select("vec_id", "v", F.explode("leaves").alias("leaf")), "visits")
-    size = placed.groupBy("leaf").agg(F.count("*").alias("n"))  # as many rows as leaves: bounded by the sample
-    total = placed.count()
-    block = min(max(BLOCK_ROWS[0], total // BLOCKS), BLOCK_ROWS[1])
-    asks = routed.groupBy("leaf").agg(F.count("*").alias("m"))
-    cut = size.join(asks, "leaf").select("leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("groups"))
-    cut = F.broadcast(cut)
-    mine = placed.join(cut, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    theirs = routed.join(cut, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys, columns = ["leaf", "block", "part"], ["leaf", "block", "part", "vec_id", "v"]
+            rows, at, lists = [], [], []
+            for k, q in enumerate(_matrix(b.column("v"))):
+                mine: dict[int, list[int]] = {}
+                for leaf in tree.leaves(q, visits):
+                    for j in range(first[leaf], first[leaf] + blocks[leaf]):
+                        mine.setdefault(int(j), []).append(leaf)
+                rows += [k] * len(mine)
+                at += mine.keys()
+                lists += mine.values()
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(rows), b.column("v").take(rows), pa.array(at, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["vec_id", "v", "block", "leaves"])
+
+    routed = stored(asked.mapInArrow(route, "vec_id long, v array<double>, block int, leaves array<long>"), "visits")
+    asks = F.broadcast(routed.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups")))  # one row a block
+    mine = placed.join(cut, "leaf").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int"))
+    mine = mine.join(asks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    theirs = routed.join(asks, "block").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int"))
+    keys = ["block", "part"]
 
     def compare(q: pa.Table, x: pa.Table) -> pa.Table:
-        if not q.num_rows or not x.num_rows:
-            found = _nearest(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), k)
-        else:
-            q, x = q.combine_chunks(), x.combine_chunks()
-            found = _nearest(_matrix(q["v"].chunk(0)), q["vec_id"].to_numpy(), _matrix(x["v"].chunk(0)), x["vec_id"].to_numpy(), k)
+        out = []
+        if q.num_rows and x.num_rows:
+            x = x.combine_chunks()
+            v, ids, leaf = _matrix(x["v"].chunk(0)), x["vec_id"].to_numpy(), x["leaf"].to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            v, ids, leaf = v[order], ids[order], leaf[order]
+            for own, one, visited in zip(q["vec_id"].to_pylist(), q["v"].to_pylist(), q["leaves"].to_pylist(), strict=True):
+                use = np.isin(leaf, visited)
+                out.append(_nearest(np.array([one]), np.array([own]), v[use], ids[use], k))
+        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    found = theirs.select(columns).groupBy(*keys).cogroup(mine.select(columns).groupBy(*keys)).applyInArrow(compare, _FOUND)
+    theirs, mine = theirs.select(*keys, "vec_id", "v", "leaves"), mine.select(*keys, "vec_id", "v", "leaf")
+    found = theirs.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInArrow(compare, _FOUND)
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def _deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each leaf's first block and number of blocks: neighbouring small leaves share one, a large leaf has several of its own."""
+    most = min(max(BLOCK_ROWS[0], int(counts.sum()) // BLOCKS), BLOCK_ROWS[1])
+    first, blocks, at, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[leaf], blocks[leaf] = at, max(1, -(-n // most))
+        if blocks[leaf] > 1:
+            at, held = at + int(blocks[leaf]), 0
+        else:
+            held += n
+    return first, blocks
+
+
 def _calibrate(base: DataFrame, tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, recall: float) -> int:
     """The least number of leaves whose visit finds ``recall`` of the true neighbours of the given vectors."""
     if tree.n_leaves == 1 or not len(ids):
