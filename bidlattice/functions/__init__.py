@@ -1 +1 @@
-""""""
+"""Pure column functions."""

@@ -1,5 +1,22 @@
 """Registered queries of the graph engine and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.views import Graph
+from ..sources import star
+from . import buyer_queries, competitive_queries
+
 FLAGSHIP = "market_share"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def _on_star(query: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: query(star.graph(spark, folder))
+
+
+_GRAPH = buyer_queries.QUERIES | competitive_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_star(query) for name, query in _GRAPH.items()}
+ORACLES: dict[str, str] = buyer_queries.ORACLES | competitive_queries.ORACLES
