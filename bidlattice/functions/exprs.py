@@ -123,7 +123,7 @@ def opportunity_bucket(value) -> Column:
 
 def months_until(date, as_of: str) -> Column:
     """Days from ``as_of`` to the date's first ten characters, in months of 30.44 days; null for no date."""
-    return rounded(F.datediff(F.try_to_date(F.substring(_c(date), 1, 10), F.lit("yyyy-MM-dd")), F.lit(as_of).cast("date")) / 30.44, 1)
+    return rounded(F.datediff(F.try_to_date(F.substring(_c(date), 1, 10), "yyyy-MM-dd"), F.lit(as_of).cast("date")) / 30.44, 1)
 
 
 def weight(kind) -> Column:
