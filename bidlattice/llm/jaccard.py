@@ -16,7 +16,8 @@ from . import words
 SHINGLE, SIMILARITY = 5, (80, 100)  # unless a caller says otherwise
 GROWTH = (4, 3)  # of one size class's limit to the next
 LIGHT = 0.15  # share of parts that may be too light to be keys
-CHUNK = 1024  # sets of one tree
+CHUNK = 512  # sets of one tree
+BROADCAST_ROWS = 1_000_000  # pairs of integers that a broadcast may hold; beyond it both sides are shuffled
 FAN = 4  # children of a tree's node
 
 
@@ -360,7 +361,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     members = stored(keyed.join(shared, "key").select("key", "set", "lead").distinct(), "candidates")
     stand = base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc"))
     wanted = stored(members.select("set").distinct().join(stand, "set").select("doc", F.col("set").alias("want")), "wanted")
-    chosen = texts.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).join(wanted, "doc")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    chosen = texts.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).join(side, "doc")
     tokens = stored(chosen.select("doc_id", "text", "want").mapInArrow(_tokens(shingle), "set long, n long, tokens binary, map binary").dropDuplicates(["set"]), "tokens")
     first = members.filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct()
     links = _linked(first, tokens, like, "links")
