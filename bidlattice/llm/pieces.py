@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-CACHE_PIECES = 400_000  # distinct pieces of one generation of a worker's table
+CACHE_PIECES = 700_000  # distinct pieces of one generation of a worker's table
 
 _BYTE = np.arange(256)
 #: Bytes that may end a white-space character, or begin one; a cut next to them is left out, which is always safe.
