@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.views import Graph
 from ..sources import star
-from . import buyer_queries, competitive_queries, opportunity_queries
+from . import buyer_queries, company_queries, competitive_queries, opportunity_queries
 
 FLAGSHIP = "market_share"
 
@@ -17,7 +17,7 @@ def _on_star(query: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, folder: query(star.graph(spark, folder))
 
 
-_PARTS = (buyer_queries, competitive_queries, opportunity_queries)
+_PARTS = (buyer_queries, competitive_queries, opportunity_queries, company_queries)
 _GRAPH = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_star(query) for name, query in _GRAPH.items()}
 ORACLES: dict[str, str] = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
