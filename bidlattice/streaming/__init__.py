@@ -1 +1 @@
-""""""
+"""Incremental loads and event streams."""
