@@ -18,7 +18,6 @@ WEIGHTS = {
     "competition": 10, "buyer_attractiveness": 10, "strategic": 10, "workload": 5, "win_probability": 5,
 }
 _BUCKETS = [b for b, _ in X.OPPORTUNITY_BUCKETS]
-_NONE = F.array().cast("array<string>")
 
 
 def taking_part(g: Graph) -> DataFrame:

@@ -54,7 +54,8 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
 def folded(maps: Column) -> Column:
     """Array of (seq, map) to one map: later values win key by key."""
     none = F.create_map().cast("map<string,string>")
-    return F.aggregate(F.array_sort(maps), none, lambda a, x: F.map_zip_with(a, F.coalesce(x.m, none), lambda k, old, new: F.coalesce(new, old)))
+    in_order = F.array_sort(maps, lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0))
+    return F.aggregate(in_order, none, lambda a, x: F.map_zip_with(a, F.coalesce(x.m, none), lambda k, old, new: F.coalesce(new, old)))
 
 
 def _last(value: str, when: Column | None = None) -> Column:

@@ -49,17 +49,20 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known, ["path", "hash"], "left_anti")
 
 
+def _watched(events: DataFrame, lateness: str) -> DataFrame:
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withWatermark("ts", lateness) if events.isStreaming else events
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """(window_start, event_type, events, total) of a stream or table of events; rows later than the watermark are dropped by streams."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+    events = _watched(events, lateness)
     n = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     return n.select(F.col("w.start").alias("window_start"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, events): runs of a user's events without a longer gap."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+    events = _watched(events, lateness)
     n = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return n.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
