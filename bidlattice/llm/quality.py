@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from . import words
 
-LABELLED = 8000  # labelled rows that are fitted on, at most
-POOL = 4000  # rows that may get pseudo-labels, at most
+LABELLED = 6000  # labelled rows that are fitted on, at most
+POOL = 2000  # rows that may get pseudo-labels, at most
 HOLD_OUT = 0.25  # of the labelled rows, for calibration
 ROUNDS = 3
 CONFIDENT = 0.98  # calibrated probability of a class from which a view hands a pseudo-label to the other
@@ -139,14 +139,14 @@ def _fit_view(x, y, weight, hold_x, hold_y, start=None) -> View:
 
 def _choose(rows, buckets, y, n) -> np.ndarray:
     """The buckets whose presence differs most between the classes, by chi-square; sorted."""
-    found, inverse = np.unique(buckets, return_inverse=True)
-    bad = np.bincount(inverse, weights=y[rows].astype(float), minlength=len(found))
-    total = np.bincount(inverse, minlength=len(found))
+    bad = np.bincount(buckets, weights=y[rows].astype(np.float32), minlength=BUCKETS)
+    total = np.bincount(buckets, minlength=BUCKETS)
     share = y.mean()
     expected = total * share
     chi = (bad - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - total / n), 1e-9)
-    best = np.lexsort((found, -chi))[:CHOSEN]
-    return np.sort(found[best]) if len(found) else np.zeros(1, np.int64)
+    best = np.argsort(-chi, kind="stable")[:CHOSEN]
+    best = best[total[best] > 0]
+    return np.sort(best) if len(best) else np.zeros(1, np.int64)
 
 
 def co_train(rows, buckets, numbers, meta_codes, y: np.ndarray) -> Head | float:
@@ -198,9 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     keys = {"doc_id": (doc_id, "string"), "text": (text, "string"), "lang": ("lang", "string"), "source": ("source", "string"), "n_chars": ("n_chars", "double")}
     known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), *[F.expr(e).cast("int").alias(t) for t, e in TARGETS.items()])
     order = [F.xxhash64("id"), "id"]
-    # Twice as many, since some labels may have no document here and some documents drawn for the pool have labels.
-    some = known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]).orderBy(*order).limit(2 * LABELLED)
-    pool = docs.select(F.col(doc_id).cast("string").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(2 * POOL)
+    some = known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]).orderBy(*order).limit(LABELLED)
+    pool = docs.select(F.col(doc_id).cast("string").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(POOL)
     wanted = {r.id: [r[t] for t in TARGETS] for r in some.toLocalIterator()}
     others = [r.id for r in pool.toLocalIterator() if r.id not in wanted]
     ids = docs.sparkSession.createDataFrame([(i,) for i in [*wanted, *others]], "id string")
@@ -213,16 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets, pa.int32()))
             yield pa.RecordBatch.from_arrays([s.ids, lists, pa.array(numbers.tolist(), pa.list_(pa.float32())), pa.array(_meta(s.rows).tolist(), pa.list_(pa.int32()))], ["doc_id", "buckets", "numbers", "meta"])
 
-    mine = _columns(docs, keys).join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")  # ids: 2 * (LABELLED + POOL) at most
+    mine = _columns(docs, keys).join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")  # ids: LABELLED + POOL at most
     got = mine.mapInArrow(run, "doc_id string, buckets array<int>, numbers array<float>, meta array<int>").toArrow().sort_by("doc_id")
     seen = got["doc_id"].to_pylist()
     place = {i: k for k, i in enumerate(seen)}  # of repeated documents one
-    use = [*[place[i] for i in wanted if i in place][:LABELLED], *[place[i] for i in others if i in place][:POOL]]
+    use = [place[i] for i in [*wanted, *others] if i in place]
     got = got.take(pa.array(use, pa.int64())).combine_chunks()
     if not got.num_rows:
         return {t: 0.0 for t in TARGETS}
     sizes = got["buckets"].combine_chunks().value_lengths().to_numpy()
-    rows, buckets = np.repeat(np.arange(len(sizes)), sizes), got["buckets"].combine_chunks().flatten().to_numpy()
+    rows, buckets = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), got["buckets"].combine_chunks().flatten().to_numpy()
     numbers, meta = (np.array(got[c].to_pylist()) for c in ("numbers", "meta"))
     marks = [wanted.get(i) for i in got["doc_id"].to_pylist()]
     out = {}
