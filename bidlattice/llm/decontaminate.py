@@ -167,3 +167,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
     out = hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as t from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+dw as (select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as t from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from iw))),
+hit as (select doc_id, i, dw.k, item_id from dw join iw on dw.k = iw.k and dw.t = iw.t),
+pos as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(i, i + k)) as p from hit) group by 1),
+its as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as s from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(pos.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(pos.n, 0) > 0 as contaminated
+from d left join pos on pos.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
+"""

@@ -384,4 +384,14 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100)).drop("n_links")
+
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[i : i + k - 1], ' ') as t from (select doc_id, w, least(3, len(w)) as k, unnest(range(1, len(w) - least(3, len(w)) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.t = b.t and a.doc_id <> b.doc_id group by 1, 2),
+link as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+reach(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, link.y from reach r join link on link.x = r.other)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(other) from reach r where r.doc_id = d.doc_id) as component_id from d left join n on n.doc_id = d.doc_id
+"""

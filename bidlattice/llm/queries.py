@@ -17,4 +17,10 @@ QUERIES = {
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
 }
 
-ORACLES = {"op3_shards": shards.ORACLE, "op5_url_filters": url_filters.ORACLE}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_shards": shards.ORACLE,
+    "op5_url_filters": url_filters.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
+}

@@ -218,3 +218,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True)
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id, i) as k from win) where k > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from late),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as s, count(*) as n from words anti join gone using (doc_id, p) group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id
+"""
