@@ -18,7 +18,8 @@ from . import pieces, vocab, words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-PART_BYTES = 64 << 20  # of text that go into one pair of files, about
+PART_BYTES = 64 << 20  # of text that go into one part, about
+FILE_BYTES = 128 << 20  # of ids in one file: a part with very many equal ids has several
 
 
 def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -67,8 +68,8 @@ class TokenFiles(NamedTuple):
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> TokenFiles:
-    """Encodes all texts and writes, in ascending id order, ``part-N.bin`` (ids), ``part-N.off`` (64-bit offsets of
-    documents in the part, one more than documents) and ``part-N.doc`` (64-bit ids), then ``manifest.json``.
+    """Encodes all texts and writes, in ascending id order, ``part-N-K.bin`` (ids), ``part-N-K.off`` (64-bit offsets of
+    documents in the file, one more than documents) and ``part-N-K.doc`` (64-bit ids), then ``manifest.json``.
 
     Ids are 16-bit where the vocabulary allows it, else 32-bit. Rows go to parts by quantiles of the id, so the order
     is total without one task seeing all; a part's base is the prefix sum of token counts of the parts before it.
@@ -86,22 +87,23 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: str = "d
 
     def put(batches):
         fs, top = _place(folder)
-        part, ids, keys, ends, n = None, [], [], [0], 0
+        part, file, size, ids, keys, ends = None, 0, 0, [], [], [0]
 
         def flush():
-            name = f"part-{part:08d}"
+            name = f"part-{part:08d}-{file:04d}"
             _put(fs, f"{top}/{name}.bin", ids)
             _put(fs, f"{top}/{name}.off", [np.array(ends, "<i8").tobytes()])
             _put(fs, f"{top}/{name}.doc", [np.array(keys, "<i8").tobytes()])
-            return pa.RecordBatch.from_pydict({"part": [part], "documents": [len(keys)], "tokens": [ends[-1]]}, schema=pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "documents": [len(keys)], "tokens": [ends[-1]]}, schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for b in batches:
             for p, k, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if p != part:
+                if p != part or size > FILE_BYTES:
                     if part is not None:
                         yield flush()
-                    part, ids, keys, ends = p, [], [], [0]
+                    part, file, size, ids, keys, ends = p, file + 1 if p == part else 0, 0, [], [], [0]
                 ids.append(x)
+                size += len(x)
                 keys.append(np.iinfo(np.int64).min if k is None else k)
                 ends.append(ends[-1] + len(x) // np.dtype(dtype).itemsize)
         if part is not None:
@@ -110,8 +112,8 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: str = "d
     fs, top = _place(folder)
     fs.create_dir(top, recursive=True)
     parts, base = [], 0
-    for r in sorted(coded.mapInArrow(put, "part int, documents long, tokens long").collect()):
-        parts.append([f"part-{r.part:08d}", r.documents, r.tokens, base])
+    for r in sorted(coded.mapInArrow(put, "part int, file int, documents long, tokens long").collect()):
+        parts.append([f"part-{r.part:08d}-{r.file:04d}", r.documents, r.tokens, base])
         base += r.tokens
     _put(fs, f"{top}/manifest.json", [json.dumps({"dtype": dtype, "tokens": base, "end_id": end_id, "parts": parts}).encode()])
     return TokenFiles(folder, dtype, parts)

@@ -32,8 +32,9 @@ def test_sentence_pieces_equal_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 500])
-def test_token_files_round_trip(spark, part_bytes):
+@pytest.mark.parametrize(("part_bytes", "file_bytes"), [(1 << 20, 1 << 20), (500, 1 << 20), (1 << 20, 300)])
+def test_token_files_round_trip(spark, monkeypatch, part_bytes, file_bytes):
+    monkeypatch.setattr(token_files, "FILE_BYTES", file_bytes)
     path = vocab.public(token_files.TOKENIZER)
     tokenizer = vocab.fast_tokenizer(path)
     files = token_files.write(documents(spark), path, token_files.END_ID, scratch(spark, "t"), part_bytes=part_bytes)
