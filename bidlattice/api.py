@@ -41,8 +41,8 @@ class Engine:
     def _missing(self, uid: str, kinds: tuple) -> str | None:
         found = store.get(self.g, uid).select("kind").first()
         if found is None:
-            return f"Entity not found: {uid}"
-        return f"{uid} has kind '{found.kind}', expected one of: {', '.join(kinds)}" if kinds and found.kind not in kinds else None
+            return f"no entity {uid}"
+        return f"{uid} is of kind {found.kind}, not {' or '.join(kinds)}" if kinds and found.kind not in kinds else None
 
     def seed(self, uid: str, name: str = "uid") -> DataFrame:
         return self.g.entities.sparkSession.createDataFrame([(uid,)], f"{name} string")

@@ -129,6 +129,7 @@ def _list(*items):
 def recommendation(g: Graph, pairs: DataFrame) -> DataFrame:
     """(company, tender, score, recommendation, why_pursue, why_ignore, next_actions)."""
     out = score(g, pairs).withColumn("recommendation", label())
+    # Limits and texts of the reasons.
     pursue = _list(
         (F.col("capability") >= 0.6, "Strong capability alignment"), (F.col("buyer_history") >= 0.5, "Proven track record with this buyer"),
         (F.col("competition") >= 0.7, "Low competition"), (F.col("strategic") >= 0.6, "High strategic value"),
@@ -179,6 +180,7 @@ def risk(g: Graph, pairs: DataFrame) -> DataFrame:
     """(company, tender, score, overall_risk, risk_factors, mitigations): seven rules; overall is the worst severity."""
     out = score(g, pairs)
     tight = _deadline_risk(_urgency(X.months_until("deadline", g.as_of))) == "high"
+    # Factors, severities and limits.
     rules = [
         ("high_competition", "high", F.col("competition") < 0.4, "Consider a teaming approach"),
         ("capability_gap", "high", F.col("capability") < 0.3, "Bridge capability gaps before submission"),
