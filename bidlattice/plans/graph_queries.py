@@ -57,7 +57,7 @@ GRAPH = {
     "graph_statistics": store.statistics,
     "entities_by_kind": lambda g: g.entities.select("uid", "kind", "name", "canonical_name"),
     "relations_by_kind": lambda g: g.relations.select("id", "source_uid", "target_uid", "kind"),
-    "find_entities": lambda g: store.find(g, "organization", "customer#0000000", None),
+    "find_entities": lambda g: store.find(g, "organization", "customer#0000000", None).select("uid", "name"),
     "glob_entities": lambda g: search.by_glob(g, "*#0000000[0-4]?", "organization").select("uid", "name"),
     "find_by_attribute": lambda g: store.find_by_attribute(g, "category", "1-URGENT", "tender").select("uid"),
     "neighbor_counts": lambda g: traverse.neighbors(g).groupBy("uid", "direction", "relation").agg(F.count("*").alias("n")),
@@ -91,6 +91,7 @@ ORACLES = {
     "graph_statistics": sql("select 'entity' as what, kind, count(*) as n from ent group by 2 union all select 'relation', kind, count(*) from edg group by 2", _E, _R),
     "entities_by_kind": sql("select uid, kind, name, lower(name) as canonical_name from ent", _E),
     "relations_by_kind": sql("select substr(sha256(s || ':' || kind || ':' || t), 1, 16) as id, s as source_uid, t as target_uid, kind from edg", _R),
+    "find_entities": sql("select uid, name from ent where kind = 'organization' and lower(name) like '%customer#0000000%'", _E),
     "glob_entities": sql("select uid, name from ent where kind = 'organization' and name glob '*#0000000[0-4]?'", _E),
     "find_by_attribute": sql("select tender as uid from tf where category = '1-URGENT'"),
     "neighbor_counts": sql("select uid, direction, kind as relation, count(*) as n from adj group by 1, 2, 3", _R, _ADJ),
