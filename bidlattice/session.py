@@ -56,12 +56,13 @@ def stored(df, name: str):
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
     What only earlier steps needed, their shuffle files above all, goes as soon as the JVM has collected its garbage."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
     df.write.parquet(path)
+    del df  # else its shuffle files stay until the next step
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def dropped(df) -> None:
