@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, stored
+from ..session import dropped, prepare, stored
 from . import words
 
 SHINGLE, SIMILARITY = 5, (80, 100)  # unless a caller says otherwise
 GROWTH = (4, 3)  # of one size class's limit to the next
-LIGHT = 0.15  # share of parts that may be too light to be keys
+EXTRA = (1, 5)  # parts beyond those needed, as a share of them: each is one more key that linked sets share
+_LAST = 2**63 - 1
 CHUNK = 512  # sets of one tree
 BROADCAST_ROWS = 1_000_000  # pairs of integers that a broadcast may hold; beyond it both sides are shuffled
 FAN = 4  # children of a tree's node
+TOLD = 500_000  # pairs a task remembers, so as not to name them again
 
 
 class Likeness(NamedTuple):
@@ -48,22 +50,21 @@ def limits(like: Likeness, size: int) -> list[int]:
 
 
 def parts(like: Likeness, upper: int) -> tuple[int, int, int]:
-    """(number of parts, spare parts, least elements of a key's part) for sets of at most ``upper`` elements.
-
-    Linked sets have at most d elements apart, so with d + 1 + t parts they agree on t + 1 or more. If one of them has
-    at most t light parts, some part they agree on is heavy, and only heavy parts need to be keys."""
-    need = like.differ(2 * upper) + 1
-    for least in (4, 3, 2):
-        n = need
-        for _ in range(20):
-            mean = upper * GROWTH[1] / GROWTH[0] / n
-            light = math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
-            n, before = need + math.ceil(1.3 * n * light), n
-            if n == before or n > 2 * need + 8:
-                break
-        if light <= LIGHT and n <= 2 * need:
-            return n, n - need, least
-    return need, 0, 1
+    """(number of parts, empty parts that are passed over, keys a set must share) for sets of at most ``upper`` elements.
+
+    Linked sets have at most d elements apart, so with d + 1 + t + s parts they agree on t + 1 + s or more. If one of them
+    has at most t empty parts, they share s + 1 keys of parts with elements. A set that shares fewer keys with all others
+    together has no link, which rules out most sets that have a common line or passage and nothing else."""
+    least = like.differ(2 * upper) + 1
+    if least == 1:
+        return 1, 0, 1  # only equal sets are linked, and those are one set
+    spare = least * EXTRA[0] // EXTRA[1]
+    n = least + spare
+    for _ in range(20):
+        n, before = least + spare + math.ceil(1.3 * n * math.exp(-upper * GROWTH[1] / GROWTH[0] / n)), n
+        if n == before or n > 2 * (least + spare):
+            break
+    return n, n - least - spare, 1 + spare
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -72,33 +73,33 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(words.grams(hashes, min(k, n))) if n else np.zeros(0, np.uint64)
 
 
-def keys(tokens: np.ndarray, like: Likeness, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate keys of a set, and whether each is of its own size class: linked sets that differ share a key that is
-    of the own class of the larger, at least."""
+def keys(tokens: np.ndarray, like: Likeness, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate keys of a set, whether each is of its own size class, and how many of that class a linked set shares:
+    linked sets that differ share so many that are of the own class of the larger."""
     n = len(tokens)
     at = known.setdefault("limits", limits(like, 1 << 40))
     own = int(np.searchsorted(at, n))
-    out, home = [], []
+    out, home, need = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
     for c in (own, own + 1):
         if c > own and like.largest(n) <= at[own]:
             break
         if c not in known:
             known[c] = parts(like, at[c])
-        m, spare, least = known[c]
+        m, passed, least = known[c]
         if m == 1:
-            continue  # only equal sets are linked, and those are one set
+            continue
         part = (words.mix(tokens + np.uint64(c)) % np.uint64(m)).astype(np.int64)
         count = np.bincount(part, minlength=m)
         total = np.zeros(m, np.uint64)
         np.add.at(total, part, tokens)
-        use = count >= least
         place = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
-        if (~use).sum() > spare:  # such a set agrees on light parts with sets like it
-            out.append(words.mix(total[~use] + words.mix(place[~use] + np.uint64(1 << 63))))
-            home.append(np.full(len(out[-1]), c == own))
+        use = count > 0
+        if (~use).sum() > passed:  # two such sets may agree on empty parts only
+            use[:] = True
         out.append(words.mix(total[use] + words.mix(place[use])))
         home.append(np.full(len(out[-1]), c == own))
-    return (np.concatenate(out), np.concatenate(home)) if out else (np.zeros(0, np.uint64), np.zeros(0, bool))
+        need.append(np.full(len(out[-1]), least))
+    return np.concatenate(out), np.concatenate(home), np.concatenate(need)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -205,16 +206,16 @@ def _base(k: int):
 
 
 def _keyed(k: int, like: Likeness):
-    """(key, set, home): each distinct set of a slice of texts once."""
+    """(key, set, home, need): each distinct set of a slice of texts once."""
 
     def run(batches):
         known: dict = {}
         now, seen, out = None, set(), []
 
         def flush():
-            names = ["key", "set", "home"]
-            sizes = [len(x) for _, x, _ in out]
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate([x for _, x, _ in out])), pa.array(np.repeat(np.array([c for c, *_ in out], np.int64), sizes)), pa.array(np.concatenate([h for *_, h in out]))], names)
+            sets, own, home, need = zip(*out, strict=True)
+            columns = [_signed(np.concatenate(own)), pa.array(np.repeat(np.array(sets, np.int64), [len(x) for x in own])), pa.array(np.concatenate(home)), pa.array(np.concatenate(need).astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "set", "home", "need"])
 
         for s, _, c, tokens in _sets(batches, k):
             if s is not now:
@@ -230,17 +231,45 @@ def _keyed(k: int, like: Likeness):
     return run
 
 
-def _tokens(k: int):
-    """(set, n, tokens, map) of texts that stand for their set: rows carry the set's id as ``want``."""
+def _content(k: int, whole: bool):
+    """Of texts that stand for their set (rows carry the set's id as ``want``): (set, tokens), or (set, n, map, sketch): bitmaps of eight bits or more a token, and of one or more."""
 
     def run(batches):
         for s, row, c, tokens in _sets(batches, k):
             if c == s.rows.column("want")[row].as_py():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([tokens.tobytes()], pa.binary()), pa.array([bitmap(tokens).tobytes()], pa.binary())], ["set", "n", "tokens", "map"])
+                out = {"set": pa.array([c], pa.int64())}
+                if whole:
+                    out["tokens"] = pa.array([tokens.tobytes()], pa.binary())
+                else:
+                    bits = bitmap(tokens)
+                    out |= {"n": pa.array([len(tokens)], pa.int64()), "map": pa.array([bits.tobytes()], pa.binary()), "sketch": pa.array([fold(bits, len(bits) // 8).tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, lead): keys of several sets, one of them at least of the key's own class, and the smallest of them."""
+    found = keyed.groupBy("key").agg(F.min("set").alias("lead"), F.max("set").alias("other"), F.max("home").alias("home"))
+    return found.filter("lead <> other and home").select("key", "lead")
+
+
+class _Reader:
+    """Reads sets again from one text of each, where they are needed: texts filtered before any Python."""
+
+    def __init__(self, texts: DataFrame, base: DataFrame, k: int):
+        self.texts, self.k = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))), k
+        self.stand = stored(base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc")), "stand")
+        self.repeats = base.count() > base.select("doc_id").distinct().count()
+
+    def read(self, sets: DataFrame, name: str, whole: bool) -> DataFrame:
+        wanted = stored(sets.distinct().join(self.stand, "set").select("doc", F.col("set").alias("want")), f"{name}-wanted")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        schema = "set long, tokens binary" if whole else "set long, n long, map binary, sketch binary"
+        found = self.texts.join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(self.k, whole), schema)
+        return stored(found.dropDuplicates(["set"]) if self.repeats else found, name)
+
+
 def _verify(like: Likeness):
     """Of rows (a, b, ta, tb) those whose sets are linked."""
 
@@ -256,26 +285,57 @@ def _verify(like: Likeness):
     return run
 
 
-def _linked(pairs: DataFrame, tokens: DataFrame, like: Likeness, name: str) -> DataFrame:
+def _possible(like: Likeness):
+    """Of rows (a, b, na, nb, sa, sb) the pairs that sizes and short bitmaps leave possible."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True):
+                ok = like.linked(na, nb, min(na, nb))
+                if ok:
+                    x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
+                    least = min(len(x), len(y))
+                    x, y = fold(x, least), fold(y, least)
+                    spare = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+                    ok = like.linked(na, nb, min(na, nb, int(np.bitwise_count(x & y).sum()) + spare))
+                keep.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, reader: _Reader, like: Likeness, name: str) -> DataFrame:
+    """The linked pairs: short bitmaps first rule out most of the others, then the sets themselves are compared."""
+    short = lambda x: sketches.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    likely = pairs.join(short("b"), "b").join(short("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = stored(likely.mapInArrow(_possible(like), "a long, b long"), f"{name}-likely")
+    tokens = reader.read(pairs.select(F.explode(F.array("a", "b")).alias("set")), f"{name}-tokens", True)
     left = stored(pairs.join(tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b"), f"{name}-half")
     both = left.join(tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(like), "a long, b long"), name)
+    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(like), "a long, b long"), name)
+    dropped(left)
+    dropped(tokens)
+    return out
 
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """(set, root) of each linked set: root is the smallest id it reaches.
 
-    Alternates large-star and small-star steps until nothing changes; each step is stored, and a set with very many
-    links only meets its minimum in joins that split skew."""
+    Alternates large-star and small-star steps until nothing changes, and stores the edges after each round. Minima meet
+    the edges by broadcast while there are at most BROADCAST_ROWS edges; beyond that both are stored and shuffled, so
+    that a set with very many links is split."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     before = None
     while True:
+        few = edges.count() <= BROADCAST_ROWS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, name)
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(F.broadcast(least) if few else stored(least, name), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = large if few else stored(large, name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = least if few else stored(least, name)
+        small = large.join(F.broadcast(least) if few else least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -302,14 +362,18 @@ def _trees(like: Likeness):
         return sets[side == 0][i], sets[side == 1][j]
 
     def run(batches):
-        group, held = None, []
+        group, held, told = None, [], set()
 
         def flush():
             least = min(len(r[1]) for r in held)
             maps = np.array([fold(np.frombuffer(r[1], np.uint8), least) for r in held])
             sets, sizes, parts, side = (np.array([r[k] for r in held], np.int64) for k in (0, 2, 3, 4))
             a, b = one((sets, maps, sizes, np.unique(parts, return_inverse=True)[1], side))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            new = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) - told  # other keys name the same pairs
+            if len(told) > TOLD:
+                told.clear()
+            told.update(new)
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([y for _, y in new], pa.int64())})
 
         for batch in batches:
             for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "map", "n", "component", "side")], strict=True):
@@ -324,7 +388,7 @@ def _trees(like: Likeness):
     return run
 
 
-def _rest(members: DataFrame, roots: DataFrame, tokens: DataFrame, like: Likeness) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) of sets that share a key, are not yet in one component, and that no tree rules out."""
     named = stored(members.join(roots, "set", "left").select("key", "set", F.coalesce("root", "set").alias("component")), "members")
     groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
@@ -333,7 +397,7 @@ def _rest(members: DataFrame, roots: DataFrame, tokens: DataFrame, like: Likenes
     mine = named.join(groups, "key").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(o < F.col("chunk"), 1).otherwise(0).alias("side")))
     mine = mine.withColumn("pair", F.explode(pairs)).select(F.col("key").alias("group"), "pair.*", "set", "component")
-    rows = mine.join(tokens.select("set", "n", "map"), "set").select("group", "i", "j", "set", "map", "n", "component", "side")
+    rows = mine.join(sketches.select("set", "n", "map"), "set").select("group", "i", "j", "set", "map", "n", "component", "side")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
     return rows.mapInArrow(_trees(like), "a long, b long").distinct()
 
@@ -343,7 +407,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     Jaccard similarity is at least num / den; component_id is the smallest doc_id reached by links or equal sets.
 
     1. Equal sets become one (their hash). 2. Each set's elements are dealt into more parts than linked sets can differ
-    in, so linked sets agree on a part, which is a key; keys met by one set only fall away before anything else moves.
+    in, so linked sets agree on some parts, which are keys; keys met by one set only fall away before anything else moves,
+    and so do sets that share fewer keys than any linked set does.
     3. Each key's smallest set is compared with its others, and links make components. 4. Keys whose sets are still in
     several components grow signature trees, in chunks of CHUNK sets; a dual traversal names the pairs that can be
     linked and are of different components. 5. Those are compared, and all links make the final components.
@@ -355,23 +420,24 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     like = Likeness(*similarity)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = stored(texts.mapInArrow(_base(shingle), "doc_id long, n_shingles long, set long"), "sets")
-    keyed = texts.mapInArrow(_keyed(shingle, like), "key long, set long, home boolean")
-    shared = keyed.groupBy("key").agg(F.min("set").alias("lead"), F.max("set").alias("other"), F.max("home").alias("home"))
-    shared = stored(shared.filter("lead <> other and home").select("key", "lead"), "keys")
-    members = stored(keyed.join(shared, "key").select("key", "set", "lead").distinct(), "candidates")
-    stand = base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc"))
-    wanted = stored(members.select("set").distinct().join(stand, "set").select("doc", F.col("set").alias("want")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    chosen = texts.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).join(side, "doc")
-    tokens = stored(chosen.select("doc_id", "text", "want").mapInArrow(_tokens(shingle), "set long, n long, tokens binary, map binary").dropDuplicates(["set"]), "tokens")
+    keyed = texts.mapInArrow(_keyed(shingle, like), "key long, set long, home boolean, need int")
+    members = keyed.join(stored(_shared(keyed).select("key"), "keys"), "key").distinct()
+    members = stored(members, "members")
+    for _ in range(2):  # what goes may leave others with too few
+        enough = members.groupBy("set", "home").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("set", "home")
+        members = members.join(stored(enough, "enough"), ["set", "home"])
+        members = stored(members.join(stored(_shared(members).select("key"), "keys"), "key"), "members")
+    members = stored(members.join(stored(_shared(members), "keys"), "key").select("key", "set", "lead").distinct(), "candidates")
+    reader = _Reader(texts, base, shingle)
+    sketches = reader.read(members.select("set"), "sketches", False)
     first = members.filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _linked(first, tokens, like, "links")
+    links = _linked(first, sketches, reader, like, "links")
     roots = stored(components(links), "roots")
-    more = _linked(_rest(members.select("key", "set"), roots, tokens, like), tokens, like, "more-links")
+    more = _linked(_rest(members.select("key", "set"), roots, sketches, like), sketches, reader, like, "more-links")
     links = links.unionByName(more)
     roots = stored(components(links.unionByName(roots.select(F.col("set").alias("a"), F.col("root").alias("b")))), "roots")
     counted = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    stand = stored(stand, "stand")
+    stand = reader.stand
     named = roots.join(stand, "set").join(counted, "set", "left")
     named = stored(named.select("set", "root", "doc", "n_links"), "named")
     smallest = stored(named.groupBy("root").agg(F.min("doc").alias("least")), "smallest")
@@ -379,13 +445,14 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     alone = stand.join(named.select("set"), "set", "left_anti").select("set", F.col("doc").alias("least"), F.lit(None).cast("long").alias("n_links"))
     found = stored(linked.unionByName(alone), "found")
     out = base.join(found, "set", "left")
-    component = F.when(F.col("least") == 2**63 - 1, F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
+    component = F.when(F.col("least") == _LAST, F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100)).drop("n_links")
 
+
 ORACLE = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sh as (select distinct doc_id, array_to_string(w[i : i + k - 1], ' ') as t from (select doc_id, w, least(3, len(w)) as k, unnest(range(1, len(w) - least(3, len(w)) + 2)) as i from d where len(w) > 0)),

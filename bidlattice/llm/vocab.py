@@ -52,7 +52,7 @@ def fast_table(path: str, lengths: bool = False) -> Table:
             marked = np.zeros(tokenizer.get_vocab_size(True), bool)
             marked[[i for t, i in tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         encode = encoder(tokenizer, tokenizer.id_to_token(special), special, marked)
-        return Table((lambda x: [len(b) >> 2 for b in encode(x)]) if lengths else encode)
+        return Table(lambda x: [len(b) >> 2 for b in encode(x)], 400_000) if lengths else Table(encode)
 
     return _once(("table", path, lengths), load)
 
@@ -66,6 +66,6 @@ def sentencepiece_model(path: str):
 def sentencepiece_table(path: str) -> Table:
     def load():
         model = sentencepiece_model(path)
-        return Table(lambda x: [np.array(ids, "<u4").tobytes() for ids in model.encode(x, num_threads=1)])
+        return Table(lambda x: [np.array(ids, "<u4").tobytes() for ids in model.encode(x, num_threads=1)], 200_000)
 
     return _once(("sp table", path), load)
