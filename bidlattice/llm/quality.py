@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import dropped, prepare, stored
 from . import words
 
 LABELLED = 6000  # labelled rows that are fitted on, at most
 POOL = 2000  # rows that may get pseudo-labels, at most
-HOLD_OUT = 0.25  # of the labelled rows, for calibration
+HOLD_OUT = 0.25  # of the labelled rows of each class, for calibration
+FEW = 200  # rows of a class, below which calibration is by cross-fitting
+FOLDS = 5
 ROUNDS = 3
 CONFIDENT = 0.98  # calibrated probability of a class from which a view hands a pseudo-label to the other
 TAKE = 0.1  # of the pool that a view may label as one class in a round
@@ -131,12 +133,6 @@ def _meta_matrix(codes):
     return x
 
 
-def _fit_view(x, y, weight, hold_x, hold_y, start=None) -> View:
-    b = logistic(x, y, weight, start, 250 if start is None else 100)
-    c = logistic(_score(hold_x, b)[:, None].astype(np.float32), hold_y, np.ones(len(hold_y)), np.array([1, 0], np.float32))
-    return View(b, float(max(c[0], 0)), float(c[1]))
-
-
 def _choose(rows, buckets, y, n) -> np.ndarray:
     """The buckets whose presence differs most between the classes, by chi-square; sorted."""
     bad = np.bincount(buckets, weights=y[rows].astype(np.float32), minlength=BUCKETS)
@@ -149,43 +145,126 @@ def _choose(rows, buckets, y, n) -> np.ndarray:
     return np.sort(best) if len(best) else np.zeros(1, np.int64)
 
 
-def co_train(rows, buckets, numbers, meta_codes, y: np.ndarray) -> Head | float:
+class Features(NamedTuple):
+    """Features of texts: sorted (row, bucket) pairs as two arrays, numbers about form, codes of metadata."""
+
+    rows: np.ndarray
+    buckets: np.ndarray
+    numbers: np.ndarray
+    meta: np.ndarray
+
+    def take(self, at: np.ndarray) -> Features:
+        starts, ends = np.searchsorted(self.rows, at), np.searchsorted(self.rows, at, "right")
+        counts = ends - starts
+        index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+        return Features(np.repeat(np.arange(len(at)), counts), self.buckets[index], self.numbers[at], self.meta[at])
+
+
+def _split(y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows to fit on and rows to calibrate with, dealt class by class.
+
+    One hold-out where each class has FEW rows; else FOLDS folds, and all rows last, with which a class's only row is
+    calibrated, since no fold can do without it."""
+    classes = [np.flatnonzero(y == c) for c in (0, 1)]
+    every = np.arange(len(y))
+    if min(map(len, classes)) >= FEW:
+        hold = np.concatenate([c[: int(HOLD_OUT * len(c))] for c in classes])
+        return [(np.setdiff1d(every, hold), hold)]
+    holds = [np.concatenate([c[k::FOLDS] for c in classes if len(c) > 1]) for k in range(FOLDS)]
+    return [*((np.setdiff1d(every, h), h) for h in holds if len(h)), (every, np.concatenate([c for c in classes if len(c) == 1] or [every[:0]]))]
+
+
+class _Part:
+    """Rows that one fit sees, rows that it scores for calibration, and the fit's features and weights."""
+
+    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray, train: np.ndarray, hold: np.ndarray):
+        own = labelled.take(train)
+        mean, spread = own.numbers.mean(0), own.numbers.std(0) + 1e-3
+        none = View(np.zeros(1), 0, 0)
+        self.head = Head(_choose(own.rows, own.buckets, y[train], len(train)), mean, spread, none, none, np.zeros(3))
+        self.y, self.weight = y[train], weight[train]
+        self.train, self.hold = self.matrices(own), self.matrices(labelled.take(hold))
+        self.b: dict[str, np.ndarray] = {}
+
+    def matrices(self, f: Features) -> dict[str, np.ndarray]:
+        return {"text": self.head.text_matrix(f.rows, f.buckets, f.numbers), "meta": _meta_matrix(f.meta)}
+
+    def fit(self, name: str, given: Features, what: np.ndarray) -> np.ndarray:
+        """Fits a view on the own rows and pseudo-labelled ones; scores of the rows kept for calibration."""
+        x = np.concatenate([self.train[name], self.matrices(given)[name]])
+        weight = np.append(self.weight, np.full(len(what), PSEUDO_WEIGHT))
+        start = self.b.get(name)
+        self.b[name] = logistic(x, np.append(self.y, what), weight, start, 250 if start is None else 100)
+        return _score(self.hold[name], self.b[name])
+
+
+class Trainer:
+    """Fits, calibrates and combines the two views of one target on labelled rows of both classes."""
+
+    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray):
+        weight = weight / weight.mean()
+        split = _split(y)
+        self.parts = [_Part(labelled, y, weight, *p) for p in split]
+        hold = np.concatenate([h for _, h in split])
+        self.y, self.weight = y[hold], weight[hold]
+        nothing = (labelled.take(np.zeros(0, np.int64)), np.zeros(0))
+        self.given = {"text": nothing, "meta": nothing}
+        self.scores: dict[str, np.ndarray] = {}
+        self.views: dict[str, View] = {}
+
+    def fit(self) -> None:
+        """One round: both views with the rows in ``given``, calibrated by rows that the scoring fit has not seen."""
+        for name, (who, what) in self.given.items():
+            score = self.scores[name] = np.concatenate([p.fit(name, who, what) for p in self.parts])
+            c = logistic(score[:, None].astype(np.float32), self.y, self.weight, np.array([1, 0], np.float32))
+            self.views[name] = View(self.parts[-1].b[name], float(max(c[0], 0)), float(c[1]))
+
+    def head(self) -> Head:
+        logits = np.stack([np.clip(v.slope * self.scores[n] + v.shift, -30, 30) for n, v in self.views.items()], 1).astype(np.float32)
+        combine = logistic(logits, self.y, self.weight, np.array([1, 0.5, 0], np.float32), ridge=1e-3)
+        return self.parts[-1].head._replace(**self.views, combine=combine)
+
+
+def co_train(rows, buckets, numbers, meta_codes, y: np.ndarray, weight: np.ndarray | None = None) -> Head | float:
     """A target's head. ``y``: 1 or 0 for labelled rows, -1 for the pool; without both classes, the share of 1 alone.
 
     In each round each view marks its most confident pool rows and hands them, as pseudo-labels of less weight, to
-    the other view's next fit. Calibration and combination use labelled rows that no fit has seen."""
-    labelled = np.flatnonzero(y >= 0)
-    hold = labelled[: int(HOLD_OUT * len(labelled))]
-    train = labelled[len(hold) :]
-    if min((y[part] == c).sum() for part in (train, hold) for c in (0, 1)) < 2:
-        return float(y[labelled].mean()) if len(labelled) else 0.0
-    mine = np.isin(rows, train)
-    chosen = _choose(rows[mine], buckets[mine], np.maximum(y, 0), len(train))
-    mean, spread = numbers[train].mean(0), numbers[train].std(0) + 1e-3
-    none = View(np.zeros(1), 0, 0)
-    head = Head(chosen, mean, spread, none, none, np.zeros(3))
-    xs = {"text": head.text_matrix(rows, buckets, numbers), "meta": _meta_matrix(meta_codes)}
-    pool = np.flatnonzero(y < 0)
-    given = {"text": (np.zeros(0, np.int64), np.zeros(0)), "meta": (np.zeros(0, np.int64), np.zeros(0))}
-    views: dict[str, View] = {}
-    for _ in range(ROUNDS + 1):
-        for name, x in xs.items():
-            who, what = given[name]
-            at = np.append(train, who)
-            weight = np.append(np.ones(len(train)), np.full(len(who), PSEUDO_WEIGHT))
-            views[name] = _fit_view(x[at], np.append(y[train], what), weight, x[hold], y[hold], views[name].weights if name in views else None)
-        if not len(pool):
-            break
-        most = max(1, int(TAKE * len(pool)))
+    the other view's next fit. Calibration and combination use labelled rows that the scoring fit has not seen.
+    ``weight``: how many labels each row stands for."""
+    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    if len(np.unique(y[known])) < 2:
+        return float(y[known].mean()) if len(known) else 0.0
+    every = Features(rows, buckets, numbers, meta_codes)
+    trainer = Trainer(every.take(known), y[known], np.ones(len(known)) if weight is None else weight[known])
+    trainer.fit()
+    if not len(pool):
+        return trainer.head()
+    unknown, most = every.take(pool), max(1, int(TAKE * len(pool)))
+    xs = trainer.parts[-1].matrices(unknown)
+    for _ in range(ROUNDS):
         for name, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(views[name].logit(xs[name][pool]))
+            p = _sigmoid(trainer.views[name].logit(xs[name]))
             order = np.argsort(p, kind="stable")
             low, high = order[:most], order[-most:]
             low, high = low[p[low] <= 1 - CONFIDENT], high[p[high] >= CONFIDENT]
-            given[other] = (pool[np.append(low, high)], np.append(np.zeros(len(low)), np.ones(len(high))))
-    logits = np.stack([views["text"].logit(xs["text"][hold]), views["meta"].logit(xs["meta"][hold])], 1).astype(np.float32)
-    combine = logistic(logits, y[hold], np.ones(len(hold)), np.array([1, 0.5, 0], np.float32), ridge=1e-3)
-    return head._replace(text=views["text"], meta=views["meta"], combine=combine)
+            trainer.given[other] = (unknown.take(np.append(low, high)), np.append(np.zeros(len(low)), np.ones(len(high))))
+        trainer.fit()
+    return trainer.head()
+
+
+def _draw(known: DataFrame) -> list[tuple[str, list, float]]:
+    """(id, marks, labels that it stands for) of at most LABELLED rows of ``known``: all of the rarer combinations of
+    marks, and of the others equally many, each the first in an order of hashes."""
+    cells = sorted(known.groupBy(*TARGETS).count().collect(), key=lambda r: (r["count"], str(r)))
+    out, left = [], LABELLED
+    for k, cell in enumerate(cells):
+        quota = min(cell["count"], left // (len(cells) - k))
+        left -= quota
+        mine = known.filter(F.expr(" and ".join(f"{t} <=> {'null' if cell[t] is None else cell[t]}" for t in TARGETS)))
+        if quota < cell["count"]:
+            mine = mine.orderBy(F.xxhash64("id"), "id").limit(quota)
+        out += [(r.id, [r[t] for t in TARGETS], cell["count"] / quota) for r in mine.toLocalIterator()]
+    return out
 
 
 def _columns(docs: DataFrame, keys: dict) -> DataFrame:
@@ -193,14 +272,14 @@ def _columns(docs: DataFrame, keys: dict) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Head | float]:
-    """A head for each of TARGETS, fitted on at most LABELLED labelled rows and a pool of at most POOL others, each the
-    first in an order of hashes. Labels with null id are left out; of repeated ones the worse counts."""
+    """A head for each of TARGETS, fitted on at most LABELLED labelled rows, drawn by ``_draw``, and a pool of at most
+    POOL others, the first in an order of hashes. Labels with null id are left out; of repeated ones the worse counts."""
     keys = {"doc_id": (doc_id, "string"), "text": (text, "string"), "lang": ("lang", "string"), "source": ("source", "string"), "n_chars": ("n_chars", "double")}
     known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), *[F.expr(e).cast("int").alias(t) for t, e in TARGETS.items()])
-    order = [F.xxhash64("id"), "id"]
-    some = known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]).orderBy(*order).limit(LABELLED)
+    known = stored(known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]), "labels")
     pool = docs.select(F.col(doc_id).cast("string").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(POOL)
-    wanted = {r.id: [r[t] for t in TARGETS] for r in some.toLocalIterator()}
+    wanted = {i: (m, w) for i, m, w in sorted(_draw(known), key=lambda r: r[0])}
+    dropped(known)
     others = [r.id for r in pool.toLocalIterator() if r.id not in wanted]
     ids = docs.sparkSession.createDataFrame([(i,) for i in [*wanted, *others]], "id string")
 
@@ -223,11 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = got["buckets"].combine_chunks().value_lengths().to_numpy()
     rows, buckets = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), got["buckets"].combine_chunks().flatten().to_numpy()
     numbers, meta = (np.array(got[c].to_pylist()) for c in ("numbers", "meta"))
-    marks = [wanted.get(i) for i in got["doc_id"].to_pylist()]
+    marks = [wanted.get(i, ([None] * len(TARGETS), 1)) for i in got["doc_id"].to_pylist()]
+    weight = np.array([w for _, w in marks], float)
     out = {}
     for k, t in enumerate(TARGETS):
-        y = np.array([-1 if m is None or m[k] is None else m[k] for m in marks])
-        out[t] = co_train(rows, buckets, numbers.astype(np.float32), meta, y)
+        y = np.array([-1 if m[k] is None else m[k] for m, _ in marks])
+        out[t] = co_train(rows, buckets, numbers.astype(np.float32), meta, y, weight)
     return out
 
 

@@ -8,6 +8,7 @@ from bidlattice.llm import quality
 from .cases import documents
 
 SF = "/root/testdata/sf0.1"
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -46,3 +47,33 @@ def test_co_training_exchanges_pseudo_labels():
     head = quality.co_train(np.repeat(np.arange(n), 2), buckets.ravel(), np.zeros((n, 6), np.float32), meta, marks)
     p = head.probability(head.text_matrix(np.repeat(np.arange(n), 2), buckets.ravel(), np.zeros((n, 6), np.float32)), quality._meta_matrix(meta))
     assert ((p >= 0.5) == y).mean() > 0.97
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_few_labels_give_models_that_reject(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    heads = quality.fit(docs, labels)
+    assert all(isinstance(h, quality.Head) for h in heads.values())
+    got = quality.score(docs, heads).join(labels, "doc_id")
+    for bad in ("quality = 0", "toxic = 1"):
+        assert got.filter(bad).filter("not keep").count() >= 0.7 * got.filter(bad).count()
+    assert got.filter("quality = 1 and toxic = 0").filter("keep").count() >= 0.95 * got.filter("quality = 1 and toxic = 0").count()
+
+
+def test_every_label_of_a_rare_class_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 40)
+    known = spark.createDataFrame([(str(i), int(i < 5), int(i in (7, 8, 9))) for i in range(1000)], "id string, low_quality int, toxic int")
+    got = quality._draw(known)
+    assert len(got) == 40 and {i for i, m, _ in got if any(m)} == set("0123478" + "9")
+    assert abs(sum(w for _, _, w in got) - 1000) < 1e-6
+
+
+def test_splits_keep_both_classes():
+    import numpy as np
+
+    for ones in (1, 2, 7, 500):
+        y = np.append(np.zeros(500, int), np.ones(ones, int))
+        for train, hold in quality._split(y):
+            assert set(y[train]) == {0, 1}
+        held = np.concatenate([h for _, h in quality._split(y)])
+        assert set(y[held]) == {0, 1} and len(held) == len(set(held))
