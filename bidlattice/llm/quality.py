@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from ..session import dropped, prepare, stored
 from . import words
 
-LABELLED = 6000  # labelled rows that are fitted on, at most
-POOL = 2000  # rows that may get pseudo-labels, at most
+LABELLED = 8000  # labelled rows that are fitted on, at most
+POOL = 4000  # rows with pseudo-labels in a round, at most: a quarter for each view and class
 HOLD_OUT = 0.25  # of the labelled rows of each class, for calibration
 FEW = 200  # rows of a class, below which calibration is by cross-fitting
 FOLDS = 5
 ROUNDS = 3
 CONFIDENT = 0.98  # calibrated probability of a class from which a view hands a pseudo-label to the other
-TAKE = 0.1  # of the pool that a view may label as one class in a round
 PSEUDO_WEIGHT = 0.5
 BUCKETS = 1 << 20  # of hashed text features
 CHOSEN = 256  # text features that tell a target's classes apart best
@@ -30,17 +29,23 @@ TARGETS = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 _NUMBERS = 6
 
 
-def text_features(s: words.Words, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def text_features(s: words.Words, raw: np.ndarray, offsets: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the set of hashed features (sorted (text, bucket) codes as two arrays) and numbers about its form.
 
-    Features are its lower-cased words, their first four and five and last two and three bytes."""
+    Features are its lower-cased words, their first four and five and last two and three bytes; with
+    ``use``, a mask of buckets, those in it alone."""
     n = len(offsets) - 1
     whole = words.word_hashes(s)
     parts = [whole]
     parts += [words.word_hashes(s._replace(ends=np.minimum(s.ends, s.starts + k))) + np.uint64(k) for k in (4, 5)]
     parts += [words.word_hashes(s._replace(starts=np.maximum(s.starts, s.ends - k))) + np.uint64(k << 8) for k in (2, 3)]
     text = np.repeat(np.arange(n), np.diff(s.bounds))
-    codes = np.unique(np.concatenate([text * BUCKETS + (words.mix(p) % np.uint64(BUCKETS)).astype(np.int64) for p in parts])) if len(whole) else np.zeros(0, np.int64)
+    found = []
+    for p in parts:
+        bucket = (words.mix(p) % np.uint64(BUCKETS)).astype(np.int64)
+        at = slice(None) if use is None else use[bucket]
+        found.append(text[at] * BUCKETS + bucket[at])
+    codes = np.unique(np.concatenate(found)) if len(whole) else np.zeros(0, np.int64)
     count = np.diff(s.bounds)
     size = np.maximum(np.diff(offsets), 1)
 
@@ -198,6 +203,14 @@ class _Part:
         return _score(self.hold[name], self.b[name])
 
 
+def _confident(head: Head, f: Features) -> dict[tuple[str, int], np.ndarray]:
+    out = {}
+    for name, view, x in (("text", head.text, head.text_matrix(f.rows, f.buckets, f.numbers)), ("meta", head.meta, _meta_matrix(f.meta))):
+        p = _sigmoid(view.logit(x))
+        out[name, 0], out[name, 1] = np.flatnonzero(p <= 1 - CONFIDENT), np.flatnonzero(p >= CONFIDENT)
+    return out
+
+
 class Trainer:
     """Fits, calibrates and combines the two views of one target on labelled rows of both classes."""
 
@@ -207,8 +220,8 @@ class Trainer:
         self.parts = [_Part(labelled, y, weight, *p) for p in split]
         hold = np.concatenate([h for _, h in split])
         self.y, self.weight = y[hold], weight[hold]
-        nothing = (labelled.take(np.zeros(0, np.int64)), np.zeros(0))
-        self.given = {"text": nothing, "meta": nothing}
+        self.nothing = (labelled.take(np.zeros(0, np.int64)), np.zeros(0))
+        self.given = {"text": self.nothing, "meta": self.nothing}
         self.scores: dict[str, np.ndarray] = {}
         self.views: dict[str, View] = {}
 
@@ -219,6 +232,14 @@ class Trainer:
             c = logistic(score[:, None].astype(np.float32), self.y, self.weight, np.array([1, 0], np.float32))
             self.views[name] = View(self.parts[-1].b[name], float(max(c[0], 0)), float(c[1]))
 
+    def judge(self) -> Head:
+        """The views so far, not combined."""
+        return self.parts[-1].head._replace(**self.views)
+
+    def confident(self, f: Features) -> dict[tuple[str, int], np.ndarray]:
+        """Rows that a view is confident of, for each view and class."""
+        return _confident(self.judge(), f)
+
     def head(self) -> Head:
         logits = np.stack([np.clip(v.slope * self.scores[n] + v.shift, -30, 30) for n, v in self.views.items()], 1).astype(np.float32)
         combine = logistic(logits, self.y, self.weight, np.array([1, 0.5, 0], np.float32), ridge=1e-3)
@@ -228,7 +249,7 @@ class Trainer:
 def co_train(rows, buckets, numbers, meta_codes, y: np.ndarray, weight: np.ndarray | None = None) -> Head | float:
     """A target's head. ``y``: 1 or 0 for labelled rows, -1 for the pool; without both classes, the share of 1 alone.
 
-    In each round each view marks its most confident pool rows and hands them, as pseudo-labels of less weight, to
+    In each round each view marks pool rows that it is confident of and hands them, as pseudo-labels of less weight, to
     the other view's next fit. Calibration and combination use labelled rows that the scoring fit has not seen.
     ``weight``: how many labels each row stands for."""
     known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
@@ -239,15 +260,12 @@ def co_train(rows, buckets, numbers, meta_codes, y: np.ndarray, weight: np.ndarr
     trainer.fit()
     if not len(pool):
         return trainer.head()
-    unknown, most = every.take(pool), max(1, int(TAKE * len(pool)))
-    xs = trainer.parts[-1].matrices(unknown)
+    unknown = every.take(pool)
     for _ in range(ROUNDS):
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(trainer.views[name].logit(xs[name]))
-            order = np.argsort(p, kind="stable")
-            low, high = order[:most], order[-most:]
-            low, high = low[p[low] <= 1 - CONFIDENT], high[p[high] >= CONFIDENT]
-            trainer.given[other] = (unknown.take(np.append(low, high)), np.append(np.zeros(len(low)), np.ones(len(high))))
+        found = trainer.confident(unknown)
+        for other in trainer.given:
+            at = {c: rows[: POOL // 4] for (name, c), rows in found.items() if name != other}
+            trainer.given[other] = (unknown.take(np.append(at[0], at[1])), np.repeat([0.0, 1.0], [len(at[0]), len(at[1])]))
         trainer.fit()
     return trainer.head()
 
@@ -271,44 +289,123 @@ def _columns(docs: DataFrame, keys: dict) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(n) for n, (c, t) in keys.items()])
 
 
+def _used(chosen: list[np.ndarray]) -> np.ndarray:
+    """Mask of the buckets that are in any of the lists."""
+    out = np.zeros(BUCKETS, bool)
+    for c in chosen:
+        out[c] = True
+    return out
+
+
+_FEATURES = "doc_id string, h long, buckets array<int>, numbers array<float>, meta array<int>"
+
+
+def _featured(docs: DataFrame, use: np.ndarray | None = None) -> DataFrame:
+    """_FEATURES of each row; ``h`` hashes all of the row that counts here."""
+    held = docs.sparkSession.sparkContext.broadcast(use)
+
+    def run(batches):
+        for s in words.slices(batches):
+            w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
+            rows, buckets, numbers = text_features(w, s.data, s.offsets, held.value)
+            n, meta = len(s.ids), _meta(s.rows)
+            ends = np.searchsorted(rows, np.arange(n + 1))
+            lists = [(ends, pa.array(buckets, pa.int32()))] + [(np.arange(n + 1) * x.shape[1], pa.array(x.ravel(), t)) for x, t in ((numbers, pa.float32()), (meta, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([s.ids, s.rows.column("h"), *[pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in lists]], ["doc_id", "h", "buckets", "numbers", "meta"])
+
+    return docs.withColumn("h", F.xxhash64(*docs.columns)).mapInArrow(run, _FEATURES)
+
+
+def _features(batch) -> Features:
+    sizes = batch.column("buckets").value_lengths().to_numpy(zero_copy_only=False)
+    n = len(sizes)
+    buckets, numbers, meta = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("buckets", "numbers", "meta"))
+    return Features(np.repeat(np.arange(n, dtype=np.int32), sizes), buckets, numbers.reshape(n, -1), meta.reshape(n, -1))
+
+
+def _refill(unlabelled: DataFrame, trainers: dict[str, Trainer], turn: int) -> None:
+    """Gives the views rows that the other view is confident of, out of all ``unlabelled`` rows, POOL at most: the first
+    in an order of hashes that is another in each round. The rows are counted first, so few more than needed are sent."""
+    held = unlabelled.sparkSession.sparkContext.broadcast({t: x.judge() for t, x in trainers.items()})
+    groups = [(t, name, c) for t in trainers for name in ("text", "meta") for c in (0, 1)]
+
+    def found(batches):
+        for b in batches:
+            if b.num_rows:
+                f = _features(b)
+                key = words.mix(b.column("h").to_numpy().view(np.uint64) ^ np.uint64(turn))
+                got = {(t, *k): at for t, head in held.value.items() for k, at in _confident(head, f).items()}
+                for k, g in enumerate(groups):
+                    yield b, key, k, got[g][np.unique(key[got[g]], return_index=True)[1]]
+
+    def count(batches):
+        for _, _, k, at in found(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(at)], pa.int64())], ["k", "n"])
+
+    counts = {r.k: r.n for r in unlabelled.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    share = [min(1.0, (1.2 * (POOL // 4) + 100) / max(counts.get(k, 0), 1)) for k in range(len(groups))]
+
+    def draw(batches):
+        for b, key, k, at in found(batches):
+            at = at[(key[at] >> np.uint64(11)).astype(float) <= share[k] * 2.0**53]
+            if len(at):
+                rows = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(key[at].view(np.int64)), *[rows.column(c) for c in ("buckets", "numbers", "meta")]], ["k", "h", "buckets", "numbers", "meta"])
+
+    drawn = unlabelled.mapInArrow(draw, "k int, h long, buckets array<int>, numbers array<float>, meta array<int>").toArrow().combine_chunks()
+    key, group = drawn["h"].to_numpy().view(np.uint64), drawn["k"].to_numpy()
+    for t, trainer in trainers.items():
+        for other in trainer.given:
+            at = []
+            for c in (0, 1):
+                mine = np.flatnonzero(group == next(k for k, g in enumerate(groups) if g[0] == t and g[1] != other and g[2] == c))
+                at.append(mine[np.argsort(key[mine], kind="stable")][: POOL // 4])
+            rows = drawn.take(pa.array(np.concatenate(at))).combine_chunks()
+            what = np.repeat([0.0, 1.0], [len(x) for x in at])
+            trainer.given[other] = (_features(rows.to_batches()[0]), what) if len(what) else trainer.nothing
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Head | float]:
-    """A head for each of TARGETS, fitted on at most LABELLED labelled rows, drawn by ``_draw``, and a pool of at most
-    POOL others, the first in an order of hashes. Labels with null id are left out; of repeated ones the worse counts."""
+    """A head for each of TARGETS, fitted on at most LABELLED labelled rows, drawn by ``_draw`` from labels that have a
+    document. In each round each view marks, out of all other documents, those that it is confident of, and hands POOL
+    of them at most to the other view's next fit. Texts are read once for that: the features that the fits use are
+    stored. Labels with null id are left out; of repeated ones the worse counts."""
+    spark = docs.sparkSession
+    prepare(spark)
     keys = {"doc_id": (doc_id, "string"), "text": (text, "string"), "lang": ("lang", "string"), "source": ("source", "string"), "n_chars": ("n_chars", "double")}
+    own = _columns(docs, keys)
     known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), *[F.expr(e).cast("int").alias(t) for t, e in TARGETS.items()])
-    known = stored(known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]), "labels")
-    pool = docs.select(F.col(doc_id).cast("string").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(POOL)
+    known = known.groupBy("id").agg(*[F.max(t).alias(t) for t in TARGETS]).join(own.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    known = stored(known, "labels")
     wanted = {i: (m, w) for i, m, w in sorted(_draw(known), key=lambda r: r[0])}
     dropped(known)
-    others = [r.id for r in pool.toLocalIterator() if r.id not in wanted]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in [*wanted, *others]], "id string")
-
-    def run(batches):
-        for s in words.slices(batches):
-            w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
-            rows, buckets, numbers = text_features(w, s.data, s.offsets)
-            ends = np.searchsorted(rows, np.arange(len(s.ids) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets, pa.int32()))
-            yield pa.RecordBatch.from_arrays([s.ids, lists, pa.array(numbers.tolist(), pa.list_(pa.float32())), pa.array(_meta(s.rows).tolist(), pa.list_(pa.int32()))], ["doc_id", "buckets", "numbers", "meta"])
-
-    mine = _columns(docs, keys).join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")  # ids: LABELLED + POOL at most
-    got = mine.mapInArrow(run, "doc_id string, buckets array<int>, numbers array<float>, meta array<int>").toArrow().sort_by("doc_id")
-    seen = got["doc_id"].to_pylist()
-    place = {i: k for k, i in enumerate(seen)}  # of repeated documents one
-    use = [place[i] for i in [*wanted, *others] if i in place]
-    got = got.take(pa.array(use, pa.int64())).combine_chunks()
-    if not got.num_rows:
+    if not wanted:
         return {t: 0.0 for t in TARGETS}
-    sizes = got["buckets"].combine_chunks().value_lengths().to_numpy()
-    rows, buckets = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), got["buckets"].combine_chunks().flatten().to_numpy()
-    numbers, meta = (np.array(got[c].to_pylist()) for c in ("numbers", "meta"))
-    marks = [wanted.get(i, ([None] * len(TARGETS), 1)) for i in got["doc_id"].to_pylist()]
-    weight = np.array([w for _, w in marks], float)
-    out = {}
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in wanted], "id string"))  # LABELLED at most
+    got = _featured(own.join(ids, F.col("doc_id") == F.col("id"), "left_semi")).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    place = {i: k for k, i in enumerate(got["doc_id"].to_pylist())}  # of repeated documents one
+    got = got.take(pa.array([place[i] for i in wanted], pa.int64())).combine_chunks()
+    labelled = _features(got.to_batches()[0])
+    marks, weight = [m for m, _ in wanted.values()], np.array([w for _, w in wanted.values()], float)
+    out: dict[str, Head | float] = {}
+    trainers: dict[str, Trainer] = {}
     for k, t in enumerate(TARGETS):
-        y = np.array([-1 if m[k] is None else m[k] for m, _ in marks])
-        out[t] = co_train(rows, buckets, numbers.astype(np.float32), meta, y, weight)
-    return out
+        y = np.array([-1 if m[k] is None else m[k] for m in marks])
+        at = np.flatnonzero(y >= 0)
+        if len(np.unique(y[at])) < 2:
+            out[t] = float(y[at].mean()) if len(at) else 0.0
+        else:
+            trainers[t] = Trainer(labelled.take(at), y[at], weight[at])
+            trainers[t].fit()
+    if trainers:
+        use = _used([p.head.chosen for x in trainers.values() for p in x.parts])
+        rest = stored(_featured(own.join(ids, F.col("doc_id") == F.col("id"), "left_anti"), use).drop("doc_id"), "features")
+        for turn in range(ROUNDS):
+            _refill(rest, trainers, turn)
+            for x in trainers.values():
+                x.fit()
+        dropped(rest)
+    return {t: trainers[t].head() if t in trainers else out[t] for t in TARGETS}
 
 
 def score(docs: DataFrame, heads: dict[str, Head | float], doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -323,9 +420,10 @@ def score(docs: DataFrame, heads: dict[str, Head | float], doc_id: str = "doc_id
     given = [(F.col(c) if c in docs.columns else F.lit(None)).cast({"_n": "double", "_id": docs.schema[doc_id].dataType}.get(n, "string")).alias(n) for n, c in names.items()]
 
     def run(batches):
+        use = _used([h.chosen for h in held.value.values() if isinstance(h, Head)])
         for s in words.slices(batches, "_text", "_id"):
             w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
-            features = text_features(w, s.data, s.offsets)
+            features = text_features(w, s.data, s.offsets, use)
             own = pa.RecordBatch.from_arrays([s.rows.column(c) for c in ("_lang", "_source", "_n")], ["lang", "source", "n_chars"])
             meta_x = _meta_matrix(_meta(own))
             p = {t: h.probability(h.text_matrix(*features), meta_x) if isinstance(h, Head) else np.full(len(s.ids), h) for t, h in held.value.items()}

@@ -77,3 +77,24 @@ def test_splits_keep_both_classes():
             assert set(y[train]) == {0, 1}
         held = np.concatenate([h for _, h in quality._split(y)])
         assert set(y[held]) == {0, 1} and len(held) == len(set(held))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_labels_without_documents_and_a_small_pool_leave_the_fit_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 80)
+    monkeypatch.setattr(quality, "POOL", 8)
+    sizes, given = [], set()
+
+    class Spy(quality.Trainer):
+        def fit(self):
+            sizes.append(sum(len(h) for h in self.scores.values()) or len(self.y))
+            for f, _ in self.given.values():
+                given.update(map(tuple, f.numbers.tolist()))
+            super().fit()
+
+    monkeypatch.setattr(quality, "Trainer", Spy)
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    strays = spark.range(10**6, 10**6 + 2000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    quality.fit(docs, labels.select("doc_id", "quality", "toxic").unionByName(strays.select("doc_id", "quality", "toxic")))
+    assert max(sizes[:2]) == 80  # all of the sample has documents
+    assert len(given) > 8  # more documents than one round's pool
