@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import dropped, prepare, stored
 from . import words
@@ -416,6 +417,28 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     Null, empty and word-less texts have 0 shingles and are linked with nothing; null ids count as the largest, and
     a component of null ids alone has a null id. Rows that share an id are rows of their own. ``n_links`` counts the
     compared links of the row's set; links inside a component that were not needed are not counted."""
+    return grouped(docs, shingle, similarity, doc_id, text).drop("set", "root")
+
+
+def with_set(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with each text's set as in ``grouped``; null where it has no words."""
+
+    def run(batches):
+        now, rows = None, []
+        for s, _, c, _ in _sets(batches, shingle):
+            if s is not now:
+                if rows:
+                    yield now.rows.append_column("set", pa.array(rows, pa.int64()))
+                now, rows = s, []
+            rows.append(c)
+        if rows:
+            yield now.rows.append_column("set", pa.array(rows, pa.int64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``join``, with each row's set and the component's name among sets (root), both null without words."""
     prepare(docs.sparkSession)
     like = Likeness(*similarity)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -441,12 +464,12 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     named = roots.join(stand, "set").join(counted, "set", "left")
     named = stored(named.select("set", "root", "doc", "n_links"), "named")
     smallest = stored(named.groupBy("root").agg(F.min("doc").alias("least")), "smallest")
-    linked = named.join(smallest, "root").select("set", "least", "n_links")
-    alone = stand.join(named.select("set"), "set", "left_anti").select("set", F.col("doc").alias("least"), F.lit(None).cast("long").alias("n_links"))
+    linked = named.join(smallest, "root").select("set", "root", "least", "n_links")
+    alone = stand.join(named.select("set"), "set", "left_anti").select("set", F.col("set").alias("root"), F.col("doc").alias("least"), F.lit(None).cast("long").alias("n_links"))
     found = stored(linked.unionByName(alone), "found")
     out = base.join(found, "set", "left")
     component = F.when(F.col("least") == _LAST, F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "set", "root")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

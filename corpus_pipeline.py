@@ -21,10 +21,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of smallest id.
 
-    Documents with null ids stay only where their whole group has none; rows that share the smallest id all stay."""
-    found = jaccard.join(docs, jaccard.SHINGLE, jaccard.SIMILARITY)
-    kept = stored(found.filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    Null ids count as the largest: of a group of null ids alone one document stays, of other groups none of them does.
+    Documents without words stay; rows of a group that share its smallest id all stay. Rows are told apart by id, and by
+    their set of shingles too where an id is null or has rows that stay and rows that go."""
+    found = stored(jaccard.grouped(docs, jaccard.SHINGLE, jaccard.SIMILARITY).select("doc_id", "set", "root", "component_id"), "grouped")
+    stays = F.col("doc_id") == F.col("component_id")
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and(stays).alias("all"), F.bool_or(stays).alias("any"))
+    ids = stored(ids.filter("any"), "kept")
+    sure = docs.join(ids.filter("all").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+    mixed = ids.filter("not all").select("doc_id")
+    sets = found.join(mixed, "doc_id", "left_semi").filter(stays).select(F.col("doc_id").alias("id"), F.col("set").alias("one")).distinct()
+    some = jaccard.with_set(docs.join(mixed, "doc_id", "left_semi").select(docs.columns))
+    some = some.join(sets, (F.col("doc_id") == F.col("id")) & F.col("set").eqNullSafe(F.col("one")), "left_semi").select(docs.columns)
+
+    nulls = jaccard.with_set(docs.filter("doc_id is null"))
+    heads = found.filter("doc_id is null and component_id is null and set is not null").groupBy("root").agg(F.min("set").alias("set")).select("set")
+    whole = F.struct(*docs.columns)
+    copies = nulls.join(heads, "set", "left_semi").groupBy("set").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return sure.unionByName(some).unionByName(nulls.filter("set is null").select(docs.columns)).unionByName(copies)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,23 @@ def test_each_stage_equals_brute_force_on_its_own_input(spark):
     assert five == {r.doc_id: model.encode(r.text, add_bos=True, add_eos=True) for r in four.collect()}
     whole = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()}
     assert whole == five
+
+
+def test_near_duplicates_with_null_or_shared_ids(spark):
+    def text(seed, last="end"):
+        return " ".join(f"w{seed}x{i}" for i in range(60)) + f" {last}"
+
+    rows = [
+        (1, text(1)), (None, text(1)), (None, text(1, "near")),  # linked with a document that has an id
+        (None, text(2)), (None, text(2)), (None, text(2, "near")),  # null ids alone: one stays
+        (None, text(3)), (None, ""), (None, None), (2, ""),
+        (3, text(4)), (4, text(4, "near")), (4, text(5)), (4, text(5, "near")),  # 4 stays with its other text only
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert got.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    alone = [r for r in got if r[0] is None and r[1] and "w2x" in r[1]]
+    assert len(alone) == 1
+    want = [(1, text(1)), (None, text(3)), (None, ""), (None, None), (2, ""), (3, text(4)), (4, text(5)), (4, text(5, "near"))]
+    assert sorted(map(repr, got)) == sorted(map(repr, want + alone))
