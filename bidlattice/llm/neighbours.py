@@ -17,7 +17,7 @@ SAMPLE = 16384  # vectors that the tree is fitted on
 BRANCH = 8  # children of a node
 LEAF = 32  # fitted vectors in a leaf, at most
 CALIBRATION = 64  # vectors whose exact neighbours set how many leaves a search visits
-RECALL = 0.95  # that the visited leaves must reach on them
+RECALL = 0.97  # that the visited leaves must reach on them
 BLOCK_ROWS = (64, 8192)  # least and most rows that one task compares at once
 QUERY_ROWS = 8192  # and most queries
 BLOCKS = 64  # into which a table is divided while that keeps blocks between those sizes
@@ -145,8 +145,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     """(query_id, rank, vec_id, score) of the k nearest rows found to each query: Euclidean, in double precision, ties to the smaller id.
 
     The tree is fitted on at most SAMPLE vectors, the first in an order of hashes; every row is put in a leaf. The
-    number of leaves to visit is the least that reaches ``recall`` on CALIBRATION vectors, whose true neighbours come
-    from comparing all rows. Small leaves share blocks; a leaf with many rows, such as copies of one vector, is dealt
+    number of leaves to visit is the least that reaches ``recall`` on CALIBRATION distinct vectors that the tree is not
+    fitted on, whose true neighbours come from comparing all rows. Small leaves share blocks; a leaf with many rows, such as copies of one vector, is dealt
     into several, and a block visited by many queries meets them in groups, so no task holds more than a block.
     Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids and vectors of
     another length than the sample's most common one. A query is not its own neighbour; rows that share an id are
@@ -163,8 +163,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_
     base, asked = (t.filter(F.size("v") == int(width)) for t in both)
     same = sample.filter(pa.compute.equal(pa.compute.list_value_length(sample["v"]), int(width))).combine_chunks()
     fitted = _matrix(same["v"].chunk(0))
-    tree = Tree(fitted)
-    visits = _calibrate(base, tree, same["vec_id"].to_numpy()[:CALIBRATION], fitted[:CALIBRATION], k, recall)
+    kept, which = _hold_out(fitted)
+    tree = Tree(kept)
+    visits = _calibrate(base, tree, same["vec_id"].to_numpy()[which], fitted[which], k, recall)
     held = spark.sparkContext.broadcast(tree)
 
     def place(batches):
@@ -234,6 +235,13 @@ def _deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, blocks
 
 
+def _hold_out(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors to fit on, and the rows of the first CALIBRATION distinct others (a quarter of all distinct at most)."""
+    _, first, same = np.unique(sample, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)[: min(CALIBRATION, len(first) // 4)]
+    return sample[~np.isin(same.ravel(), order)], first[order]
+
+
 def _calibrate(base: DataFrame, tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, recall: float) -> int:
     """The least number of leaves whose visit finds ``recall`` of the true neighbours of the given vectors."""
     if tree.n_leaves == 1 or not len(ids):

@@ -40,3 +40,11 @@ def test_few_rows_and_none(spark):
     assert neighbours.search(rows.limit(0), rows).count() == 0
     assert neighbours.search(rows, rows.limit(0)).count() == 0
     assert neighbours.search(rows.limit(1), rows.limit(1)).count() == 0
+
+
+def test_calibration_uses_distinct_vectors_outside_the_fit():
+    x = np.random.default_rng(3).normal(size=(600, 4))
+    x[::3] = x[0]
+    kept, which = neighbours._hold_out(x)
+    held = {tuple(v) for v in x[which].tolist()}
+    assert len(held) == len(which) == neighbours.CALIBRATION and not held & {tuple(v) for v in kept.tolist()}
