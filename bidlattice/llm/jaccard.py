@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact candidate keys lead to signature trees of token bitmaps; links make components."""
+"""N-gram Jaccard join: signature trees of token bitmaps over candidate groups name pairs, which are compared in place; links make components."""
 
 from __future__ import annotations
 
@@ -15,13 +15,16 @@ from ..session import dropped, prepare, stored
 from . import words
 
 SHINGLE, SIMILARITY = 5, (80, 100)  # unless a caller says otherwise
-GROWTH = (4, 3)  # of one size class's limit to the next
-EXTRA = (1, 5)  # parts beyond those needed, as a share of them: each is one more key that linked sets share
-_LAST = 2**63 - 1
+SPARE = 50  # one more key for each so many elements: linked sets then share more keys, and sets that share fewer have no link
+FREQUENT = 1 << 18  # elements, at most, that are known as frequent and come last in the order of elements
+SEEN = 4  # sets of a slice that must have an element for it to be counted
 CHUNK = 512  # sets of one tree
+CHUNK_ELEMENTS = 1 << 20  # and their elements together
 BROADCAST_ROWS = 1_000_000  # pairs of integers that a broadcast may hold; beyond it both sides are shuffled
 FAN = 4  # children of a tree's node
-TOLD = 500_000  # pairs a task remembers, so as not to name them again
+BITS = (6, 15)  # powers of two: least and most bits of a tree's bitmaps
+AT_ONCE = 256  # pairs compared before those that have come into one component are passed over
+_LAST = 2**63 - 1
 
 
 class Likeness(NamedTuple):
@@ -33,39 +36,20 @@ class Likeness(NamedTuple):
     def linked(self, a, b, common):
         return (self.num + self.den) * common >= self.num * (a + b)
 
-    def differ(self, total: int) -> int:
-        """The most elements that linked sets of so many together have apart."""
-        return total * (self.den - self.num) // (self.num + self.den)
-
-    def largest(self, size: int) -> int:
-        """The largest set that can be linked with one of this size."""
-        return size * self.den // self.num
-
+    def least(self, size):
+        """The fewest elements that a set shares with one it is linked with, and the smallest size of such a set."""
+        return -(-size * self.num // self.den)
 
-def limits(like: Likeness, size: int) -> list[int]:
-    """Upper limits of the size classes up to and beyond ``size``: a set's partners are in its class or a neighbouring one."""
-    out = [0, 1]
-    while out[-1] <= like.largest(max(size, 1)):
-        out.append(max(out[-1] + 1, out[-1] * GROWTH[0] // GROWTH[1], like.largest(out[-1])))
-    return [*out, out[-1] * 2]
+    def lead(self, size):
+        """How many keys a set of this size shares at least with a linked one that is not smaller."""
+        return np.minimum(1 + size // SPARE, self.least(size))
 
+    def keys(self, size):
+        """How many of a set's first elements, in one order for all sets, are its keys.
 
-def parts(like: Likeness, upper: int) -> tuple[int, int, int]:
-    """(number of parts, empty parts that are passed over, keys a set must share) for sets of at most ``upper`` elements.
-
-    Linked sets have at most d elements apart, so with d + 1 + t + s parts they agree on t + 1 + s or more. If one of them
-    has at most t empty parts, they share s + 1 keys of parts with elements. A set that shares fewer keys with all others
-    together has no link, which rules out most sets that have a common line or passage and nothing else."""
-    least = like.differ(2 * upper) + 1
-    if least == 1:
-        return 1, 0, 1  # only equal sets are linked, and those are one set
-    spare = least * EXTRA[0] // EXTRA[1]
-    n = least + spare
-    for _ in range(20):
-        n, before = least + spare + math.ceil(1.3 * n * math.exp(-upper * GROWTH[1] / GROWTH[0] / n)), n
-        if n == before or n > 2 * (least + spare):
-            break
-    return n, n - least - spare, 1 + spare
+        Linked sets have ``least`` elements in common or more, so of the first common ones, as many as the smaller
+        lead, none has more than size - least others before it: each is a key of both."""
+        return size - self.least(size) + self.lead(size)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -74,46 +58,118 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(words.grams(hashes, min(k, n))) if n else np.zeros(0, np.uint64)
 
 
-def keys(tokens: np.ndarray, like: Likeness, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate keys of a set, whether each is of its own size class, and how many of that class a linked set shares:
-    linked sets that differ share so many that are of the own class of the larger."""
-    n = len(tokens)
-    at = known.setdefault("limits", limits(like, 1 << 40))
-    own = int(np.searchsorted(at, n))
-    out, home, need = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
-    for c in (own, own + 1):
-        if c > own and like.largest(n) <= at[own]:
-            break
-        if c not in known:
-            known[c] = parts(like, at[c])
-        m, passed, least = known[c]
-        if m == 1:
-            continue
-        part = (words.mix(tokens + np.uint64(c)) % np.uint64(m)).astype(np.int64)
-        count = np.bincount(part, minlength=m)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, tokens)
-        place = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
-        use = count > 0
-        if (~use).sum() > passed:  # two such sets may agree on empty parts only
-            use[:] = True
-        out.append(words.mix(total[use] + words.mix(place[use])))
-        home.append(np.full(len(out[-1]), c == own))
-        need.append(np.full(len(out[-1]), least))
-    return np.concatenate(out), np.concatenate(home), np.concatenate(need)
-
-
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each token, in a power of two of at least eight bits a token."""
-    bits = 8 << max(3, math.ceil(math.log2(max(len(tokens), 1))))
-    out = np.zeros(bits, np.uint8)
-    out[(words.mix(tokens) % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(out)
+class Sets(NamedTuple):
+    """The sets of one slice of texts: all their elements, n + 1 bounds, each set's id (a hash of its elements)."""
+
+    slice: words.Text
+    elements: np.ndarray
+    bounds: np.ndarray
+    ids: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.elements[self.bounds[row] : self.bounds[row + 1]]
+
+    def column(self) -> pa.Array:
+        """The ids, null without words."""
+        return pa.array(self.ids, mask=self.sizes() == 0)
+
+    def distinct(self) -> np.ndarray:
+        """The first row of each set that is not empty."""
+        rows = np.flatnonzero(self.sizes())
+        return rows[np.sort(np.unique(self.ids[rows], return_index=True)[1])]
+
+
+def _sets(batches, k: int):
+    for s in words.slices(batches):
+        w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
+        h = words.word_hashes(w)
+        g = words.grams(h, k)
+        own = [np.unique(g[a : b - k + 1]) if b - a >= k else shingles(h[a:b], k) for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
+        bounds = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64)
+        elements = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        total = np.append(np.uint64(0), np.cumsum(words.mix(elements), dtype=np.uint64))
+        yield Sets(s, elements, bounds, (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+
+
+_BASE = "doc_id long, n_shingles long, set long, element long, seen long"
+
+
+def _base(k: int):
+    """A row for each text, and (element, seen) of elements that SEEN sets of a slice have."""
+
+    def run(batches):
+        for x in _sets(batches, k):
+            rows = x.distinct()
+            found, seen = np.unique(np.concatenate([x.of(r) for r in rows.tolist()]) if len(rows) else np.zeros(0, np.uint64), return_counts=True)
+            often = seen >= SEEN
+            found, seen = found[often].view(np.int64), seen[often]
+            n, m = len(x.ids), len(found)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.slice.ids, pa.nulls(m, x.slice.ids.type)]), pa.concat_arrays([pa.array(x.sizes()), pa.nulls(m, pa.int64())]), pa.concat_arrays([x.column(), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(found)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(seen)])], ["doc_id", "n_shingles", "set", "element", "seen"])
+
+    return run
+
+
+def _frequent(base: DataFrame) -> np.ndarray:
+    """The most frequent elements, rarest first. They only set the order of elements: any order finds the same links, and
+    with frequent ones last few sets share a key that are not alike."""
+    found = base.filter("seen is not null").groupBy("element").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "element").limit(FREQUENT)
+    return found.select("element").toArrow()["element"].to_numpy()[::-1].view(np.uint64)
+
 
+def keys(elements: np.ndarray, bounds: np.ndarray, like: Likeness, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each set, its first elements in the order (frequent or not, how frequent, hash), and their places' sets."""
+    sizes = np.diff(bounds)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    rank = np.zeros(len(elements), np.int64)
+    if len(frequent):
+        order = np.argsort(frequent)
+        at = np.minimum(np.searchsorted(frequent, elements, sorter=order), len(frequent) - 1)
+        rank = np.where(frequent[order[at]] == elements, order[at] + 1, 0)
+    late = np.flatnonzero(np.bincount(row[rank > 0], minlength=len(sizes)))  # elements come sorted by hash: other sets are in order
+    place = np.arange(len(elements)) - np.repeat(bounds[:-1], sizes)
+    for r in late.tolist():
+        a, b = bounds[r], bounds[r + 1]
+        place[a + np.argsort(rank[a:b], kind="stable")] = np.arange(b - a)
+    use = place < np.repeat(like.keys(sizes), sizes)
+    return elements[use], row[use]
 
-def fold(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap as it would be with fewer bytes."""
-    return np.bitwise_or.reduce(bits.reshape(-1, size), 0)
+
+def _keyed(k: int, like: Likeness, frequent):
+    """(key, set, n): each distinct set of a slice of texts once."""
+
+    def run(batches):
+        last = frequent.value
+        for x in _sets(batches, k):
+            rows = x.distinct()
+            if not len(rows):
+                continue
+            sizes = x.sizes()[rows]
+            key, row = keys(np.concatenate([x.of(r) for r in rows.tolist()]), np.append(0, np.cumsum(sizes)), like, last)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.ids[rows][row]), pa.array(sizes[row].astype(np.int32))], ["key", "set", "n"])
+
+    return run
+
+
+def _content(k: int):
+    """(set, elements) of texts that stand for their set (rows carry the set's id as ``want``)."""
+
+    def run(batches):
+        for x in _sets(batches, k):
+            want = x.slice.rows.column("want").to_numpy()
+            rows = np.flatnonzero((want == x.ids) & (x.sizes() > 0)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x.ids[rows]), pa.array([x.of(r).tobytes() for r in rows], pa.binary())], ["set", "elements"])
+
+    return run
+
+
+def bitmap(elements: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each element, as 64-bit words."""
+    out = np.zeros(bits, np.uint8)
+    out[(words.mix(elements) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
 
 
 class Level(NamedTuple):
@@ -139,8 +195,9 @@ def tree(maps: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> list[Le
     return levels
 
 
-def traverse(a: list[Level], b: list[Level], like: Likeness, itself: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf pairs that may be linked, from a dual traversal of two trees of equal height, or of one with itself.
+def traverse(a: list[Level], b: list[Level], like: Likeness, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf pairs that may be linked, and their largest possible overlap, from a dual traversal of two trees of equal
+    height, or of one with itself.
 
     A node pair goes on only if the largest overlap that sizes and bitmaps allow could link some pair of its sets, and
     if its sets are not all of one component."""
@@ -158,13 +215,16 @@ def traverse(a: list[Level], b: list[Level], like: Likeness, itself: bool) -> tu
             i, j = i[i != j], j[i != j]
         ok = (x.component[i] != y.component[j]) | (x.component[i] < 0)
         i, j = i[ok], j[ok]
-        keep = np.zeros(len(i), bool)
+        most = np.minimum(x.high[i], y.high[j])
+        ok = like.linked(x.low[i], y.low[j], most)
+        i, j, most = i[ok], j[ok], most[ok]
         for lo in range(0, len(i), 2048):
             p, q = i[lo : lo + 2048], j[lo : lo + 2048]
-            most = np.minimum(np.minimum(x.high[p], y.high[q]), np.bitwise_count(x.maps[p] & y.maps[q]).sum(1, dtype=np.int64) + np.minimum(x.excess[p], y.excess[q]))
-            keep[lo : lo + 2048] = like.linked(x.low[p], y.low[q], most)
-        i, j = i[keep], j[keep]
-    return i, j
+            bits = np.bitwise_count(x.maps[p] & y.maps[q]).sum(1, dtype=np.int64) + np.minimum(x.excess[p], y.excess[q])
+            most[lo : lo + 2048] = np.minimum(most[lo : lo + 2048], bits)
+        ok = like.linked(x.low[i], y.low[j], most)
+        i, j, most = i[ok], j[ok], most[ok]
+    return i, j, most
 
 
 def _level_up(levels: list[Level], height: int) -> list[Level]:
@@ -173,151 +233,110 @@ def _level_up(levels: list[Level], height: int) -> list[Level]:
     return levels
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
+def links(sets: list[np.ndarray], components: np.ndarray, side: np.ndarray, like: Likeness) -> list[tuple[int, int]]:
+    """Linked pairs among ``sets``, or between its sides 0 and 1, enough to join all that are linked: of pairs that are
+    already in one component, given or found here, none is compared."""
+    sizes = np.array([len(x) for x in sets])
+    bits = 1 << min(max(math.ceil(math.log2(8 * max(float(np.median(sizes)), 1))), BITS[0]), BITS[1])
+    root = np.unique(components, return_inverse=True)[1]
+    order = np.lexsort((root, sizes))
+    known = root[order]
+    maps = np.array([bitmap(sets[i], bits) for i in order.tolist()])
+    if (side == side[0]).all():
+        x = tree(maps, sizes[order], known)
+        i, j, most = traverse(x, x, like, True)
+        i, j = order[i], order[j]
+    else:
+        halves = [np.flatnonzero(side[order] == k) for k in (0, 1)]
+        x, y = (tree(maps[h], sizes[order][h], known[h]) for h in halves)
+        height = max(len(x), len(y))
+        i, j, most = traverse(_level_up(x, height), _level_up(y, height), like, False)
+        i, j = order[halves[0][i]], order[halves[1][j]]
+    best = np.argsort(-most / np.maximum(sizes[i], sizes[j]), kind="stable")
+    i, j = i[best], j[best]
+    out = []
+    while len(i):
+        for p, q in zip(i[:AT_ONCE].tolist(), j[:AT_ONCE].tolist(), strict=True):
+            if root[p] == root[q]:
+                continue
+            x, y = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if like.linked(len(x), len(y), common):
+                out.append((p, q))
+                root[root == root[q]] = root[p]
+        i, j = i[AT_ONCE:], j[AT_ONCE:]
+        ok = root[i] != root[j]
+        i, j = i[ok], j[ok]
+    return out
 
-def _sets(batches, k: int):
-    """(slice, row, set id or None, tokens) of each text; a set's id is a hash of its tokens."""
-    for s in words.slices(batches):
-        w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
-        h = words.word_hashes(w)
-        for row in range(len(s.ids)):
-            tokens = shingles(h[w.bounds[row] : w.bounds[row + 1]], k)
-            yield s, row, int(words.mix(tokens).sum(dtype=np.uint64).view(np.int64)) if len(tokens) else None, tokens
 
+def _trees(like: Likeness):
+    """Rows of one group and chunk pair after another, in order; (a, b) of the links found."""
 
-def _base(k: int):
     def run(batches):
-        now, rows = None, []
+        group, held = None, []
 
         def flush():
-            return pa.RecordBatch.from_arrays([now.ids, pa.array([n for n, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], ["doc_id", "n_shingles", "set"])
-
-        for s, _, c, tokens in _sets(batches, k):
-            if s is not now:
-                if rows:
-                    yield flush()
-                now, rows = s, []
-            rows.append((len(tokens), c))
-        if rows:
-            yield flush()
-
-    return run
-
+            ids = np.array([r[0] for r in held], np.int64)
+            found = links([np.frombuffer(r[1], np.uint64) for r in held], np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held]), like)
+            return pa.RecordBatch.from_pydict({"a": pa.array([ids[p] for p, _ in found], pa.int64()), "b": pa.array([ids[q] for _, q in found], pa.int64())})
 
-def _keyed(k: int, like: Likeness):
-    """(key, set, home, need): each distinct set of a slice of texts once."""
-
-    def run(batches):
-        known: dict = {}
-        now, seen, out = None, set(), []
-
-        def flush():
-            sets, own, home, need = zip(*out, strict=True)
-            columns = [_signed(np.concatenate(own)), pa.array(np.repeat(np.array(sets, np.int64), [len(x) for x in own])), pa.array(np.concatenate(home)), pa.array(np.concatenate(need).astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "set", "home", "need"])
-
-        for s, _, c, tokens in _sets(batches, k):
-            if s is not now:
-                if out:
-                    yield flush()
-                now, seen, out = s, set(), []
-            if c is not None and c not in seen:
-                seen.add(c)
-                out.append((c, *keys(tokens, like, known)))
-        if out:
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "elements", "component", "side")], strict=True):
+                if r[:3] != group:
+                    if len(held) > 1:
+                        yield flush()
+                    group, held = r[:3], []
+                held.append(r[3:])
+        if len(held) > 1:
             yield flush()
 
     return run
 
 
-def _content(k: int, whole: bool):
-    """Of texts that stand for their set (rows carry the set's id as ``want``): (set, tokens), or (set, n, map, sketch): bitmaps of eight bits or more a token, and of one or more."""
-
-    def run(batches):
-        for s, row, c, tokens in _sets(batches, k):
-            if c == s.rows.column("want")[row].as_py():
-                out = {"set": pa.array([c], pa.int64())}
-                if whole:
-                    out["tokens"] = pa.array([tokens.tobytes()], pa.binary())
-                else:
-                    bits = bitmap(tokens)
-                    out |= {"n": pa.array([len(tokens)], pa.int64()), "map": pa.array([bits.tobytes()], pa.binary()), "sketch": pa.array([fold(bits, len(bits) // 8).tobytes()], pa.binary())}
-                yield pa.RecordBatch.from_pydict(out)
-
-    return run
-
-
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, lead): keys of several sets, one of them at least of the key's own class, and the smallest of them."""
-    found = keyed.groupBy("key").agg(F.min("set").alias("lead"), F.max("set").alias("other"), F.max("home").alias("home"))
-    return found.filter("lead <> other and home").select("key", "lead")
-
-
-class _Reader:
-    """Reads sets again from one text of each, where they are needed: texts filtered before any Python."""
-
-    def __init__(self, texts: DataFrame, base: DataFrame, k: int):
-        self.texts, self.k = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))), k
-        self.stand = stored(base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc")), "stand")
-        self.repeats = base.count() > base.select("doc_id").distinct().count()
-
-    def read(self, sets: DataFrame, name: str, whole: bool) -> DataFrame:
-        wanted = stored(sets.distinct().join(self.stand, "set").select("doc", F.col("set").alias("want")), f"{name}-wanted")
-        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        schema = "set long, tokens binary" if whole else "set long, n long, map binary, sketch binary"
-        found = self.texts.join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(self.k, whole), schema)
-        return stored(found.dropDuplicates(["set"]) if self.repeats else found, name)
-
-
-def _verify(like: Likeness):
-    """Of rows (a, b, ta, tb) those whose sets are linked."""
+def _searched(rows: DataFrame, content: DataFrame, like: Likeness, name: str) -> DataFrame:
+    """The links (a, b) that the trees of ``rows`` (group, i, j, side, set, component) find."""
+    rows = rows.join(content, "set").select("group", "i", "j", "side", "set", "component", "elements")
+    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
+    return stored(rows.mapInArrow(_trees(like), "a long, b long").distinct(), name)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(ta.as_buffer(), np.uint64), np.frombuffer(tb.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y)) if like.linked(len(x), len(y), min(len(x), len(y))) else 0
-                keep.append(like.linked(len(x), len(y), common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _chunks() -> F.Column:
+    return F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def _possible(like: Likeness):
-    """Of rows (a, b, na, nb, sa, sb) the pairs that sizes and short bitmaps leave possible."""
+def _first_round(named: DataFrame) -> DataFrame:
+    """Rows for trees in which each set stands once, in the largest group that it is a member of.
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True):
-                ok = like.linked(na, nb, min(na, nb))
-                if ok:
-                    x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
-                    least = min(len(x), len(y))
-                    x, y = fold(x, least), fold(y, least)
-                    spare = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-                    ok = like.linked(na, nb, min(na, nb, int(np.bitwise_count(x & y).sum()) + spare))
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    A group of several chunks grows a tree for each; its smallest and largest sets, by id and by hash, stand in all of
+    them, so that the chunks of one cluster come into one component without a comparison of chunk with chunk."""
+    top = named.groupBy("set").agg(F.max(F.struct("sets", "key", "n")).alias("t")).select("set", "t.key", "t.n")
+    mixed = F.struct(F.xxhash64("set").alias("h"), "set")
+    groups = top.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.array(F.min("set"), F.max("set"), F.min(mixed)["set"], F.max(mixed)["set"]).alias("pivots"))
+    groups = stored(groups.filter("sets > 1").select("key", _chunks().alias("chunks"), "pivots"), "first-groups")
+    mine = top.join(groups.select("key", "chunks"), "key").select(F.col("key").alias("group"), F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int").alias("i"), "set")
+    everywhere = groups.filter("chunks > 1").select(F.col("key").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "pivots").withColumn("set", F.explode("pivots")).select("group", "i", "set")
+    rows = mine.unionByName(everywhere).distinct()
+    return rows.select("group", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set", F.col("set").alias("component"))
 
-    return run
 
+def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows for trees over all groups that still have sets of several components, in pairs of chunks.
 
-def _linked(pairs: DataFrame, sketches: DataFrame, reader: _Reader, like: Likeness, name: str) -> DataFrame:
-    """The linked pairs: short bitmaps first rule out most of the others, then the sets themselves are compared."""
-    short = lambda x: sketches.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    likely = pairs.join(short("b"), "b").join(short("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    pairs = stored(likely.mapInArrow(_possible(like), "a long, b long"), f"{name}-likely")
-    tokens = reader.read(pairs.select(F.explode(F.array("a", "b")).alias("set")), f"{name}-tokens", True)
-    left = stored(pairs.join(tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b"), f"{name}-half")
-    both = left.join(tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a")
-    out = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(like), "a long, b long"), name)
-    dropped(left)
-    dropped(tokens)
-    return out
+    Of groups with the same sets one stays, and a group goes if one other group has all its sets: that is seen where
+    the largest group of each of its sets is the same."""
+    named = stored(members.join(roots, "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("component")), "named")
+    groups = named.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.min("component").alias("c"), F.max("component").alias("d"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
+    groups = stored(groups.filter("c <> d").groupBy("sets", "elements", "who").agg(F.min("key").alias("key")), "groups")
+    mine = stored(named.join(groups.select("key", "sets", "elements"), "key"), "grouped")
+    dropped(named)
+    top = stored(mine.groupBy("set").agg(F.max(F.struct("sets", "key")).alias("t")).select("set", F.col("t.key").alias("top")), "tops")
+    stays = mine.join(top, "set").groupBy("key").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b or a = key").select("key")
+    mine = mine.join(stored(stays, "stays"), "key").withColumn("chunks", _chunks()).withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(o < F.col("chunk"), 1).otherwise(0).alias("side")))
+    few = mine.filter("chunks = 1").select(F.col("key").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "set", "component")
+    many = mine.filter("chunks > 1").withColumn("pair", F.explode(pairs)).select(F.col("key").alias("group"), "pair.*", "set", "component")
+    return few.unionByName(many)
 
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
@@ -345,78 +364,21 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         before = now
 
 
-def _trees(like: Likeness):
-    """Rows of one group and chunk pair after another, in order; (a, b) of each pair its trees can't rule out."""
-
-    def one(rows):
-        sets, maps, sizes, components, side = rows
-        order = np.lexsort((sets, components, sizes))
-        sets, maps, sizes, components, side = sets[order], maps[order], sizes[order], components[order], side[order]
-        if (side == 0).all() or (side == 1).all():
-            x = tree(maps, sizes, components)
-            i, j = traverse(x, x, like, True)
-            return sets[i], sets[j]
-        x, y = (tree(maps[side == k], sizes[side == k], components[side == k]) for k in (0, 1))
-        height = max(len(x), len(y))
-        x, y = _level_up(x, height), _level_up(y, height)
-        i, j = traverse(x, y, like, False)
-        return sets[side == 0][i], sets[side == 1][j]
-
-    def run(batches):
-        group, held, told = None, [], set()
-
-        def flush():
-            least = min(len(r[1]) for r in held)
-            maps = np.array([fold(np.frombuffer(r[1], np.uint8), least) for r in held])
-            sets, sizes, parts, side = (np.array([r[k] for r in held], np.int64) for k in (0, 2, 3, 4))
-            a, b = one((sets, maps, sizes, np.unique(parts, return_inverse=True)[1], side))
-            new = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) - told  # other keys name the same pairs
-            if len(told) > TOLD:
-                told.clear()
-            told.update(new)
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([y for _, y in new], pa.int64())})
-
-        for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "map", "n", "component", "side")], strict=True):
-                if r[:3] != group:
-                    if held:
-                        yield flush()
-                    group, held = r[:3], []
-                held.append(r[3:])
-        if held:
-            yield flush()
-
-    return run
-
-
-def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of sets that share a key, are not yet in one component, and that no tree rules out."""
-    named = stored(members.join(roots, "set", "left").select("key", "set", F.coalesce("root", "set").alias("component")), "members")
-    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
-    groups = groups.filter("c <> d").groupBy("n", "who").agg(F.min("key").alias("key"))  # keys of the same sets: one of them
-    groups = stored(groups.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "groups")
-    mine = named.join(groups, "key").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(o < F.col("chunk"), 1).otherwise(0).alias("side")))
-    mine = mine.withColumn("pair", F.explode(pairs)).select(F.col("key").alias("group"), "pair.*", "set", "component")
-    rows = mine.join(sketches.select("set", "n", "map"), "set").select("group", "i", "j", "set", "map", "n", "component", "side")
-    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
-    return rows.mapInArrow(_trees(like), "a long, b long").distinct()
-
-
 def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row: links are pairs of different sets of shingles whose
-    Jaccard similarity is at least num / den; component_id is the smallest doc_id reached by links or equal sets.
-
-    1. Equal sets become one (their hash). 2. Each set's elements are dealt into more parts than linked sets can differ
-    in, so linked sets agree on some parts, which are keys; keys met by one set only fall away before anything else moves,
-    and so do sets that share fewer keys than any linked set does.
-    3. Each key's smallest set is compared with its others, and links make components. 4. Keys whose sets are still in
-    several components grow signature trees, in chunks of CHUNK sets; a dual traversal names the pairs that can be
-    linked and are of different components. 5. Those are compared, and all links make the final components.
-    No link between components is lost, and no group is expanded into pairs or held as a whole.
+    """(doc_id, n_shingles, component_id) of each row: links are pairs of different sets of shingles whose Jaccard
+    similarity is at least num / den; component_id is the smallest doc_id reached by links or equal sets.
+
+    1. Equal sets become one (their hash). 2. A set's keys are its first elements in one order of all, frequent ones
+    last; linked sets share keys, in number. Keys of one set only fall away before anything else moves, and so do sets
+    that share fewer keys than linked ones do. The sets with a key are a candidate group. 3. Groups grow signature
+    trees, in chunks; a dual traversal names the pairs that can be linked, and these are compared in place. In a first
+    round each set stands in its largest group alone, and the links found make components. 4. The second round grows
+    trees of all groups that still have sets of several components, and passes over pairs of one component. 5. All links
+    make the final components.
+    No link between components is lost, no group is expanded into pairs or held as a whole, and the number of links of
+    a document is not counted, as pairs inside a component are not compared.
     Null, empty and word-less texts have 0 shingles and are linked with nothing; null ids count as the largest, and
-    a component of null ids alone has a null id. Rows that share an id are rows of their own. ``n_links`` counts the
-    compared links of the row's set; links inside a component that were not needed are not counted."""
+    a component of null ids alone has a null id. Rows that share an id are rows of their own."""
     return grouped(docs, shingle, similarity, doc_id, text).drop("set", "root")
 
 
@@ -424,56 +386,70 @@ def with_set(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text and any others) with each text's set as in ``grouped``; null where it has no words."""
 
     def run(batches):
-        now, rows = None, []
-        for s, _, c, _ in _sets(batches, shingle):
-            if s is not now:
-                if rows:
-                    yield now.rows.append_column("set", pa.array(rows, pa.int64()))
-                now, rows = s, []
-            rows.append(c)
-        if rows:
-            yield now.rows.append_column("set", pa.array(rows, pa.int64()))
+        for x in _sets(batches, shingle):
+            yield x.slice.rows.append_column("set", x.column())
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
 
 
+def _shared(keyed: DataFrame, name: str) -> DataFrame:
+    """The keys of several sets."""
+    return stored(keyed.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), name)
+
+
+def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) -> DataFrame:
+    """(key, set, n) of keys that several sets have, and sets that share as many keys as linked sets do."""
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(base))
+    keyed = stored(texts.mapInArrow(_keyed(shingle, like, frequent), "key long, set long, n int"), "keyed")
+    members = stored(keyed.join(_shared(keyed, "keys"), "key").distinct(), "shared")
+    dropped(keyed)
+    least = F.ceil(F.col("n") * F.lit(like.num) / F.lit(like.den)).cast("long")  # exact for sizes below 2^53 / num
+    need = F.least(F.lit(1) + F.floor(least / SPARE), F.ceil(least * F.lit(like.num) / F.lit(like.den)))
+    enough = stored(members.groupBy("set", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("set"), "enough")
+    fewer = stored(members.join(enough, "set"), "members")
+    dropped(members)
+    return fewer.join(_shared(fewer, "keys"), "key")
+
+
+def _read(texts: DataFrame, stand: DataFrame, sets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
+    """(set, elements) of the given sets, read again from one text of each; other texts are filtered before any Python."""
+    wanted = stored(sets.distinct().join(stand, "set").select("doc", F.col("set").alias("want")), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(shingle), "set long, elements binary")
+    return stored(found.dropDuplicates(["set"]) if repeats else found, "content")
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``join``, with each row's set and the component's name among sets (root), both null without words."""
     prepare(docs.sparkSession)
     like = Likeness(*similarity)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = stored(texts.mapInArrow(_base(shingle), "doc_id long, n_shingles long, set long"), "sets")
-    keyed = texts.mapInArrow(_keyed(shingle, like), "key long, set long, home boolean, need int")
-    members = keyed.join(stored(_shared(keyed).select("key"), "keys"), "key").distinct()
-    members = stored(members, "members")
-    for _ in range(2):  # what goes may leave others with too few
-        enough = members.groupBy("set", "home").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("set", "home")
-        members = members.join(stored(enough, "enough"), ["set", "home"])
-        members = stored(members.join(stored(_shared(members).select("key"), "keys"), "key"), "members")
-    members = stored(members.join(stored(_shared(members), "keys"), "key").select("key", "set", "lead").distinct(), "candidates")
-    reader = _Reader(texts, base, shingle)
-    sketches = reader.read(members.select("set"), "sketches", False)
-    first = members.filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _linked(first, sketches, reader, like, "links")
-    roots = stored(components(links), "roots")
-    more = _linked(_rest(members.select("key", "set"), roots, sketches, like), sketches, reader, like, "more-links")
-    links = links.unionByName(more)
-    roots = stored(components(links.unionByName(roots.select(F.col("set").alias("a"), F.col("root").alias("b")))), "roots")
-    counted = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    stand = reader.stand
-    named = roots.join(stand, "set").join(counted, "set", "left")
-    named = stored(named.select("set", "root", "doc", "n_links"), "named")
+    both = stored(texts.mapInArrow(_base(shingle), _BASE), "sets")
+    base = both.filter("seen is null").select("doc_id", "n_shingles", "set")
+    stand = stored(base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc")), "stand")
+    repeats = base.count() > base.select("doc_id").distinct().count()
+
+    members = _members(texts, both, shingle, like)
+    sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
+    members = stored(members.join(stored(sizes, "sizes"), "key"), "candidates")
+    content = _read(texts, stand, members.select("set"), shingle, repeats)
+    found = _searched(_first_round(members), content, like, "first-links")
+    roots = stored(components(found), "first-roots")
+    more = _searched(_second_round(members.drop("sets"), roots), content, like, "second-links")
+    roots = stored(components(more.unionByName(roots.select(F.col("set").alias("a"), F.col("root").alias("b")))), "roots")
+    dropped(content)
+
+    named = stored(roots.join(stand, "set").select("set", "root", "doc"), "named")
     smallest = stored(named.groupBy("root").agg(F.min("doc").alias("least")), "smallest")
-    linked = named.join(smallest, "root").select("set", "root", "least", "n_links")
-    alone = stand.join(named.select("set"), "set", "left_anti").select("set", F.col("set").alias("root"), F.col("doc").alias("least"), F.lit(None).cast("long").alias("n_links"))
-    found = stored(linked.unionByName(alone), "found")
-    out = base.join(found, "set", "left")
+    linked = named.join(smallest, "root").select("set", "root", "least")
+    alone = stand.join(named.select("set"), "set", "left_anti").select("set", F.col("set").alias("root"), F.col("doc").alias("least"))
+    out = base.join(stored(linked.unionByName(alone), "found"), "set", "left")
     component = F.when(F.col("least") == _LAST, F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "set", "root")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "set", "root")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100)).drop("n_links")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))
 
 
 ORACLE = r"""

@@ -56,36 +56,59 @@ def test_equals_brute_force(spark, monkeypatch, k, similarity, chunk):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, k, *similarity)
 
 
-def test_keys_lose_no_link():
+def test_linked_sets_share_keys():
     rng = np.random.default_rng(1)
     for num in (90, 80, 60):
-        like, known = jaccard.Likeness(num, 100), {}
+        like = jaccard.Likeness(num, 100)
         for n in [*range(1, 40), 100, 333, 1000]:
             for _ in range(6):
                 a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-                cut = int(rng.integers(0, n + 1))
-                b = np.unique(np.append(a[min(cut, like.differ(2 * n)) :], rng.integers(0, 2**63, int(rng.integers(0, like.differ(2 * n) + 2))).astype(np.uint64)))
-                common = len(np.intersect1d(a, b))
-                if len(b) and like.linked(len(a), len(b), common) and common < max(len(a), len(b)):
-                    (ka, ha, na), (kb, hb, nb) = jaccard.keys(a, like, known), jaccard.keys(b, like, known)
-                    large, small, own, need = (ka, kb, ha, na) if len(a) >= len(b) else (kb, ka, hb, nb)
-                    shared = np.isin(large, small) & own
-                    assert shared.sum() >= need[own][0] > 0
+                apart = int(2 * n * (100 - num) / (100 + num))
+                b = np.unique(np.append(a[min(int(rng.integers(0, n + 1)), apart) :], rng.integers(0, 2**63, int(rng.integers(0, apart + 2))).astype(np.uint64)))
+                if len(b) and like.linked(len(a), len(b), len(np.intersect1d(a, b))):
+                    frequent = rng.permutation(a)[: int(rng.integers(0, n + 1))]
+                    key, row = jaccard.keys(np.append(a, b), np.array([0, len(a), len(a) + len(b)]), like, frequent)
+                    shared = len(np.intersect1d(key[row == 0], key[row == 1]))
+                    assert shared >= max(like.lead(like.least(len(x))) for x in (a, b)) > 0
 
 
-def test_traversal_keeps_every_linked_pair():
+def sets_like(base, n, rng):
+    out = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.5, 0.9, 0.97])], rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64))) for _ in range(n)]
+    return sorted(out, key=len)
+
+
+def test_traversal_keeps_every_linked_pair_and_prunes_others():
     rng = np.random.default_rng(4)
     like = jaccard.Likeness(80, 100)
-    base = rng.integers(0, 2**63, 60).astype(np.uint64)
-    sets = [np.unique(np.append(base[rng.random(60) < rng.choice([0.5, 0.9, 0.97])], rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64))) for _ in range(120)]
-    sets.sort(key=len)
-    maps = [jaccard.bitmap(s) for s in sets]
-    maps = np.array([jaccard.fold(m, min(map(len, maps))) for m in maps])
-    levels = jaccard.tree(maps, np.array([len(s) for s in sets]), np.arange(120))
-    i, j = jaccard.traverse(levels, levels, like, True)
+    sets = sets_like(rng.integers(0, 2**63, 60).astype(np.uint64), 120, rng)
+    levels = jaccard.tree(np.array([jaccard.bitmap(s, 512) for s in sets]), np.array([len(s) for s in sets]), np.arange(120))
+    assert all((x.maps.shape[0] + jaccard.FAN - 1) // jaccard.FAN == y.maps.shape[0] for x, y in zip(levels, levels[1:], strict=False))
+    i, j, most = jaccard.traverse(levels, levels, like, True)
     found = set(zip(i.tolist(), j.tolist(), strict=True))
-    linked = {(a, b) for b in range(120) for a in range(b) if like.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))}
-    assert linked <= found and len(found) < 120 * 119 / 2
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for b in range(120) for a in range(b)}
+    assert {p for p, c in common.items() if like.linked(len(sets[p[0]]), len(sets[p[1]]), c)} <= found and len(found) < len(common) / 2
+    assert all(common[p] <= m for p, m in zip(zip(i.tolist(), j.tolist(), strict=True), most.tolist(), strict=True))
+
+
+def test_trees_join_what_is_linked_and_no_more():
+    rng = np.random.default_rng(5)
+    like = jaccard.Likeness(80, 100)
+    sets = sets_like(rng.integers(0, 2**63, 40).astype(np.uint64), 90, rng)
+
+    def parts(pairs, root):
+        for p, q in pairs:
+            root = [min(root[p], root[q]) if r in (root[p], root[q]) else r for r in root]
+        return root
+
+    linked = [(a, b) for b in range(90) for a in range(b) if like.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
+    alone = np.arange(90)
+    found = jaccard.links(sets, -alone, np.zeros(90), like)
+    assert set(map(tuple, map(sorted, found))) <= set(linked) and len(found) < len(linked)
+    assert parts(found, alone.tolist()) == parts(linked, alone.tolist())
+    side = rng.integers(0, 2, 90)
+    across = [(a, b) for a, b in linked if side[a] != side[b]]
+    assert parts(jaccard.links(sets, alone, side, like), alone.tolist()) == parts(across, alone.tolist())
+    assert not jaccard.links(sets, np.ones(90, int), np.zeros(90), like)
 
 
 def test_null_ids_repeats_and_no_rows(spark):
