@@ -23,6 +23,7 @@ CHUNK_ELEMENTS = 1 << 20  # and their elements together
 BROADCAST_ROWS = 1_000_000  # pairs of integers that a broadcast may hold; beyond it both sides are shuffled
 FAN = 4  # children of a tree's node
 BITS = (6, 15)  # powers of two: least and most bits of a tree's bitmaps
+BITS_EACH = 4  # bits or more that a stored bitmap has for each element
 AT_ONCE = 256  # pairs compared before those that have come into one component are passed over
 _LAST = 2**63 - 1
 
@@ -154,24 +155,35 @@ def _keyed(k: int, like: Likeness, frequent):
 
 
 def _content(k: int):
-    """(set, elements) of texts that stand for their set (rows carry the set's id as ``want``)."""
+    """(set, n, map, elements) of texts that stand for their set (rows carry the set's id as ``want``)."""
 
     def run(batches):
         for x in _sets(batches, k):
             want = x.slice.rows.column("want").to_numpy()
             rows = np.flatnonzero((want == x.ids) & (x.sizes() > 0)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids[rows]), pa.array([x.of(r).tobytes() for r in rows], pa.binary())], ["set", "elements"])
+            maps = [bitmap(x.of(r), 1 << max(BITS[0], math.ceil(math.log2(BITS_EACH * len(x.of(r)))))).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(x.ids[rows]), pa.array(x.sizes()[rows]), pa.array(maps, pa.binary()), pa.array([x.of(r).tobytes() for r in rows], pa.binary())], ["set", "n", "map", "elements"])
 
     return run
 
 
 def bitmap(elements: np.ndarray, bits: int) -> np.ndarray:
-    """A bit for each element, as 64-bit words."""
+    """A bit for each element, as 64-bit words; the map of half as many words is the OR of its halves."""
+    h = words.mix(elements)
     out = np.zeros(bits, np.uint8)
-    out[(words.mix(elements) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    out[((h & np.uint64((bits >> 6) - 1)) * np.uint64(64) + (h >> np.uint64(58))).astype(np.int64)] = 1
     return np.packbits(out).view(np.uint64)
 
 
+def fitted(maps: list[np.ndarray], sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maps brought to one length, and for each set how many of its elements at most have no bit of their own.
+
+    A longer map is folded; a shorter one is repeated, so that it has each element's bit wherever that may be."""
+    own = [np.bitwise_or.reduce(m.reshape(-1, length), 0) if len(m) > length else m for m in maps]
+    excess = sizes - np.array([int(np.bitwise_count(m).sum()) for m in own])
+    return np.array([np.tile(m, length // len(m)) for m in own]), excess
+
+
 class Level(NamedTuple):
     """Nodes of one level of a signature tree: OR of bitmaps, size range, most elements beyond bits, component or -1."""
 
@@ -182,10 +194,9 @@ class Level(NamedTuple):
     component: np.ndarray
 
 
-def tree(maps: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> list[Level]:
+def tree(maps: np.ndarray, sizes: np.ndarray, excess: np.ndarray, components: np.ndarray) -> list[Level]:
     """Levels from the leaves (one set each, in the order given) to one root."""
-    bits = np.bitwise_count(maps).sum(1, dtype=np.int64)
-    levels = [Level(maps, sizes, sizes, sizes - bits, components)]
+    levels = [Level(maps, sizes, sizes, excess, components)]
     while len(levels[-1].low) > 1:
         x = levels[-1]
         at = np.arange(0, len(x.low), FAN)
@@ -233,35 +244,37 @@ def _level_up(levels: list[Level], height: int) -> list[Level]:
     return levels
 
 
-def links(sets: list[np.ndarray], components: np.ndarray, side: np.ndarray, like: Likeness) -> list[tuple[int, int]]:
-    """Linked pairs among ``sets``, or between its sides 0 and 1, enough to join all that are linked: of pairs that are
-    already in one component, given or found here, none is compared."""
-    sizes = np.array([len(x) for x in sets])
-    bits = 1 << min(max(math.ceil(math.log2(8 * max(float(np.median(sizes)), 1))), BITS[0]), BITS[1])
-    root = np.unique(components, return_inverse=True)[1]
+def candidates(maps: list[np.ndarray], sizes: np.ndarray, root: np.ndarray, side: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that the trees of these sets can't rule out, those of largest possible overlap first.
+
+    Pairs are of all sets, or of sides 0 and 1 if there are both, and of different components (``root``)."""
+    length = 1 << min(max(math.ceil(math.log2(8 * max(float(np.median(sizes)), 1))), BITS[0]), BITS[1]) >> 6
     order = np.lexsort((root, sizes))
-    known = root[order]
-    maps = np.array([bitmap(sets[i], bits) for i in order.tolist()])
+    maps, excess = fitted([maps[i] for i in order.tolist()], sizes[order], min(length, max(len(m) for m in maps)))
+    leaves = (maps, sizes[order], excess, root[order])
     if (side == side[0]).all():
-        x = tree(maps, sizes[order], known)
+        x = tree(*leaves)
         i, j, most = traverse(x, x, like, True)
         i, j = order[i], order[j]
     else:
         halves = [np.flatnonzero(side[order] == k) for k in (0, 1)]
-        x, y = (tree(maps[h], sizes[order][h], known[h]) for h in halves)
+        x, y = (tree(*[c[h] for c in leaves]) for h in halves)
         height = max(len(x), len(y))
         i, j, most = traverse(_level_up(x, height), _level_up(y, height), like, False)
         i, j = order[halves[0][i]], order[halves[1][j]]
     best = np.argsort(-most / np.maximum(sizes[i], sizes[j]), kind="stable")
-    i, j = i[best], j[best]
-    out = []
+    return i[best], j[best]
+
+
+def links(sets: list[np.ndarray], root: np.ndarray, i: np.ndarray, j: np.ndarray, like: Likeness) -> list[tuple[int, int]]:
+    """Of the pairs i, j those that are linked, enough to join all that are: a pair in one component, given or found, is not compared."""
+    root, out = root.copy(), []
     while len(i):
         for p, q in zip(i[:AT_ONCE].tolist(), j[:AT_ONCE].tolist(), strict=True):
             if root[p] == root[q]:
                 continue
             x, y = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if like.linked(len(x), len(y), common):
+            if like.linked(len(x), len(y), int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())):
                 out.append((p, q))
                 root[root == root[q]] = root[p]
         i, j = i[AT_ONCE:], j[AT_ONCE:]
@@ -270,19 +283,25 @@ def links(sets: list[np.ndarray], components: np.ndarray, side: np.ndarray, like
     return out
 
 
-def _trees(like: Likeness):
-    """Rows of one group and chunk pair after another, in order; (a, b) of the links found."""
+def _trees(like: Likeness, compared: bool):
+    """Rows of one group and chunk pair after another, in order; (a, b) of pairs that may be linked or, with the sets'
+    elements in the rows, of links."""
 
     def run(batches):
         group, held = None, []
 
         def flush():
-            ids = np.array([r[0] for r in held], np.int64)
-            found = links([np.frombuffer(r[1], np.uint64) for r in held], np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held]), like)
-            return pa.RecordBatch.from_pydict({"a": pa.array([ids[p] for p, _ in found], pa.int64()), "b": pa.array([ids[q] for _, q in found], pa.int64())})
+            ids, n, root, side = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2, 3))
+            root = np.unique(root, return_inverse=True)[1]
+            i, j = candidates([np.frombuffer(r[4], np.uint64) for r in held], n, root, side, like)
+            if compared:
+                found = links([np.frombuffer(r[5], np.uint64) for r in held], root, i, j, like)
+                i, j = [p for p, _ in found], [q for _, q in found]
+            a, b = ids[i], ids[j]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "elements", "component", "side")], strict=True):
+            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "n", "component", "side", "map", "elements")[: 9 if compared else 8]], strict=True):
                 if r[:3] != group:
                     if len(held) > 1:
                         yield flush()
@@ -294,11 +313,35 @@ def _trees(like: Likeness):
     return run
 
 
-def _searched(rows: DataFrame, content: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """The links (a, b) that the trees of ``rows`` (group, i, j, side, set, component) find."""
-    rows = rows.join(content, "set").select("group", "i", "j", "side", "set", "component", "elements")
+def _searched(rows: DataFrame, content: DataFrame, like: Likeness, name: str, compared: bool) -> DataFrame:
+    """The links, or the pairs that may be linked, (a, b) that the trees of ``rows`` (group, i, j, side, set, component) find."""
+    held = ["group", "i", "j", "side", "set", "component", "n", "map", *["elements"] * compared]
+    rows = rows.join(content.select("set", *held[6:]), "set").select(held)
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
-    return stored(rows.mapInArrow(_trees(like), "a long, b long").distinct(), name)
+    return stored(rows.mapInArrow(_trees(like, compared), "a long, b long").distinct(), name)
+
+
+def _verify(like: Likeness):
+    """Of rows (a, b, x, y) those whose sets x and y are linked."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep.append(bool(links([x, y], np.arange(2), np.zeros(1, int), np.ones(1, int), like)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compared(pairs: DataFrame, content: DataFrame, like: Likeness, name: str) -> DataFrame:
+    """The linked ones of pairs (a, b)."""
+    half = stored(pairs.join(content.select(F.col("set").alias("b"), F.col("elements").alias("y")), "b"), f"{name}-half")
+    both = half.join(content.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a").select("a", "b", "x", "y")
+    out = stored(both.mapInArrow(_verify(like), "a long, b long"), name)
+    dropped(half)
+    return out
 
 
 def _chunks() -> F.Column:
@@ -371,10 +414,10 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     1. Equal sets become one (their hash). 2. A set's keys are its first elements in one order of all, frequent ones
     last; linked sets share keys, in number. Keys of one set only fall away before anything else moves, and so do sets
     that share fewer keys than linked ones do. The sets with a key are a candidate group. 3. Groups grow signature
-    trees, in chunks; a dual traversal names the pairs that can be linked, and these are compared in place. In a first
-    round each set stands in its largest group alone, and the links found make components. 4. The second round grows
-    trees of all groups that still have sets of several components, and passes over pairs of one component. 5. All links
-    make the final components.
+    trees, in chunks; a dual traversal names the pairs that can be linked. In a first round each set stands in its largest
+    group alone, its pairs are compared in place, and the links found make components. 4. The second round grows trees of
+    all groups that still have sets of several components, and passes over pairs of one component; its rows hold bitmaps
+    alone, and the pairs that no tree rules out are compared after. 5. All links make the final components.
     No link between components is lost, no group is expanded into pairs or held as a whole, and the number of links of
     a document is not counted, as pairs inside a component are not compared.
     Null, empty and word-less texts have 0 shingles and are linked with nothing; null ids count as the largest, and
@@ -412,10 +455,10 @@ def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) ->
 
 
 def _read(texts: DataFrame, stand: DataFrame, sets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
-    """(set, elements) of the given sets, read again from one text of each; other texts are filtered before any Python."""
+    """(set, n, map, elements) of the given sets, read again from one text of each; other texts are filtered before any Python."""
     wanted = stored(sets.distinct().join(stand, "set").select("doc", F.col("set").alias("want")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(shingle), "set long, elements binary")
+    found = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(shingle), "set long, n long, map binary, elements binary")
     return stored(found.dropDuplicates(["set"]) if repeats else found, "content")
 
 
@@ -433,9 +476,9 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
     members = stored(members.join(stored(sizes, "sizes"), "key"), "candidates")
     content = _read(texts, stand, members.select("set"), shingle, repeats)
-    found = _searched(_first_round(members), content, like, "first-links")
+    found = _searched(_first_round(members), content, like, "first-links", True)
     roots = stored(components(found), "first-roots")
-    more = _searched(_second_round(members.drop("sets"), roots), content, like, "second-links")
+    more = _compared(_searched(_second_round(members.drop("sets"), roots), content, like, "likely", False), content, like, "second-links")
     roots = stored(components(more.unionByName(roots.select(F.col("set").alias("a"), F.col("root").alias("b")))), "roots")
     dropped(content)
 

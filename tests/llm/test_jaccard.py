@@ -81,34 +81,42 @@ def test_traversal_keeps_every_linked_pair_and_prunes_others():
     rng = np.random.default_rng(4)
     like = jaccard.Likeness(80, 100)
     sets = sets_like(rng.integers(0, 2**63, 60).astype(np.uint64), 120, rng)
-    levels = jaccard.tree(np.array([jaccard.bitmap(s, 512) for s in sets]), np.array([len(s) for s in sets]), np.arange(120))
-    assert all((x.maps.shape[0] + jaccard.FAN - 1) // jaccard.FAN == y.maps.shape[0] for x, y in zip(levels, levels[1:], strict=False))
-    i, j, most = jaccard.traverse(levels, levels, like, True)
-    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    sizes = np.array([len(s) for s in sets])
     common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for b in range(120) for a in range(b)}
-    assert {p for p, c in common.items() if like.linked(len(sets[p[0]]), len(sets[p[1]]), c)} <= found and len(found) < len(common) / 2
-    assert all(common[p] <= m for p, m in zip(zip(i.tolist(), j.tolist(), strict=True), most.tolist(), strict=True))
+    linked = {p for p, c in common.items() if like.linked(len(sets[p[0]]), len(sets[p[1]]), c)}
+    for bits, length in (([512] * 120, 8), ([64, 512, 256] * 40, 4), ([128, 256] * 60, 4)):  # as long, folded and repeated maps
+        maps, excess = jaccard.fitted([jaccard.bitmap(s, n) for s, n in zip(sets, bits, strict=True)], sizes, length)
+        levels = jaccard.tree(maps, sizes, excess, np.arange(120))
+        assert all(-(-x.maps.shape[0] // jaccard.FAN) == y.maps.shape[0] for x, y in zip(levels, levels[1:], strict=False))
+        i, j, most = jaccard.traverse(levels, levels, like, True)
+        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert linked <= found and len(found) < len(common)
+        assert all(common[p] <= m for p, m in zip(zip(i.tolist(), j.tolist(), strict=True), most.tolist(), strict=True))
+    assert len(jaccard.candidates([jaccard.bitmap(s, 512) for s in sets], sizes, np.arange(120), np.zeros(120), like)[0]) < len(common) / 2
 
 
 def test_trees_join_what_is_linked_and_no_more():
     rng = np.random.default_rng(5)
     like = jaccard.Likeness(80, 100)
     sets = sets_like(rng.integers(0, 2**63, 40).astype(np.uint64), 90, rng)
+    maps, sizes = [jaccard.bitmap(s, 256) for s in sets], np.array([len(s) for s in sets])
 
-    def parts(pairs, root):
+    def find(root, side):
+        return jaccard.links(sets, root, *jaccard.candidates(maps, sizes, root, side, like), like)
+
+    def parts(pairs):
+        root = list(range(90))
         for p, q in pairs:
             root = [min(root[p], root[q]) if r in (root[p], root[q]) else r for r in root]
         return root
 
     linked = [(a, b) for b in range(90) for a in range(b) if like.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))]
-    alone = np.arange(90)
-    found = jaccard.links(sets, -alone, np.zeros(90), like)
+    found = find(np.arange(90), np.zeros(90))
     assert set(map(tuple, map(sorted, found))) <= set(linked) and len(found) < len(linked)
-    assert parts(found, alone.tolist()) == parts(linked, alone.tolist())
+    assert parts(found) == parts(linked)
     side = rng.integers(0, 2, 90)
-    across = [(a, b) for a, b in linked if side[a] != side[b]]
-    assert parts(jaccard.links(sets, alone, side, like), alone.tolist()) == parts(across, alone.tolist())
-    assert not jaccard.links(sets, np.ones(90, int), np.zeros(90), like)
+    assert parts(find(np.arange(90), side)) == parts([(a, b) for a, b in linked if side[a] != side[b]])
+    assert not find(np.ones(90, int), np.zeros(90))
 
 
 def test_null_ids_repeats_and_no_rows(spark):
