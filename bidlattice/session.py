@@ -25,8 +25,15 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     return SparkSession.builder.master(master).config(map=base | conf).getOrCreate()
 
 
+#: Rows of one Arrow batch unless the session says otherwise: whole texts of documents are some kilobytes each, and a
+#: batch is held by the JVM and by the Python worker at once.
+ARROW_ROWS = "2000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and bounds their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
@@ -34,13 +41,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all
+    executors are in this process. On a cluster without the setting there is no such folder, which is an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = sc._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="bidlattice-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
