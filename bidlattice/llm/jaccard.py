@@ -184,6 +184,11 @@ def fitted(maps: list[np.ndarray], sizes: np.ndarray, length: int) -> tuple[np.n
     return np.array([np.tile(m, length // len(m)) for m in own]), excess
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, integers that are stored, marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Level(NamedTuple):
     """Nodes of one level of a signature tree: OR of bitmaps, size range, most elements beyond bits, component or -1."""
 
@@ -284,8 +289,9 @@ def links(sets: list[np.ndarray], root: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _trees(like: Likeness, compared: bool):
-    """Rows of one group and chunk pair after another, in order; (a, b) of pairs that may be linked or, with the sets'
-    elements in the rows, of links."""
+    """Rows of one group and chunk pair after another, in order; (a, b) of links, compared in place with the elements in
+    the rows, or of pairs that may be linked, each named by the first alone of the groups that have both sets (``keys``)."""
+    more = "elements" if compared else "keys"
 
     def run(batches):
         group, held = None, []
@@ -296,12 +302,14 @@ def _trees(like: Likeness, compared: bool):
             i, j = candidates([np.frombuffer(r[4], np.uint64) for r in held], n, root, side, like)
             if compared:
                 found = links([np.frombuffer(r[5], np.uint64) for r in held], root, i, j, like)
-                i, j = [p for p, _ in found], [q for _, q in found]
-            a, b = ids[i], ids[j]
+            else:
+                among = {p: set(held[p][5]) for p in np.unique(j).tolist()}
+                found = [(p, q) for p, q in zip(i.tolist(), j.tolist(), strict=True) if next(k for k in held[p][5] if k in among[q]) == group[0]]
+            a, b = ids[[p for p, _ in found]], ids[[q for _, q in found]]
             return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "n", "component", "side", "map", "elements")[: 9 if compared else 8]], strict=True):
+            for r in zip(*[batch.column(c).to_pylist() for c in ("group", "i", "j", "set", "n", "component", "side", "map", more)], strict=True):
                 if r[:3] != group:
                     if len(held) > 1:
                         yield flush()
@@ -314,9 +322,8 @@ def _trees(like: Likeness, compared: bool):
 
 
 def _searched(rows: DataFrame, content: DataFrame, like: Likeness, name: str, compared: bool) -> DataFrame:
-    """The links, or the pairs that may be linked, (a, b) that the trees of ``rows`` (group, i, j, side, set, component) find."""
-    held = ["group", "i", "j", "side", "set", "component", "n", "map", *["elements"] * compared]
-    rows = rows.join(content.select("set", *held[6:]), "set").select(held)
+    """The links, or the pairs that may be linked, (a, b) that the trees of ``rows`` (group, i, j, side, set, component[, keys]) find."""
+    rows = rows.join(content.select("set", "n", "map", *["elements"] * compared), "set")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "set")
     return stored(rows.mapInArrow(_trees(like, compared), "a long, b long").distinct(), name)
 
@@ -336,9 +343,11 @@ def _verify(like: Likeness):
 
 
 def _compared(pairs: DataFrame, content: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """The linked ones of pairs (a, b)."""
-    half = stored(pairs.join(content.select(F.col("set").alias("b"), F.col("elements").alias("y")), "b"), f"{name}-half")
-    both = half.join(content.select(F.col("set").alias("a"), F.col("elements").alias("x")), "a").select("a", "b", "x", "y")
+    """The linked ones of pairs (a, b), which are stored. Only their sets' elements move."""
+    elements = lambda c, as_: content.select(F.col("set").alias(c), F.col("elements").alias(as_))
+    half = stored(elements("b", "y").join(small(pairs), "b"), f"{name}-half")
+    theirs = stored(pairs.select("a").distinct(), f"{name}-sets")
+    both = half.join(elements("a", "x").join(small(theirs), "a", "left_semi"), "a").select("a", "b", "x", "y")
     out = stored(both.mapInArrow(_verify(like), "a long, b long"), name)
     dropped(half)
     return out
@@ -360,7 +369,7 @@ def _first_round(named: DataFrame) -> DataFrame:
     mine = top.join(groups.select("key", "chunks"), "key").select(F.col("key").alias("group"), F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int").alias("i"), "set")
     everywhere = groups.filter("chunks > 1").select(F.col("key").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "pivots").withColumn("set", F.explode("pivots")).select("group", "i", "set")
     rows = mine.unionByName(everywhere).distinct()
-    return rows.select("group", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set", F.col("set").alias("component"))
+    return small(stored(rows.select("group", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set", F.col("set").alias("component")), "first-rows"))
 
 
 def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -375,10 +384,12 @@ def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame:
     dropped(named)
     top = stored(mine.groupBy("set").agg(F.max(F.struct("sets", "key")).alias("t")).select("set", F.col("t.key").alias("top")), "tops")
     stays = mine.join(top, "set").groupBy("key").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b or a = key").select("key")
-    mine = mine.join(stored(stays, "stays"), "key").withColumn("chunks", _chunks()).withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int"))
+    mine = stored(mine.join(stored(stays, "stays"), "key"), "staying")
+    mine = mine.join(mine.groupBy("set").agg(F.sort_array(F.collect_list("key")).alias("keys")), "set")  # no more than the set has elements
+    mine = mine.withColumn("chunks", _chunks()).withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), F.when(o < F.col("chunk"), 1).otherwise(0).alias("side")))
-    few = mine.filter("chunks = 1").select(F.col("key").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "set", "component")
-    many = mine.filter("chunks > 1").withColumn("pair", F.explode(pairs)).select(F.col("key").alias("group"), "pair.*", "set", "component")
+    few = mine.filter("chunks = 1").select(F.col("key").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "set", "component", "keys")
+    many = mine.filter("chunks > 1").withColumn("pair", F.explode(pairs)).select(F.col("key").alias("group"), "pair.*", "set", "component", "keys")
     return few.unionByName(many)
 
 
@@ -457,8 +468,7 @@ def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) ->
 def _read(texts: DataFrame, stand: DataFrame, sets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
     """(set, n, map, elements) of the given sets, read again from one text of each; other texts are filtered before any Python."""
     wanted = stored(sets.distinct().join(stand, "set").select("doc", F.col("set").alias("want")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(side, "doc").select("doc_id", "text", "want").mapInArrow(_content(shingle), "set long, n long, map binary, elements binary")
+    found = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(small(wanted), "doc").select("doc_id", "text", "want").mapInArrow(_content(shingle), "set long, n long, map binary, elements binary")
     return stored(found.dropDuplicates(["set"]) if repeats else found, "content")
 
 
