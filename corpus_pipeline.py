@@ -28,9 +28,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays = F.col("doc_id") == F.col("component_id")
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and(stays).alias("all"), F.bool_or(stays).alias("any"))
     ids = stored(ids.filter("any"), "kept")
-    sure = docs.join(ids.filter("all").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    sure = docs.join(jaccard.small(ids.filter("all").select("doc_id")), "doc_id", "left_semi").select(docs.columns)
 
-    mixed = ids.filter("not all").select("doc_id")
+    mixed = jaccard.small(ids.filter("not all").select("doc_id"))
     sets = found.join(mixed, "doc_id", "left_semi").filter(stays).select(F.col("doc_id").alias("id"), F.col("set").alias("one")).distinct()
     some = jaccard.with_set(docs.join(mixed, "doc_id", "left_semi").select(docs.columns))
     some = some.join(sets, (F.col("doc_id") == F.col("id")) & F.col("set").eqNullSafe(F.col("one")), "left_semi").select(docs.columns)
