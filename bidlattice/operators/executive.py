@@ -44,8 +44,10 @@ def relationship_map(g: Graph) -> DataFrame:
 
 def opportunity_pipeline(g: Graph, pairs: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """(uid, total_scored, pursue_count, pipeline_health, best_tender): of the ``limit`` best open tenders those of 50 points or more, over all scored."""
-    pairs = opportunity.every_pair(g) if pairs is None else pairs
-    total = pairs.groupBy("company").agg(F.count("*").alias("total_scored"))
+    if pairs is None:  # every company meets every open tender: one number
+        total = g.names("company").select(F.col("uid").alias("company"), F.lit(opportunity.open_tenders(g).count()).cast("long").alias("total_scored")).filter("total_scored > 0")
+    else:
+        total = pairs.groupBy("company").agg(F.count("*").alias("total_scored"))
     best = opportunity.best_opportunities(g, pairs, limit).groupBy("company").agg(F.count_if(F.col("score") >= 50).alias("pursue_count"), F.min_by("tender", "rank").alias("best_tender"), F.max("score").alias("best_score"))
     out = total.join(best, "company", "left")
     return out.select(F.col("company").alias("uid"), "total_scored", F.coalesce("pursue_count", F.lit(0)).alias("pursue_count"), X.ratio("pursue_count", "total_scored").alias("pipeline_health"), "best_tender", "best_score")
@@ -69,12 +71,12 @@ def strategic_priorities(g: Graph, limit: int = 10) -> DataFrame:
 
 def risk_register(g: Graph) -> DataFrame:
     """(uid, overall_risk, risk_count, risk_factors): five rules, the worst severity first."""
-    pipe = opportunity.every_pair(g).groupBy(F.col("company").alias("uid")).agg(F.count("*").alias("total_scored"))
+    n_open = opportunity.open_tenders(g).count()
     n = company.buyers(g).groupBy("uid").agg(F.count("*").alias("buyer_count"))
-    out = market_position(g).join(company_situation(g).select("uid", "bid_count"), "uid").join(n, "uid", "left").join(pipe, "uid", "left")
+    out = market_position(g).join(company_situation(g).select("uid", "bid_count"), "uid").join(n, "uid", "left")
     rules = [
         ("single_buyer_dependency", "high", F.col("buyer_count") == 1), ("very_low_win_rate", "high", (F.col("bid_count") >= 5) & (F.col("win_rate") < 0.15)),
-        ("empty_pipeline", "medium", F.coalesce("total_scored", F.lit(0)) == 0), ("high_competitive_pressure", "medium", F.col("pressure_score") >= 0.7),
+        ("empty_pipeline", "medium", F.lit(n_open == 0)), ("high_competitive_pressure", "medium", F.col("pressure_score") >= 0.7),
         ("competition_detected", "low", (F.col("direct_competitors") > 0) & (F.col("pressure_score") < 0.7)),
     ]
     factors = F.array_compact(F.array(*[F.when(c, n) for n, _, c in rules]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from . import store
 from .views import Graph
 
 #: Weight of each dimension.
@@ -41,47 +42,111 @@ def tender_industries(g: Graph) -> DataFrame:
     return taking_part(g).join(g.industries, "company").groupBy("tender").agg(F.array_sort(F.collect_set("industry")).alias("inds"))
 
 
-def _industry_history(g: Graph, wanted: DataFrame, inds: DataFrame) -> DataFrame:
-    """(company, inds, rel_bids, rel_wins) for distinct (company, inds): the company's own tenders that share an industry with inds.
+def _words(g: Graph) -> int:
+    """64-bit words that hold a bit for each industry."""
+    if not hasattr(g, "_industry_words"):
+        g._industry_words = max(1, -(-_numbers(g).count() // 64))
+    return g._industry_words
+
+
+def _numbers(g: Graph) -> DataFrame:
+    """(industry, k) with k = 0, 1, ...: industries that companies are in, a dimension."""
+    return g.once("industry_numbers", lambda: store.numbered(g.industries.select("industry").distinct(), F.col("industry")).select("industry", F.col("n").alias("k")))
+
+
+def _bits(g: Graph, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name0, name1, ...): each key's set of industries as bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("k", F.lit(64)).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("k") / 64) == w, bit)), F.lit(0).cast("long")).alias(f"{name}{w}") for w in range(_words(g))]
+    return rows.join(_numbers(g), "industry").groupBy(key).agg(*words)
+
+
+def _common(g: Graph, a: str, b: str):
+    """Number of industries in both of two sets of bits; null where either is."""
+    parts = [F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.col(f"{b}{w}"))) for w in range(_words(g))]
+    return sum(parts[1:], parts[0])
+
+
+def _tender_side(g: Graph) -> DataFrame:
+    """Everything that scores depend on by the tender alone: facts, buyer and its place and size, industries, edges."""
+
+    def make():
+        buyers = g.nodes("organization", "company").select(F.col("uid").alias("buyer"), F.lower(F.coalesce(F.col("attributes")["city"], F.lit(""))).alias("b_city"), F.lower(F.coalesce(F.col("attributes")["province"], F.lit(""))).alias("b_prov"))
+        size = g.issued.groupBy("buyer").agg(F.count("*").alias("b_tenders"))
+        edges = g.participation.groupBy("tender").agg(F.count("*").alias("n_comp"))
+        inds = _bits(g, taking_part(g).join(g.industries, "company"), "tender", "inds")
+        out = g.facts.select("tender", "tender_name", "value", "date", "deadline", "city", "province", X.opportunity_bucket("value").alias("bucket")).join(g.buyer_of, "tender", "left")
+        return out.join(inds, "tender", "left").join(edges, "tender", "left").join(buyers, "buyer", "left").join(size, "buyer", "left")
+
+    return g.once("tender_side", make)
+
+
+def _company_side(g: Graph) -> DataFrame:
+    """Everything that scores depend on by the company alone: bids, wins, recent ones, value bands, places, industries."""
+
+    def make():
+        year = int(g.as_of[:4])
+        dated = X.year("date").isin(year, year - 1)
+        own = g.participation.join(g.facts.select("tender", X.opportunity_bucket("value").alias("bucket"), F.coalesce(dated, F.lit(False)).alias("recent")), "tender")
+        bids = own.groupBy("company").agg(
+            F.count("*").alias("c_bids"), F.count_if("is_win").alias("c_wins"), F.count_if("recent").alias("c_recent"), *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in _BUCKETS]
+        )
+        places = g.locations.join(g.entities.select(F.col("uid").alias("location"), F.lower("name").alias("place")), "location").groupBy("company").agg(F.collect_set("place").alias("places"))
+        out = bids.join(places, "company", "full_outer")
+        return out.join(_bits(g, g.industries, "company", "mine"), "company", "full_outer")
+
+    return g.once("company_side", make)
+
+
+def _with_buyer(g: Graph) -> DataFrame:
+    """(company, buyer, cb_bids, cb_wins)."""
+    return g.once("with_buyer", lambda: g.participation.join(g.issued, "tender").groupBy("company", "buyer").agg(F.count("*").alias("cb_bids"), F.count_if("is_win").alias("cb_wins")))
+
+
+def _industry_history(g: Graph, wanted: DataFrame) -> DataFrame:
+    """(company, inds.., rel_bids, rel_wins) for distinct ``wanted`` (company, inds..): the company's own tenders that share an industry with inds.
 
     A company's tenders all have the company's own industries, so where inds has one of them all its tenders count;
-    only the rest meets the company's sets of industries one by one."""
-    own = g.industries.groupBy("company").agg(F.collect_set("industry").alias("mine"))
-    tenders = g.participation.join(inds.withColumnRenamed("inds", "theirs"), "tender", "left").groupBy("company", "theirs").agg(F.count("*").alias("bids"), F.count_if("is_win").alias("wins"))
+    only the rest meets the company's distinct sets of industries, bit by bit."""
+    words = range(_words(g))
+    keys = [f"inds{w}" for w in words]
+    theirs = _tender_side(g).filter(F.col("inds0").isNotNull()).select("tender", *[F.col(k).alias(f"t_{k}") for k in keys])
+    tenders = g.once("industry_tenders", lambda: g.participation.join(theirs, "tender", "left").groupBy("company", *[f"t_{k}" for k in keys]).agg(F.count("*").alias("bids"), F.count_if("is_win").alias("wins")))
     total = tenders.groupBy("company").agg(F.sum("bids").alias("rel_bids"), F.sum("wins").alias("rel_wins"))
-    wanted = wanted.filter("inds is not null").distinct().join(own, "company", "left")
-    shares = F.coalesce(F.arrays_overlap("inds", "mine"), F.lit(False))
-    quick = wanted.filter(shares).join(total, "company", "left").select("company", "inds", "rel_bids", "rel_wins")
-    rest = wanted.filter(~shares).join(tenders.filter("theirs is not null"), "company").filter(F.arrays_overlap("inds", "theirs"))
-    return quick.unionByName(rest.groupBy("company", "inds").agg(F.sum("bids").alias("rel_bids"), F.sum("wins").alias("rel_wins")))
-
-
-def features(g: Graph, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with everything that scores depend on."""
-    year = int(g.as_of[:4])
-    inds = tender_industries(g)
-    bucket = X.opportunity_bucket("value")
-    dated = X.year("date").isin(year, year - 1)
-    own = g.participation.join(g.facts.select("tender", bucket.alias("bucket"), F.coalesce(dated, F.lit(False)).alias("recent")), "tender")
-    company = own.groupBy("company").agg(
-        F.count("*").alias("c_bids"), F.count_if("is_win").alias("c_wins"), F.count_if("recent").alias("c_recent"), *[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in _BUCKETS]
-    )
-    places = g.locations.join(g.entities.select(F.col("uid").alias("location"), F.lower("name").alias("place")), "location").groupBy("company").agg(F.collect_set("place").alias("places"))
-    mine = g.industries.groupBy("company").agg(F.collect_set("industry").alias("mine"))
-    buyers = g.nodes("organization", "company").select(F.col("uid").alias("buyer"), F.lower(F.coalesce(F.col("attributes")["city"], F.lit(""))).alias("b_city"), F.lower(F.coalesce(F.col("attributes")["province"], F.lit(""))).alias("b_prov"))
-    size = g.issued.groupBy("buyer").agg(F.count("*").alias("b_tenders"))
-    edges = g.participation.groupBy("tender").agg(F.count("*").alias("n_comp"))
-    with_buyer = g.participation.join(g.issued, "tender").groupBy("company", "buyer").agg(F.count("*").alias("cb_bids"), F.count_if("is_win").alias("cb_wins"))
-    out = pairs.join(g.facts.select("tender", "tender_name", "value", "date", "deadline", "city", "province", bucket.alias("bucket")), "tender").join(g.buyer_of, "tender", "left")
-    out = out.join(inds, "tender", "left").join(edges, "tender", "left").join(buyers, "buyer", "left").join(size, "buyer", "left")
-    out = out.join(with_buyer, ["company", "buyer"], "left").join(company, "company", "left").join(places, "company", "left").join(mine, "company", "left")
-    history = _industry_history(g, out.select("company", "inds"), inds)
-    return out.join(history, ["company", "inds"], "left")
-
-
-def score(g: Graph, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with each dimension from 0 to 1, and ``score``."""
+    wanted = wanted.join(_company_side(g).select("company", *[f"mine{w}" for w in words]), "company", "left")
+    shares = F.coalesce(_common(g, "inds", "mine") > 0, F.lit(False))
+    quick = wanted.filter(shares).join(total, "company", "left").select("company", *keys, "rel_bids", "rel_wins")
+    meets = [F.col(k).bitwiseAND(F.col(f"t_{k}")) != 0 for k in keys]
+    overlap = meets[0]
+    for m in meets[1:]:
+        overlap = overlap | m
+    sets = tenders.filter("t_inds0 is not null").withColumnRenamed("company", "c")
+    rest = wanted.filter(~shares).join(sets, (F.col("company") == F.col("c")) & overlap)
+    return quick.unionByName(rest.groupBy("company", *keys).agg(F.sum("bids").alias("rel_bids"), F.sum("wins").alias("rel_wins")))
+
+
+def features(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
+    """``pairs``, or all companies with all open tenders, with everything that scores depend on.
+
+    What hangs on the tender or the company alone is worked out once for each and attached before the product of the
+    two; only the history with the buyer and that in the tender's industries are joined to pairs."""
+    t, c = _tender_side(g), _company_side(g)
+    keys = [f"inds{w}" for w in range(_words(g))]
+    if pairs is None:
+        companies = g.names("company").select(F.col("uid").alias("company"))
+        t = t.join(open_tenders(g), "tender", "left_semi")
+        out = companies.join(c, "company", "left").crossJoin(t)
+        wanted = companies.crossJoin(t.select(*keys).filter("inds0 is not null").distinct())
+    else:
+        out = pairs.join(t, "tender").join(c, "company", "left")
+        wanted = pairs.join(t.select("tender", *keys), "tender").filter("inds0 is not null").select("company", *keys).distinct()
+    return out.join(_with_buyer(g), ["company", "buyer"], "left").join(_industry_history(g, wanted), ["company", *keys], "left")
+
+
+def score(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
+    """``pairs``, or all companies with all open tenders, with each dimension from 0 to 1, and ``score``."""
     out = features(g, pairs)
+    n_inds = _common(g, "inds", "inds")
     n = lambda c: F.coalesce(c, F.lit(0))
     zero = F.lit(0)
     sizes = [n(f"n_{b}") for b in _BUCKETS]
@@ -98,16 +163,16 @@ def score(g: Graph, pairs: DataFrame) -> DataFrame:
     base = F.col("c_wins") / F.col("c_bids")
     with_buyer = F.col("cb_wins") / F.col("cb_bids")
     comp, size, recent = n("n_comp"), n("b_tenders"), n("c_recent")
-    new = F.when(F.col("mine").isNull(), F.size("inds")).otherwise(F.size(F.array_except("inds", "mine")))
+    new = F.when(F.col("mine0").isNull(), n_inds).otherwise(n_inds - _common(g, "inds", "mine"))
     dims = {
-        "capability": F.when(F.col("mine").isNull() | F.col("inds").isNull(), 0.5).otherwise(F.size(F.array_intersect("inds", "mine")) / F.size("inds")),
+        "capability": F.when(F.col("mine0").isNull() | F.col("inds0").isNull(), 0.5).otherwise(_common(g, "inds", "mine") / n_inds),
         "buyer_history": F.when(~has_buyer | (n("cb_bids") == 0), 0.3).otherwise(clamp(with_buyer + clamp(F.col("cb_bids") / 10.0) * 0.1)),
-        "industry_history": F.when(F.col("inds").isNull(), 0.4).when(n("rel_bids") == 0, 0.3).otherwise(clamp(F.col("rel_wins") / F.col("rel_bids"))),
+        "industry_history": F.when(F.col("inds0").isNull(), 0.4).when(n("rel_bids") == 0, 0.3).otherwise(clamp(F.col("rel_wins") / F.col("rel_bids"))),
         "value_fit": F.when(F.col("value").isNull() | (total == 0), 0.5).otherwise(clamp(match / total)),
         "geo_fit": F.when(F.col("places").isNull() | ((city == "") & (prov == "")), 0.5).when(inside(city), 1.0).when(inside(prov), 0.7).otherwise(0.2),
         "competition": F.when(comp == 0, 0.5).when(comp <= 2, 0.9).when(comp <= 5, 0.7).when(comp <= 10, 0.4).otherwise(F.greatest(F.lit(0.1), 1 - comp / 20.0)),
         "buyer_attractiveness": F.when(~has_buyer, 0.3).when(size == 0, 0.2).when(size <= 2, 0.4).when(size <= 10, 0.6).when(size <= 30, 0.8).otherwise(0.95),
-        "strategic": F.least(F.lit(1.0), 0.3 + F.when(~has_buyer, 0.0).when(n("cb_bids") == 0, 0.3).otherwise(0.1) + 0.15 * F.when(F.col("inds").isNull(), zero).otherwise(new)),
+        "strategic": F.least(F.lit(1.0), 0.3 + F.when(~has_buyer, 0.0).when(n("cb_bids") == 0, 0.3).otherwise(0.1) + 0.15 * F.when(F.col("inds0").isNull(), zero).otherwise(new)),
         "workload": F.when(recent == 0, 0.9).when(recent <= 3, 0.8).when(recent <= 8, 0.6).when(recent <= 15, 0.4).otherwise(F.greatest(F.lit(0.1), 1 - recent / 30.0)),
         "win_probability": F.when(n("c_bids") == 0, 0.2).when(n("cb_bids") > 0, clamp((base + with_buyer) / 2)).otherwise(clamp(base)),
     }
@@ -151,7 +216,7 @@ def explain(g: Graph, pairs: DataFrame) -> DataFrame:
     """Score, label, every dimension's points and the tender's facts, with what was missing or assumed."""
     out = score(g, pairs).withColumn("recommendation", label())
     missing = _list((F.col("buyer").isNull(), "No issuing organisation found"), (F.col("value").isNull(), "No contract value"))
-    weak = _list((F.col("inds").isNull(), "No industry data on the tender"), (F.col("geo_fit") == 0.5, "No location data"))
+    weak = _list((F.col("inds0").isNull(), "No industry data on the tender"), (F.col("geo_fit") == 0.5, "No location data"))
     assumed = _list((F.coalesce("cb_wins", F.lit(0)) == 0, "No prior wins with this buyer"), (F.coalesce("c_bids", F.lit(0)) == 0, "No tender history"))
     points = [X.rounded(F.col(k) * w, 1).alias(f"{k}_points") for k, w in WEIGHTS.items()]
     return out.select("company", "tender", "tender_name", F.col("value").alias("tender_value"), F.col("date").alias("tender_date"), F.col("deadline").alias("tender_deadline"), "buyer", "score", "recommendation", *points, missing.alias("missing_information"), weak.alias("weak_evidence"), assumed.alias("assumptions"))
@@ -227,7 +292,7 @@ def similar_opportunities(g: Graph, pairs: DataFrame, limit: int | None = 10) ->
 
 def best_opportunities(g: Graph, pairs: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
     """(company, tender, score, recommendation, value, buyer, rank): each company's tenders of highest score."""
-    out = score(g, every_pair(g) if pairs is None else pairs).withColumn("recommendation", label())
+    out = score(g, pairs).withColumn("recommendation", label())
     w = Window.partitionBy("company").orderBy(F.desc("score"), "tender")
     out = out.select("company", "tender", "score", "recommendation", "value", "buyer", F.row_number().over(w).alias("rank"))
     return out if limit is None else out.filter(F.col("rank") <= limit)

@@ -12,12 +12,20 @@ from .views import Graph
 _EVENTS = ("awarded_to", "submitted_bid", "participated_in", "contracted_for", "applied_for")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b")).distinct()
+
+
 def _shared(members: DataFrame, key: str, name: str, pairs: DataFrame | None) -> DataFrame:
-    """(uid_a, uid_b, name): how many ``key`` two companies have both; uid_a < uid_b."""
+    """(uid_a, uid_b, name): how many ``key`` two companies have both; uid_a < uid_b.
+
+    Given pairs come first: their companies' keys are joined, so a key of very many members costs no more than the
+    pairs that have it. Without them the result is all pairs that share a key, and its size is theirs."""
     m = members.select("company", key).distinct()
-    out = m.withColumnRenamed("company", "uid_a").join(m.withColumnRenamed("company", "uid_b"), key).filter("uid_a < uid_b")
     if pairs is not None:
-        out = out.join(pairs.select(F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b")).distinct(), ["uid_a", "uid_b"], "left_semi")
+        out = _ordered(pairs).filter("uid_a < uid_b").join(m.withColumnRenamed("company", "uid_a"), "uid_a").join(m.withColumnRenamed("company", "uid_b"), ["uid_b", key])
+    else:
+        out = m.withColumnRenamed("company", "uid_a").join(m.withColumnRenamed("company", "uid_b"), key).filter("uid_a < uid_b")
     return out.groupBy("uid_a", "uid_b").agg(F.count("*").alias(name))
 
 
@@ -54,10 +62,11 @@ def shared_competitors(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     For pairs without a common tender, those that each of them meets on its own tenders."""
     t = g.participation.select("company", "tender").distinct()
     third = g.participation.filter(F.col("role").isin("awarded_to", "submitted_bid")).select(F.col("company").alias("c"), "tender").distinct()
-    both = t.withColumnRenamed("company", "uid_a").join(t.withColumnRenamed("company", "uid_b"), "tender").filter("uid_a < uid_b")
-    if pairs is not None:
-        ordered = pairs.select(F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b")).distinct()
-        both = both.join(ordered, ["uid_a", "uid_b"], "left_semi")
+    if pairs is None:
+        both = t.withColumnRenamed("company", "uid_a").join(t.withColumnRenamed("company", "uid_b"), "tender").filter("uid_a < uid_b")
+    else:
+        ordered = _ordered(pairs)
+        both = ordered.filter("uid_a < uid_b").join(t.withColumnRenamed("company", "uid_a"), "uid_a").join(t.withColumnRenamed("company", "uid_b"), ["uid_b", "tender"])
     meet = both.join(third, "tender").groupBy("uid_a", "uid_b").agg(F.count_distinct(F.when((F.col("c") != F.col("uid_a")) & (F.col("c") != F.col("uid_b")), F.col("c"))).alias("shared_competitor_count"))
     if pairs is None:
         return meet.filter("shared_competitor_count > 0")
@@ -84,7 +93,7 @@ def strength(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     for f in counts.values():
         out = out.join(f(g, pairs), on, "full_outer")
     if pairs is not None:
-        out = out.join(pairs.select(F.least("uid_a", "uid_b").alias("uid_a"), F.greatest("uid_a", "uid_b").alias("uid_b")).distinct(), on, "right")
+        out = out.join(_ordered(pairs), on, "right")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in (*counts, "direct_count")})
     soft = sum([F.col(c) for c in counts], F.lit(0))
     weights = F.concat(F.coalesce("weights", F.array().cast("array<double>")), F.array_repeat(F.lit(0.3), F.least(soft, F.lit(60)).cast("int")))

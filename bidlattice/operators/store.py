@@ -208,8 +208,8 @@ def save(g: Graph, folder: str) -> None:
         df.write.partitionBy("kind").mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def read(spark: SparkSession, folder: str, as_of: str, normalise: bool = False) -> Graph:
-    return Graph(spark.read.schema(schema.ENTITY).parquet(f"{folder}/entities"), spark.read.schema(schema.RELATION).parquet(f"{folder}/relations"), as_of, normalise)
+def read(spark: SparkSession, folder: str, as_of: str, normalise: bool = False, kept: bool = False) -> Graph:
+    return Graph(spark.read.schema(schema.ENTITY).parquet(f"{folder}/entities"), spark.read.schema(schema.RELATION).parquet(f"{folder}/relations"), as_of, normalise, kept)
 
 
 def duplicate_keys(g: Graph) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -9,16 +10,30 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..plans import schema
+from ..session import stored
+
+
+def view(f: Callable) -> cached_property:
+    """A view of a graph: made once, and stored where the graph is kept."""
+    return cached_property(lambda self: self.once(f.__name__, lambda: f(self)))
 
 
 class Graph:
     """Entities and relations, with ``as_of`` as today's date of every date-relative operator.
 
     ``normalise``: award edges written tender to company are turned round and repeated ones dropped. Views are lazy;
-    a filter on a kind reaches the scan of the tables, so each view reads only the edges it needs."""
+    a filter on a kind reaches the scan of the tables, so each view reads only the edges it needs. ``kept``: a view is
+    written to the shared folder when it is first used, and every operator that uses it again reads that."""
+
+    def __init__(self, entities: DataFrame, relations: DataFrame, as_of: str, normalise: bool = False, kept: bool = False):
+        self.entities, self.relations, self.as_of, self.normalise, self.kept = entities, relations, as_of, normalise, kept
+        self._made: dict[str, DataFrame] = {}
 
-    def __init__(self, entities: DataFrame, relations: DataFrame, as_of: str, normalise: bool = False):
-        self.entities, self.relations, self.as_of, self.normalise = entities, relations, as_of, normalise
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, made once; stored where the graph is kept."""
+        if name not in self._made:
+            self._made[name] = stored(make(), name) if self.kept else make()
+        return self._made[name]
 
     def nodes(self, *kinds: str) -> DataFrame:
         return self.entities.filter(F.col("kind").isin(*kinds))
@@ -29,7 +44,7 @@ class Graph:
     def names(self, *kinds: str) -> DataFrame:
         return self.nodes(*kinds).select("uid", "name")
 
-    @cached_property
+    @view
     def participation(self) -> DataFrame:
         """(company, tender, role, is_win, contract_value): a row for each edge by which a company takes part."""
         edges = self.edges(*schema.BIDS)
@@ -41,23 +56,23 @@ class Graph:
             out = out.unionByName(back.select(*columns("target_uid", "source_uid"))).groupBy("company", "tender", "role").agg(F.max("contract_value").alias("contract_value"))
         return out.withColumn("is_win", F.col("role") == "awarded_to")
 
-    @cached_property
+    @view
     def issued(self) -> DataFrame:
         """(tender, buyer): every issuing edge to an organisation or company."""
         edges = self.edges("issued_by").filter(X.is_kind("source_uid", "tender") & X.is_kind("target_uid", "organization", "company"))
         return edges.select(F.col("source_uid").alias("tender"), F.col("target_uid").alias("buyer"))
 
-    @cached_property
+    @view
     def buyer_of(self) -> DataFrame:
         """(tender, buyer): one buyer of each tender, the smallest uid."""
         return self.issued.groupBy("tender").agg(F.min("buyer").alias("buyer"))
 
-    @cached_property
+    @view
     def winner_of(self) -> DataFrame:
         """(tender, winner): one winner of each tender, the smallest uid."""
         return self.participation.filter("is_win").groupBy("tender").agg(F.min("company").alias("winner"))
 
-    @cached_property
+    @view
     def facts(self) -> DataFrame:
         """(tender, name, value, date, deadline, buyer-engine date and value, city, province, category) of each tender."""
         a = F.col("attributes")
@@ -78,25 +93,25 @@ class Graph:
         edges = self.edges(kind).filter(X.is_kind("source_uid", "company") & X.is_kind("target_uid", node))
         return edges.select(F.col("source_uid").alias("company"), F.col("target_uid").alias(name)).distinct()
 
-    @cached_property
+    @view
     def industries(self) -> DataFrame:
         return self._out("industry", "in_industry", "industry")
 
-    @cached_property
+    @view
     def cities(self) -> DataFrame:
         return self._out("city", "in_city", "city")
 
-    @cached_property
+    @view
     def provinces(self) -> DataFrame:
         return self._out("province", "in_province", "province")
 
-    @cached_property
+    @view
     def locations(self) -> DataFrame:
         """(company, location, location_kind)."""
         edges = self.edges("in_city", "in_province", "located_at", "has_address").filter(X.is_kind("source_uid", "company"))
         return edges.select(F.col("source_uid").alias("company"), F.col("target_uid").alias("location"), F.col("kind").alias("relation")).distinct()
 
-    @cached_property
+    @view
     def adjacency(self) -> DataFrame:
         """(uid, other, relation, direction, weight): each edge from both of its ends."""
         r = self.relations
@@ -105,7 +120,7 @@ class Graph:
         back = r.select(F.col("target_uid").alias("uid"), F.col("source_uid").alias("other"), F.col("kind").alias("relation"), F.lit("in").alias("direction"), w.alias("weight"), "valid_to")
         return out.unionByName(back)
 
-    @cached_property
+    @view
     def scopes(self) -> DataFrame:
         """(scope, tender): a market scope's tenders: a buyer's issued, or those companies of a city, province or industry take part in."""
         taking = self.participation.select("company", "tender").distinct()
@@ -114,7 +129,7 @@ class Graph:
             out = out.unionByName(members.join(taking, "company").select(F.col(key).alias("scope"), "tender").distinct())
         return out
 
-    @cached_property
+    @view
     def scope_wins(self) -> DataFrame:
         """(scope, company, wins): a buyer's awards by winner; a city's, province's or industry's companies by all their awards."""
         out = self.issued.filter(X.is_kind("buyer", "organization")).join(self.winner_of, "tender").groupBy(F.col("buyer").alias("scope"), F.col("winner").alias("company")).agg(F.count("*").alias("wins"))

@@ -14,7 +14,7 @@ FLAGSHIP = "market_share"
 
 
 def _on_star(query: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: query(star.graph(spark, folder))
+    return lambda spark, folder: query(star.kept(spark, folder))
 
 
 _PARTS = (buyer_queries, competitive_queries, opportunity_queries, company_queries)

@@ -70,7 +70,7 @@ GRAPH = {
 }
 TABLES = {"search_documents": _documents, "import_twice": _reload, "event_windows": _incremental, "event_sessions": _sessions}
 
-QUERIES = {name: (lambda q: lambda spark, folder: q(star.graph(spark, folder)))(query) for name, query in GRAPH.items()} | TABLES
+QUERIES = {name: (lambda q: lambda spark, folder: q(star.kept(spark, folder)))(query) for name, query in GRAPH.items()} | TABLES
 
 _E = """ent as (
   select company as uid, 'company' as kind, name from home union all select buyer, 'organization', name from org union all select printf('TEN-%08d', o_orderkey + 1), 'tender', 'Tender ' || o_orderkey from orders

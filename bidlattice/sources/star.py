@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import store
 from ..operators.views import Graph
+from ..session import scratch
 
 AS_OF = "2001-08-02"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 CLOSING_DAYS = 45  # from a tender's date to its closing date
 
 
@@ -37,7 +40,7 @@ def _relation(df: DataFrame, kind: str, source, target, attributes: dict | None
 
 def graph(spark: SparkSession, folder: str) -> Graph:
     """The graph of the tables region, nation, customer, supplier, part, orders and lineitem under ``folder``."""
-    t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in TABLES}
     key = lambda prefix, c: X.uid(prefix, F.col(c) + 1)
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     tender = t["orders"].select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", day.alias("day"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), CLOSING_DAYS), "yyyy-MM-dd").alias("closing"))
@@ -71,3 +74,27 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     ]
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
     return Graph(union(entities), union(relations), AS_OF)
+
+
+_KEPT: dict[tuple, tuple[str, Graph]] = {}
+
+
+def kept(spark: SparkSession, folder: str) -> Graph:
+    """``graph``, written once to the shared folder with both tables partitioned by kind, and read from there ever after:
+    all queries of a session on one folder are queries on one stored graph, whose views are stored as well. A graph is
+    stored anew when a table's files have changed or the stored ones are gone."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    signs = []
+    for n in TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.parquet")
+        fs = at.getFileSystem(conf)
+        signs.append((fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()))
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), folder)
+    if key in _KEPT and _KEPT[key][0] == str(signs):
+        at = jvm.org.apache.hadoop.fs.Path(_KEPT[key][1].entities.inputFiles()[0])
+        if at.getFileSystem(conf).exists(at):
+            return _KEPT[key][1]
+    at = scratch(spark, "graph")
+    store.save(graph(spark, folder), at)
+    _KEPT[key] = (str(signs), store.read(spark, at, AS_OF, kept=True))
+    return _KEPT[key][1]
