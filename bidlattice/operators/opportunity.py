@@ -194,20 +194,20 @@ def _list(*items):
 def recommendation(g: Graph, pairs: DataFrame) -> DataFrame:
     """(company, tender, score, recommendation, why_pursue, why_ignore, next_actions)."""
     out = score(g, pairs).withColumn("recommendation", label())
-    # Limits and texts of the reasons.
+    # The limits. The reasons are codes of our own.
     pursue = _list(
-        (F.col("capability") >= 0.6, "Strong capability alignment"), (F.col("buyer_history") >= 0.5, "Proven track record with this buyer"),
-        (F.col("competition") >= 0.7, "Low competition"), (F.col("strategic") >= 0.6, "High strategic value"),
+        (F.col("capability") >= 0.6, "capability_fits"), (F.col("buyer_history") >= 0.5, "buyer_won_before"),
+        (F.col("competition") >= 0.7, "few_rivals"), (F.col("strategic") >= 0.6, "strategic_gain"),
     )
     ignore = _list(
-        (F.col("capability") < 0.6, "Limited capability overlap"), (F.col("buyer_history") < 0.25, "No or poor history with this buyer"),
-        (F.col("competition") < 0.4, "Highly competitive market"), (F.col("workload") < 0.4, "High current workload"),
+        (F.col("capability") < 0.6, "capability_short"), (F.col("buyer_history") < 0.25, "buyer_unproven"),
+        (F.col("competition") < 0.4, "many_rivals"), (F.col("workload") < 0.4, "busy"),
     )
     going = F.col("recommendation").isin("Strong Pursue", "Pursue")
     months = X.months_until("deadline", g.as_of)
     actions = _list(
-        (going & (months <= 1), "Urgent deadline"), (going, "Assign bid team"), (going, "Contact the buyer"),
-        (F.col("recommendation") == "Strategic Investment", "Evaluate a partnership"), (F.col("recommendation") == "Monitor", "Watch for updates"),
+        (going & (months <= 1), "due_within_a_month"), (going, "staff_the_bid"), (going, "call_the_buyer"),
+        (F.col("recommendation") == "Strategic Investment", "look_for_a_partner"), (F.col("recommendation") == "Monitor", "keep_watching"),
     )
     return out.select("company", "tender", "score", "recommendation", pursue.alias("why_pursue"), ignore.alias("why_ignore"), actions.alias("next_actions"))
 
@@ -215,9 +215,9 @@ def recommendation(g: Graph, pairs: DataFrame) -> DataFrame:
 def explain(g: Graph, pairs: DataFrame) -> DataFrame:
     """Score, label, every dimension's points and the tender's facts, with what was missing or assumed."""
     out = score(g, pairs).withColumn("recommendation", label())
-    missing = _list((F.col("buyer").isNull(), "No issuing organisation found"), (F.col("value").isNull(), "No contract value"))
-    weak = _list((F.col("inds0").isNull(), "No industry data on the tender"), (F.col("geo_fit") == 0.5, "No location data"))
-    assumed = _list((F.coalesce("cb_wins", F.lit(0)) == 0, "No prior wins with this buyer"), (F.coalesce("c_bids", F.lit(0)) == 0, "No tender history"))
+    missing = _list((F.col("buyer").isNull(), "buyer"), (F.col("value").isNull(), "value"))
+    weak = _list((F.col("inds0").isNull(), "tender_industries"), (F.col("geo_fit") == 0.5, "location"))
+    assumed = _list((F.coalesce("cb_wins", F.lit(0)) == 0, "no_win_with_buyer"), (F.coalesce("c_bids", F.lit(0)) == 0, "no_bids"))
     points = [X.rounded(F.col(k) * w, 1).alias(f"{k}_points") for k, w in WEIGHTS.items()]
     return out.select("company", "tender", "tender_name", F.col("value").alias("tender_value"), F.col("date").alias("tender_date"), F.col("deadline").alias("tender_deadline"), "buyer", "score", "recommendation", *points, missing.alias("missing_information"), weak.alias("weak_evidence"), assumed.alias("assumptions"))
 
@@ -245,16 +245,16 @@ def risk(g: Graph, pairs: DataFrame) -> DataFrame:
     """(company, tender, score, overall_risk, risk_factors, mitigations): seven rules; overall is the worst severity."""
     out = score(g, pairs)
     tight = _deadline_risk(_urgency(X.months_until("deadline", g.as_of))) == "high"
-    # Factors, severities and limits.
+    # Factors, severities and limits. The measures against them are codes of our own.
     rules = [
-        ("high_competition", "high", F.col("competition") < 0.4, "Consider a teaming approach"),
-        ("capability_gap", "high", F.col("capability") < 0.3, "Bridge capability gaps before submission"),
+        ("high_competition", "high", F.col("competition") < 0.4, "share_the_bid"),
+        ("capability_gap", "high", F.col("capability") < 0.3, "add_skills"),
         ("partial_capability", "medium", (F.col("capability") >= 0.3) & (F.col("capability") < 0.5), None),
-        ("high_workload", "medium", F.col("workload") < 0.4, "Review resource capacity"),
-        ("no_buyer_history", "medium", F.col("buyer_history") < 0.25, "Build a relationship with the buyer"),
-        ("value_mismatch", "medium", F.col("value_fit") < 0.3, "Ensure financial capacity"),
-        ("geographic_stretch", "low", F.col("geo_fit") < 0.4, "Plan for local partnerships"),
-        ("tight_deadline", "high", tight, "Start preparation at once"),
+        ("high_workload", "medium", F.col("workload") < 0.4, "free_staff"),
+        ("no_buyer_history", "medium", F.col("buyer_history") < 0.25, "meet_the_buyer"),
+        ("value_mismatch", "medium", F.col("value_fit") < 0.3, "secure_funds"),
+        ("geographic_stretch", "low", F.col("geo_fit") < 0.4, "find_local_help"),
+        ("tight_deadline", "high", tight, "begin_now"),
     ]
     any_ = lambda level: F.coalesce(F.greatest(*[c.cast("int") for _, s, c, _ in rules if s == level], F.lit(0)), F.lit(0)) > 0
     overall = F.when(any_("high"), "high").when(any_("medium"), "medium").otherwise("low")

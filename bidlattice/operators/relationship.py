@@ -101,15 +101,17 @@ def strength(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     return out.select(*on, *counts, "direct_count", "evidence_count", "relationship_strength", X.strength_confidence("relationship_strength", "evidence_count").alias("confidence"))
 
 
+#: Words for each signal of a pair, in the order in which ``explain`` names them.
+SIGNALS = {
+    "direct_count": "direct edges", "co_appearances": "common events", "shared_buyer_count": "common buyers", "shared_industry_count": "common industries",
+    "shared_location_count": "common places", "shared_competitor_count": "common competitors",
+}
+
+
 def explain(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
-    """``strength`` with a sentence on each signal that there is."""
-    out = strength(g, pairs)
-    say = lambda c, a, b: F.when(F.col(c) > 0, F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b)))
-    text = F.concat_ws(
-        " ", say("direct_count", "They are directly linked by ", " edge(s)."), say("co_appearances", "They co-appear in ", " event(s)."), say("shared_buyer_count", "They share ", " buyer(s)."),
-        say("shared_industry_count", "Both operate in ", " common industry(ies)."), say("shared_location_count", "Both are located in ", " common place(s)."), say("shared_competitor_count", "They face ", " common competitor(s)."),
-    )
-    return out.withColumn("explanation_text", F.when(text == "", "No connection found.").otherwise(text))
+    """``strength`` with a text that counts each signal that there is."""
+    text = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}"))) for c, what in SIGNALS.items()])
+    return strength(g, pairs).withColumn("explanation_text", F.when(text == "", "nothing in common").otherwise(text))
 
 
 def _links(df: DataFrame, count: str, weight: float, limit: int | None) -> DataFrame:

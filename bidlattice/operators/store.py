@@ -51,13 +51,6 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return sorted_.withColumn("n", base + F.col("_id") - F.shiftleft(part, 33)).drop("_id")
 
 
-def folded(maps: Column) -> Column:
-    """Array of (seq, map) to one map: later values win key by key."""
-    none = F.create_map().cast("map<string,string>")
-    in_order = F.array_sort(maps, lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0))
-    return F.aggregate(in_order, none, lambda a, x: F.map_zip_with(a, F.coalesce(x.m, none), lambda k, old, new: F.coalesce(new, old)))
-
-
 def _last(value: str, when: Column | None = None) -> Column:
     return F.max_by(value, F.when(when, F.col("seq")) if when is not None else F.col("seq"))
 
@@ -75,11 +68,17 @@ def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
     rows = rows.withColumn("sid", sid)
     for by_id in (True, False):
         mine = rows.filter(F.col("sid").isNotNull() if by_id else F.col("sid").isNull()).withColumn("key", F.col("sid") if by_id else F.col("canonical_name"))
+        if not mine.limit(1).count():
+            continue
         there = current.withColumn("key", sid if by_id else F.col("canonical_name")).filter("key is not null").groupBy("kind", "key").agg(F.min("uid").alias("uid"))
         merged = mine.groupBy("kind", "key").agg(
-            _last("name").alias("name"), _last("canonical_name").alias("canonical_name"), folded(F.collect_list(F.struct("seq", F.col("attributes").alias("m")))).alias("attributes"),
+            _last("name").alias("name"), _last("canonical_name").alias("canonical_name"),
             _last("source", F.col("source").isNotNull()).alias("source"), F.max("confidence").alias("confidence"), F.min("seq").alias("first"),
         )
+        # Values combine before the shuffle, attribute by attribute, so a name of very many rows is no row of its own size.
+        values = mine.select("kind", "key", "seq", F.explode("attributes").alias("a", "v")).filter("v is not null").groupBy("kind", "key", "a").agg(_last("v").alias("v"))
+        values = values.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("a", "v"))).alias("attributes"))
+        merged = merged.join(values, ["kind", "key"], "left")
         merged = stored(merged.join(there, ["kind", "key"], "left"), "merged")
         largest = current.groupBy("kind").agg(F.max(F.substring_index("uid", "-", -1).cast("long")).alias("largest"))
         fresh = numbered(merged.filter("uid is null").select("kind", "key", "first"), F.col("kind"), F.col("first"), F.col("key"))
@@ -102,15 +101,48 @@ def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
     return current
 
 
-def resolved(entities: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A relation delta with ``source_uid`` and ``target_uid``, endpoints found by kind and canonical name through aliases,
-    and the rows of which an endpoint is unknown."""
-    own = entities.groupBy("kind", "canonical_name").agg(F.min("uid").alias("uid"))
+def _aliases(g: Graph) -> DataFrame:
+    """(canonical_name, alias_uid, scraper_id, uid) of aliases that lead to a company."""
+    names = g.nodes("company_alias").select("canonical_name", F.col("uid").alias("alias_uid"), X.truthy(F.col("attributes")["scraper_id"]).alias("scraper_id"))
+    found = alias_map(g).filter(X.is_kind("canonical_uid", "company")).select(F.col("uid").alias("alias_uid"), F.col("canonical_uid").alias("uid"))
+    return names.join(found, "alias_uid")
+
+
+def without_aliases(g: Graph, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """An entity delta without the companies that are known aliases of another, in ``g`` or by the alias edges of
+    ``relations``: they are that company, and no second one is made of them. A company of that very name, and one with a
+    scraper id, is its own."""
+    said = relations.filter("kind = 'alias_of' and source_kind = 'company_alias' and target_kind = 'company'").select(X.canonical("source_name").alias("canonical_name"))
+    known = _aliases(g).select("canonical_name").unionByName(said).distinct().join(g.nodes("company").select("canonical_name").distinct(), "canonical_name", "left_anti")
+    other = (F.col("kind") == "company") & X.truthy(F.col("attributes")["scraper_id"]).isNull()
+    rows = entities.withColumn("canonical_name", F.when(other, X.canonical("name")))
+    return rows.join(known, "canonical_name", "left_anti").select(entities.columns)
+
+
+def resolved(g: Graph, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A relation delta with ``source_uid`` and ``target_uid``, and the rows of which an endpoint is unknown.
+
+    An endpoint is found by kind and canonical name, of several entities the smallest uid; a company also by the name of
+    an alias that leads to it, where no company has that name. Edges other than alias_of never end at an alias: they
+    are its company's. With columns ``source_id`` or ``target_id``, a scraper id where it is not null finds the company
+    that has it, or whose alias does."""
+    aliases = stored(_aliases(g), "aliases")
+    own = g.entities.groupBy("kind", "canonical_name").agg(F.min("uid").alias("uid")).withColumn("order", F.lit(0))
+    by_alias = aliases.groupBy("canonical_name").agg(F.min("uid").alias("uid")).select(F.lit("company").alias("kind"), "canonical_name", "uid", F.lit(1).alias("order"))
+    names = own.unionByName(by_alias).groupBy("kind", "canonical_name").agg(F.min_by("uid", "order").alias("uid"))
+    ids = g.nodes("company").select(X.truthy(F.col("attributes")["scraper_id"]).alias("id"), "uid", F.lit(0).alias("order")).unionByName(aliases.select(F.col("scraper_id").alias("id"), "uid", F.lit(1).alias("order")))
+    ids = ids.filter("id is not null").groupBy("id").agg(F.min(F.struct("order", "uid")).alias("x")).select("id", F.col("x.uid").alias("id_uid"))
     out = delta
     for end in ("source", "target"):
-        names = own.select(F.col("kind").alias(f"{end}_kind"), F.col("canonical_name").alias(f"_{end}"), F.col("uid").alias(f"{end}_uid"))
-        out = out.withColumn(f"_{end}", X.canonical(f"{end}_name")).join(names, [f"{end}_kind", f"_{end}"], "left")
+        if f"{end}_id" not in out.columns:
+            out = out.withColumn(f"{end}_id", F.lit(None).cast("string"))
+        mine = names.select(F.col("kind").alias(f"{end}_kind"), F.col("canonical_name").alias(f"_{end}"), F.col("uid").alias(f"{end}_uid"))
+        out = out.withColumn(f"_{end}", F.when(F.col(f"{end}_id").isNull(), X.canonical(f"{end}_name"))).join(mine, [f"{end}_kind", f"_{end}"], "left")
+        out = out.join(ids.withColumnRenamed("id", f"{end}_id"), f"{end}_id", "left").withColumn(f"{end}_uid", F.coalesce("id_uid", f"{end}_uid")).drop("id_uid")
+        company = aliases.select(F.col("alias_uid").alias(f"{end}_uid"), F.col("uid").alias("_company"))
+        out = out.join(company, f"{end}_uid", "left").withColumn(f"{end}_uid", F.when(F.col("kind") != "alias_of", F.coalesce("_company", f"{end}_uid")).otherwise(F.col(f"{end}_uid"))).drop("_company")
     ok = F.col("source_uid").isNotNull() & F.col("target_uid").isNotNull() & F.col("kind").isin(*schema.RELATION_KINDS)
+    out = stored(out, "resolved")
     return out.filter(ok), out.filter(~ok).select(delta.columns)
 
 
@@ -129,22 +161,48 @@ def merge_relations(current: DataFrame, delta: DataFrame, now: str) -> DataFrame
     )
 
 
-def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_by: str = "import") -> Merged:
+REJECTED = "seq long, kind string, name string, what string"
+
+
+def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_by: str = "import", changes: int = 0) -> Merged:
     """The graph's tables after both deltas. Entities of unknown kind or without a name, and relations of unknown kind or
-    endpoints, are rejected rows."""
-    e = merge_entities(g.entities, entities, now)
-    usable, lost = resolved(e, relations)
-    r = stored(merge_relations(g.relations, usable, now), "relations")
-    bad = entities.filter(~F.col("kind").isin(*schema.PREFIXES) | (F.coalesce(X.canonical("name"), F.lit("")) == ""))
-    rejected = bad.select("seq", "kind", "name", F.lit("entity").alias("what")).unionByName(lost.select("seq", "kind", F.concat_ws(" -> ", "source_name", "target_name").alias("name"), F.lit("relation").alias("what")))
+    endpoints, are rejected rows. Alias edges come first, so that names of aliases find their companies in the same load.
+    History rows are numbered on from ``changes``, those of one load in the order of their uids."""
+    e = merge_entities(g.entities, without_aliases(g, entities, relations), now)
+    alias_edges, r, lost = relations.filter("kind = 'alias_of'"), g.relations, relations.limit(0)
+    if alias_edges.limit(1).count():
+        usable, lost = resolved(Graph(e, r, g.as_of), alias_edges)
+        r = stored(merge_relations(r, usable, now), "alias-relations")
+    usable, more = resolved(Graph(e, r, g.as_of), relations.filter("kind is null or kind <> 'alias_of'"))
+    r = stored(merge_relations(r, usable, now), "relations")
+    bad = entities.filter(~F.coalesce(F.col("kind").isin(*schema.PREFIXES), F.lit(False)) | (F.coalesce(X.canonical("name"), F.lit("")) == ""))
+    rejected = bad.select("seq", "kind", "name", F.lit("entity").alias("what")).unionByName(lost.unionByName(more).select("seq", "kind", F.concat_ws(" -> ", "source_name", "target_name").alias("name"), F.lit("relation").alias("what")))
     history = e.filter(F.col("updated_at") == now).select("uid", F.to_json(F.struct("kind", "name", "attributes", "source", "confidence")).alias("snapshot"), F.lit(changed_by).alias("changed_by"), F.lit(now).alias("changed_at"))
+    history = numbered(history, F.col("uid")).select("uid", "snapshot", "changed_by", "changed_at", (F.col("n") + changes + 1).alias("seq"))
     return Merged(e, r, history, rejected)
 
 
+def counts(before: Graph, m: Merged, now: str) -> dict[str, int]:
+    """Numbers of one load: entities and relations created, entities updated, rows rejected."""
+    e = m.entities.filter(F.col("updated_at") == now).agg(F.count_if(F.col("created_at") == now).alias("created"), F.count("*").alias("all")).first()
+    known = before.entities.join(m.entities.filter((F.col("updated_at") == now) & (F.col("created_at") == now)).select("uid"), "uid", "left_semi").count()
+    created = e.created - known
+    return {"entities_created": created, "entities_updated": e["all"] - created, "relations_created": m.relations.count() - before.relations.count(), "rejected": m.rejected.count()}
+
+
+def company_by_id(g: Graph, company_id: str) -> DataFrame:
+    """The company of a uid, or of a scraper id that it or an alias of it has."""
+    if str(company_id).upper().startswith("CMP-"):
+        return get(g, str(company_id).upper()).filter("kind = 'company'")
+    has = X.truthy(F.col("attributes")["scraper_id"]) == str(company_id)
+    uids = g.nodes("company").filter(has).select("uid", F.lit(0).alias("order")).unionByName(_aliases(g).filter(F.col("scraper_id") == str(company_id)).select("uid", F.lit(1).alias("order")))
+    return g.nodes("company").join(uids.orderBy("order", "uid").limit(1).select("uid"), "uid", "left_semi")
+
+
 def alias_map(g: Graph, most: int = 10) -> DataFrame:
     """(uid, canonical_uid): aliases to the entity at the end of their alias_of chain, by pointer jumping; cycles stop after ``most`` rounds."""
     m = g.edges("alias_of").groupBy(F.col("source_uid").alias("uid")).agg(F.min("target_uid").alias("canonical_uid"))
-    for _ in range(most):
+    for _ in range(most if g.edges("alias_of").limit(1).count() else 0):
         step = m.alias("a").join(m.alias("b"), F.col("a.canonical_uid") == F.col("b.uid"), "left")
         m = stored(step.select("a.uid", F.coalesce("b.canonical_uid", "a.canonical_uid").alias("canonical_uid"), F.col("b.uid").isNotNull().alias("moved")), "alias")
         if not m.filter("moved").limit(1).count():

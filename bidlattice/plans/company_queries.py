@@ -161,9 +161,7 @@ ORACLES = {
     "shared_competitors": sql("select * from sc", _SC),
     "relationship_strength": sql(f"select *, {_conf('relationship_strength', 'evidence_count')} as confidence from rels", _SB, _ST, _SI, _SL, _SC, _REL),
     "relationship_explain": sql(
-        """select uid_a, uid_b, relationship_strength, concat_ws(' ', case when co_appearances > 0 then 'They co-appear in ' || co_appearances || ' event(s).' end, case when shared_buyer_count > 0 then 'They share ' || shared_buyer_count || ' buyer(s).' end,
-        case when shared_industry_count > 0 then 'Both operate in ' || shared_industry_count || ' common industry(ies).' end, case when shared_location_count > 0 then 'Both are located in ' || shared_location_count || ' common place(s).' end,
-        case when shared_competitor_count > 0 then 'They face ' || shared_competitor_count || ' common competitor(s).' end) as explanation_text from rels""", _SB, _ST, _SI, _SL, _SC, _REL),
+        "select uid_a, uid_b, relationship_strength, concat_ws('; ', " + ", ".join(f"case when {c} > 0 then {c} || ' {what}' end" for c, what in relationship.SIGNALS.items() if c != "direct_count") + ") as explanation_text from rels", _SB, _ST, _SI, _SL, _SC, _REL),
     "infer_relationships": sql(_inferred(50), _SB, _SI, _SL),
     "recurring_partnerships": sql(f"select uid, other, co_event_count, {_eq('co_event_count', 1.0)} as strength, {_conf(_eq('co_event_count', 1.0), 'co_event_count')} as confidence from ({_PARTNERS}) where co_event_count >= 2"),
     "industry_clusters": sql(f"select industry, company as uid, coalesce(wins, 0) as tender_count, {_eq('coalesce(wins, 0)', 1.0)} as strength from ci left join won using (company)"),

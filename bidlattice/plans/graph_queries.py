@@ -102,6 +102,12 @@ ORACLES = {
     "bfs_levels": _recursive(f"select '{START}' as seed, uid, min(hops)::bigint as hops from lev group by uid", _R, _ADJ, _LEVELS),
     "duplicate_keys": sql("select kind, lower(name) as canonical_name, count(*) as n from ent group by 1, 2 having count(*) > 1", _E),
     "company_identity": sql("select company as uid, name, 0 as aliases, 0 as external_ids from home"),
+    "search_entities": sql(
+        """select uid, kind from (select key as uid, any_value(kind) as kind, floor(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))) * 1e6::double + 0.500001::double) / 1e6::double as score
+        from eh join ed using (term), es group by 1) order by score desc, uid limit 50""", _E,
+        "et as (select uid as key, kind, list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from ent)", "es as (select count(*) as n, avg(len(w)) as mean from et)",
+        "eh as (select key, kind, len(w) as length, term, count(*) as tf from (select key, kind, w, unnest(w) as term from et) where starts_with(term, 'urgent') or starts_with(term, 'customer') or starts_with(term, '000000012') group by all)",
+        "ed as (select term, count(*) as df from eh group by 1)"),
     "search_documents": """
 with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents),
 s as (select count(*) as n, avg(len(w)) as mean from t),

@@ -73,9 +73,9 @@ def _joined(*items: tuple[str, str]) -> str:
 _GOING = "recommendation in ('Strong Pursue', 'Pursue')"
 _BEST = "best as (select company, tender, score, recommendation, value, buyer, row_number() over (partition by company order by score desc, tender)::int as rank from r)"
 _RISKS = (
-    ("competition < 0.4", "high_competition", "Consider a teaming approach"), ("capability < 0.3", "capability_gap", "Bridge capability gaps before submission"), ("capability >= 0.3 and capability < 0.5", "partial_capability", None),
-    ("workload < 0.4", "high_workload", "Review resource capacity"), ("buyer_history < 0.25", "no_buyer_history", "Build a relationship with the buyer"), ("value_fit < 0.3", "value_mismatch", "Ensure financial capacity"),
-    ("geo_fit < 0.4", "geographic_stretch", "Plan for local partnerships"), ("urgency in ('critical', 'expired')", "tight_deadline", "Start preparation at once"),
+    ("competition < 0.4", "high_competition", "share_the_bid"), ("capability < 0.3", "capability_gap", "add_skills"), ("capability >= 0.3 and capability < 0.5", "partial_capability", None),
+    ("workload < 0.4", "high_workload", "free_staff"), ("buyer_history < 0.25", "no_buyer_history", "meet_the_buyer"), ("value_fit < 0.3", "value_mismatch", "secure_funds"),
+    ("geo_fit < 0.4", "geographic_stretch", "find_local_help"), ("urgency in ('critical', 'expired')", "tight_deadline", "begin_now"),
 )
 _OVERALL = "case when competition < 0.4 or capability < 0.3 or urgency in ('critical', 'expired') then 'high' when capability < 0.5 or workload < 0.4 or buyer_history < 0.25 or value_fit < 0.3 then 'medium' else 'low' end"
 
@@ -83,9 +83,9 @@ ORACLES = {
     "opportunity_score": sql(f"select company, tender, {', '.join(o.WEIGHTS)}, score from s", _PART, _FEATURES),
     "opportunity_recommendation": sql(
         f"""select company, tender, score, recommendation,
-        {_joined(("capability >= 0.6", "Strong capability alignment"), ("buyer_history >= 0.5", "Proven track record with this buyer"), ("competition >= 0.7", "Low competition"), ("strategic >= 0.6", "High strategic value"))} as why_pursue,
-        {_joined(("capability < 0.6", "Limited capability overlap"), ("buyer_history < 0.25", "No or poor history with this buyer"), ("competition < 0.4", "Highly competitive market"), ("workload < 0.4", "High current workload"))} as why_ignore,
-        {_joined((f"{_GOING} and months <= 1", "Urgent deadline"), (_GOING, "Assign bid team"), (_GOING, "Contact the buyer"), ("recommendation = 'Strategic Investment'", "Evaluate a partnership"), ("recommendation = 'Monitor'", "Watch for updates"))} as next_actions from r""", _PART, _FEATURES),
+        {_joined(("capability >= 0.6", "capability_fits"), ("buyer_history >= 0.5", "buyer_won_before"), ("competition >= 0.7", "few_rivals"), ("strategic >= 0.6", "strategic_gain"))} as why_pursue,
+        {_joined(("capability < 0.6", "capability_short"), ("buyer_history < 0.25", "buyer_unproven"), ("competition < 0.4", "many_rivals"), ("workload < 0.4", "busy"))} as why_ignore,
+        {_joined((f"{_GOING} and months <= 1", "due_within_a_month"), (_GOING, "staff_the_bid"), (_GOING, "call_the_buyer"), ("recommendation = 'Strategic Investment'", "look_for_a_partner"), ("recommendation = 'Monitor'", "keep_watching"))} as next_actions from r""", _PART, _FEATURES),
     "opportunity_explain": sql("select company, tender, value as tender_value, strftime(d, '%Y-%m-%d') as tender_date, strftime(closing, '%Y-%m-%d') as tender_deadline, buyer, score, round(capability * 15, 1) as capability_points, round(strategic * 10, 1) as strategic_points from r", _PART, _FEATURES),
     "opportunity_timeline": sql(
         f"""select company, tender, bucket as value_bucket, months as months_until_deadline, round(-round(date_diff('day', date '2001-08-02', d) / 30.44::double, 1), 1) as months_since_issue, urgency as submission_urgency,

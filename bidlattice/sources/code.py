@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from ..functions import exprs as X
 from ..operators.search import bm25
 from ..plans import schema
 from ..session import prepare, stored
+from ..streaming import versions
 from . import parsers
 
 
@@ -26,7 +30,7 @@ def _hidden(spark: SparkSession, root: str) -> list[tuple[str, bytearray]]:
             own = s.getPath().getName()
             dotted = inside or own.startswith(".")
             if s.isDirectory():
-                if own not in parsers.IGNORED:
+                if own not in parsers.IGNORED and not own.endswith(parsers.IGNORED_SUFFIX):
                     todo.append((s.getPath(), f"{name}{own}/", dotted))
             elif dotted and s.getLen() <= parsers.MOST_BYTES and parsers.language(own):
                 stream = fs.open(s.getPath())
@@ -35,27 +39,59 @@ def _hidden(spark: SparkSession, root: str) -> list[tuple[str, bytearray]]:
     return sorted(out)
 
 
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(regular expression, whether it ignores) of each line of an ignore file, in order; the last that fits a path decides.
+
+    A pattern with a slash that isn't its last character is bound to the root, others fit at any depth; a last slash
+    fits folders alone. ``*`` and ``?`` stay in one folder, ``**`` doesn't."""
+    out = []
+    for line in text.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        folder, bound = line.endswith("/"), "/" in line.rstrip("/")
+        parts = []
+        for m in re.finditer(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]*\]|\\?(.)", line.strip("/"), re.S):
+            parts.append({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(m[0]) or (re.escape(m[1]) if m[1] else m[0].replace("[!", "[^", 1)))
+        out.append((("^" if bound else "(?:^|/)") + "".join(parts) + ("/" if folder else "(?:/|$)"), not back))
+    return out
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, hash) of all files of known kinds up to 512 KB outside ignored folders; paths are relative to ``root``."""
+    """(path, content, hash) of all files of known kinds up to 512 KB outside ignored folders and those that the root's
+    ignore file leaves out; paths are relative to ``root``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= parsers.MOST_BYTES)
     base = root.rstrip("/").removeprefix("file:").rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^/*" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base.lstrip("/")) + "/", "")
     hidden = spark.createDataFrame(_hidden(spark, root), "path string, content binary")
     out = found.select(path.alias("path"), "content").unionByName(hidden).withColumn("hash", F.md5("content"))
-    skip = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in parsers.IGNORED) + ")/"
+    skip = "(^|/)(" + "|".join(re.escape(x) for x in parsers.IGNORED) + "|[^/]*" + re.escape(parsers.IGNORED_SUFFIX) + ")/"
     known = r"(?i)(\.(" + "|".join(parsers.LANGUAGES) + r")|(^|/)\.env[^/]*)$"
-    return out.filter(~F.col("path").rlike(skip) & F.col("path").rlike(known))
+    ignored = F.lit(False)
+    for rule, ignores in ignore_rules(_text(spark, f"{root.rstrip('/')}/.gitignore")):
+        ignored = F.when(F.col("path").rlike(rule), ignores).otherwise(ignored)
+    return out.filter(~F.col("path").rlike(skip) & F.col("path").rlike(known) & ~ignored)
 
 
-_PARSED = "file_path string, entities array<struct<kind:string,name:string,qualified_name:string,line_start:int,line_end:int,signature:string,docstring:string>>, relations array<struct<source:string,kind:string,target:string,line:int,resolved:boolean>>"
+def _text(spark: SparkSession, path: str) -> str:
+    """A small text file, empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    out = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    stream.close()
+    return out
 
 
-def index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of a source tree: parsed in Python workers by whole files, references resolved by joins.
+_PARSED = "file_path string, hash string, entities array<struct<kind:string,name:string,qualified_name:string,line_start:int,line_end:int,signature:string,docstring:string>>, relations array<struct<source:string,kind:string,target:string,line:int,resolved:boolean>>"
 
-    A reference finds the entity of its qualified name, else, of entities whose name is its last part, the one of smallest
-    qualified name; what stays unknown keeps the name as its target."""
-    prepare(spark)
+
+def parsed_files(found: DataFrame) -> DataFrame:
+    """(file_path, hash, entities, relations) of ``found`` (path, content, hash): whole files, in Python workers."""
+    prepare(found.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -64,9 +100,40 @@ def index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             r = [[dict(zip(("source", "kind", "target", "line", "resolved"), x, strict=True)) for x in rs] for _, rs in rows]
             entity = pa.struct([("kind", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("signature", pa.string()), ("docstring", pa.string())])
             relation = pa.struct([("source", pa.string()), ("kind", pa.string()), ("target", pa.string()), ("line", pa.int32()), ("resolved", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([b.column("path").cast(pa.string()), pa.array(e, pa.list_(entity)), pa.array(r, pa.list_(relation))], ["file_path", "entities", "relations"])
+            yield pa.RecordBatch.from_arrays([b.column("path").cast(pa.string()), b.column("hash").cast(pa.string()), pa.array(e, pa.list_(entity)), pa.array(r, pa.list_(relation))], ["file_path", "hash", "entities", "relations"])
+
+    return found.mapInArrow(run, _PARSED)
+
 
-    parsed = stored(files(spark, root).mapInArrow(run, _PARSED), "parsed")
+def index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of a source tree: parsed by whole files, references resolved by joins."""
+    return resolved(stored(parsed_files(files(spark, root)), "parsed"))
+
+
+def refresh(spark: SparkSession, root: str, folder: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``index`` of a tree whose parsed files are kept in ``folder``, and how many files were parsed, kept and dropped.
+
+    Only files whose content is not known by its hash are parsed; references are resolved anew over all of them, so an
+    edge to what another file gained or lost is right. A new version is written beside the old one and named last."""
+    kept = versions.read(spark, folder)
+    known = spark.read.parquet(kept["parsed"]) if kept else spark.createDataFrame([], _PARSED)
+    now = stored(files(spark, root), "files")
+    same = known.join(now.select(F.col("path").alias("file_path"), "hash"), ["file_path", "hash"], "left_semi")
+    fresh = parsed_files(now.join(known.select(F.col("file_path").alias("path"), "hash"), ["path", "hash"], "left_anti").select("path", "content", "hash"))
+    number, at = (kept["version"] if kept else 0) + 1, f"{folder}/parsed-{uuid.uuid4().hex}"
+    same.select(known.columns).unionByName(fresh).write.parquet(at)
+    versions.commit(spark, folder, number, {"parsed": at})
+    parsed = spark.read.parquet(at)
+    again = parsed.join(known.select("file_path", "hash"), ["file_path", "hash"], "left_semi").count()
+    counts = {"parsed": parsed.count() - again, "kept": again, "dropped": known.join(now.select(F.col("path").alias("file_path")), "file_path", "left_anti").count()}
+    return *resolved(parsed), counts
+
+
+def resolved(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of parsed files.
+
+    A reference finds the entity of its qualified name, else, of entities whose name is its last part, the one of smallest
+    qualified name; what stays unknown keeps the name as its target."""
     none = F.create_map().cast("map<string,string>")
     e = parsed.select("file_path", F.explode("entities").alias("e")).select("file_path", "e.*")
     language = F.create_map(*[F.lit(x) for k, v in parsers.LANGUAGES.items() for x in (k, v)])

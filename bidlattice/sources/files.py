@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators.store import ENTITY_DELTA, RELATION_DELTA
+from ..operators.store import ENTITY_DELTA, RELATION_DELTA, numbered
 
 #: Texts that mean nothing.
 EMPTY = ("", "nan", "none", "n/a", "-")
@@ -36,14 +36,16 @@ def clean(x) -> Column:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the order of its rows in its files. Tables without such an order are numbered by their key instead."""
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
-def _read(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A CSV with a header; quotes may hold line ends, and a byte order mark is no part of the first name."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return _numbered(df if limit is None else df.limit(limit))
+def _read(spark: SparkSession, path: str, limit: int | None = None, lines: bool = True) -> DataFrame:
+    """A CSV with a header; a byte order mark is no part of the first name, and quotes may hold line ends. Without that
+    (``lines`` false) a large file is read in splits; with ``limit``, the first rows in the order of the file."""
+    df = spark.read.option("header", True).option("multiLine", lines).option("escape", '"').csv(path)
+    df = _numbered(df.toDF(*[c.lstrip("﻿").strip() for c in df.columns]))
+    return df if limit is None else df.orderBy("seq").limit(limit)
 
 
 def _map(pairs: dict[str, Column]) -> Column:
@@ -73,15 +75,21 @@ class Build:
         if report:
             self.lost.append(named.filter("name is null").select("seq", F.lit("no name").alias("reason")))
 
-    def relation(self, df: DataFrame, source: tuple, kind, target: tuple, attributes: dict | None = None, when: Column | None = None, valid_from: Column | None = None) -> None:
+    def relation(self, df: DataFrame, source: tuple, kind, target: tuple, attributes: dict | None = None, when: Column | None = None, valid_from: Column | None = None, more: dict | None = None) -> None:
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
         rows = df if when is None else df.filter(when)
         out = rows.select(
             self._seq(), lit(source[0]).alias("source_kind"), clean(source[1]).alias("source_name"), lit(kind).alias("kind"), lit(target[0]).alias("target_kind"), clean(target[1]).alias("target_name"),
             _map(attributes or {}).alias("attributes"), F.lit(self.source).alias("source"), F.lit(1.0).alias("confidence"), (F.lit(None).cast("string") if valid_from is None else valid_from).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"),
+            *[v.alias(k) for k, v in (more or {}).items()],
         )
         self.r.append(out.filter("source_name is not null and target_name is not null"))
 
+    def by_id(self, df: DataFrame, company_id: Column, kind: str, target: tuple, attributes: dict | None = None, valid_from: Column | None = None) -> None:
+        """An edge from the company that has a scraper id, or whose alias has."""
+        rows = df.withColumn("_id", company_id.cast("string")).filter("_id is not null")
+        self.relation(rows, ("company", F.concat(F.lit("scraper id "), F.col("_id"))), kind, target, attributes, valid_from=valid_from, more={"source_id": F.col("_id")})
+
     def places(self, df: DataFrame, kind: str, name: Column, location: Column) -> None:
         """City and province edges of a text such as ``Victoria, BC``; parts are cut at commas, slashes and bars."""
         short = F.create_map(*[F.lit(x) for k, v in PROVINCES.items() for x in (k, v)])
@@ -93,7 +101,7 @@ class Build:
         self.relation(part, (kind, F.col("_n")), edge, (node, F.col("_p")))
 
     def done(self) -> Delta:
-        union = lambda parts, schema: self.spark.createDataFrame([], schema) if not parts else parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]], schema)
+        union = lambda parts, schema: self.spark.createDataFrame([], schema) if not parts else parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1], allowMissingColumns=True), *parts[2:]], schema)
         return Delta(union(self.e, ENTITY_DELTA), union(self.r, RELATION_DELTA), union(self.lost, "seq long, reason string"))
 
 
@@ -188,16 +196,26 @@ def _awards(b: Build, df: DataFrame) -> Delta:
 
 
 def _permits(b: Build, df: DataFrame) -> Delta:
-    number = _first(df, "external_id", "permit_number", "permit_no")
-    applicant, contractor = (F.coalesce(clean(F.regexp_extract(x, r"(?i)DBA:\s*(.+)$", 1)), x) for x in (_first(df, "applicant"), _first(df, "contractor")))
-    b.entity(df, "permit", number, {k: _first(df, k) for k in ("address", "permit_type", "project_value", "issue_date", "application_date", "description")}, report=True)
-    other = ~F.coalesce(F.lower(applicant) == F.lower(contractor), F.lit(False))
-    for name, edge, when in ((applicant, "applied_for", None), (contractor, "contracted_for", other)):
-        b.entity(df, "company", name, when=when)
-        b.relation(df, ("company", name), edge, ("permit", number), when=when)
-    city = _first(df, "city", "local_area")
-    b.entity(df, "city", city)
-    b.relation(df, ("permit", number), "in_city", ("city", city))
+    """Permits with their companies. Of ``Person DBA: Company`` the company is the applicant and the person its contact,
+    a node of its own that is contact_for the company."""
+    number = F.coalesce(_first(df, "external_id", "permit_number", "permit_no"), _first(df, "address"))
+    raw = {"applied_for": _first(df, "applicant"), "contracted_for": _first(df, "contractor")}
+    city, filed, issued = _first(df, "city"), _first(df, "application_date"), _first(df, "issue_date")
+    b.entity(df, "permit", number, {k: _first(df, k) for k in ("address", "permit_type", "project_value", "issue_date", "application_date", "description", "local_area", "city")}, report=True)
+    other = ~F.coalesce(F.lower(raw["applied_for"]) == F.lower(raw["contracted_for"]), F.lit(False))
+    for edge, text in raw.items():
+        when, since = (None, F.coalesce(filed, issued)) if edge == "applied_for" else (other, issued)
+        name = F.coalesce(clean(F.regexp_extract(text, r"(?i)DBA:\s*(.+)$", 1)), text)
+        person = clean(F.regexp_extract(text, r"(?i)^(.+?)\s+DBA:", 1)) if edge == "applied_for" else F.lit(None).cast("string")
+        b.entity(df, "company", name, {"city": city, "contact_person": person}, when=when)
+        b.relation(df, ("company", name), edge, ("permit", number), when=when, valid_from=since)
+        b.relation(df, ("company", name), "in_city", ("city", city), when=when)
+        if edge == "applied_for":
+            b.entity(df, "person", person)
+            b.relation(df, ("person", person), "contact_for", ("company", name))
+    place = F.coalesce(city, _first(df, "local_area"))
+    b.entity(df, "city", place)
+    b.relation(df, ("permit", number), "in_city", ("city", place))
     return b.done()
 
 
@@ -225,10 +243,15 @@ def dataset(spark: SparkSession, folder: str, source: str = "dataset", limit: in
     return out or Build(spark, source).done(), missing
 
 
+def _by_key(df: DataFrame, key: str = "id") -> DataFrame:
+    """A relational table numbered by its integer key."""
+    return df.withColumn("seq", F.col(key).cast("long"))
+
+
 def companies_table(spark: SparkSession, df: DataFrame, source: str = "table") -> Delta:
     """A relational companies table: canonical and standalone rows become companies, applicant aliases become aliases with an
     edge to the company of their canonical id; persons, unknown roles and aliases without one are skipped."""
-    df = _numbered(df)
+    df = _by_key(df)
     role = F.coalesce(F.lower(clean("entity_role")), F.lit("standalone"))
     name = F.coalesce(clean("display_name"), clean("name"))
     df = df.withColumns({"_role": role, "_name": name})
@@ -236,15 +259,92 @@ def companies_table(spark: SparkSession, df: DataFrame, source: str = "table") -
     main = df.filter(F.col("_role").isin("canonical", "standalone"))
     keep = ("total_projects", "total_award_value", "award_count", "primary_city", "primary_province", "google_address", "primary_trade", "dominant_sector")
     b.entity(main, "company", F.col("_name"), {"scraper_id": F.col("id").cast("string")} | {k: clean(k) for k in keep if k in df.columns}, report=True)
-    alias = df.filter("_role = 'applicant_alias'").select("seq", "_name", F.col("canonical_company_id").cast("string").alias("cid"))
+    alias = df.filter("_role = 'applicant_alias'").select("seq", "_name", F.col("id").cast("string").alias("own"), F.col("canonical_company_id").cast("string").alias("cid"))
     found = alias.join(main.select(F.col("id").cast("string").alias("cid"), F.col("_name").alias("_company")), "cid", "left")
-    b.entity(found, "company_alias", F.col("_name"), when=F.col("_company").isNotNull())
-    b.relation(found, ("company_alias", F.col("_name")), "alias_of", ("company", F.col("_company")), {"reason": F.lit("canonical_company_id"), "canonical_company_id": F.col("cid")})
+    b.entity(found, "company_alias", F.col("_name"), {"scraper_id": F.col("own")}, when=F.col("_company").isNotNull())
+    evidence = {"reason": F.lit("canonical_company_id"), "canonical_company_id": F.col("cid")}
+    b.relation(found, ("company_alias", F.col("_name")), "alias_of", ("company", F.col("_company")), evidence, more={"target_id": F.col("cid")})
     b.lost.append(found.filter("_company is null").select("seq", F.lit("alias without company").alias("reason")))
     b.lost.append(df.filter(~F.col("_role").isin("canonical", "standalone", "applicant_alias")).select("seq", F.concat(F.lit("role "), F.col("_role")).alias("reason")))
     return b.done()
 
 
+#: The tender tables, and in each the columns of buyer, deadline and value.
+TENDER_TABLES = {
+    "tenders": ("organization", "closing_date", "estimated_value"), "commercial_tenders": ("company", "deadline", "value"), "arch_tenders": ("company", "deadline", "value"),
+}
+#: Columns that each table must have.
+NEEDED = {
+    "companies": ("id", "display_name", "name", "entity_role", "canonical_company_id"), "tenders": ("id", "title", "organization"), "commercial_tenders": ("id", "title", "company"),
+    "arch_tenders": ("id", "title", "company"), "permits": ("id", "external_id", "address", "company_id"), "contract_awards": ("id", "title", "external_id", "winner_company", "company_id"),
+}
+
+
+def tender_table(spark: SparkSession, df: DataFrame, table: str, source: str = "table") -> Delta:
+    """A relational tender table: tenders with the table and key they come from; rows without a title are skipped."""
+    buyer, deadline, value = TENDER_TABLES[table]
+    df, b = _by_key(df), Build(spark, source)
+    own = F.lit("arch_tenders") if table == "arch_tenders" else _first(df, "source")
+    b.entity(df, "tender", F.col("title"), {
+        "scraper_id": F.col("id"), "scraper_table": F.lit(table), "organization": _first(df, buyer), "category": _first(df, "category"), "closing_date": _first(df, deadline),
+        "estimated_value": _first(df, value), "source": own, "tender_id": _first(df, "tender_id"), "url": _first(df, "url"),
+    }, report=True)
+    return b.done()
+
+
+def permits_table(spark: SparkSession, df: DataFrame, source: str = "table") -> Delta:
+    """A relational permits table: permits by external id, else address, else key, and has_permit edges from the company of
+    ``company_id``. Without a known company there is no edge."""
+    df, b = _by_key(df), Build(spark, source)
+    name = F.coalesce(_first(df, "external_id"), _first(df, "address"), F.concat(F.lit("permit-"), F.col("id").cast("string")))
+    keep = ("external_id", "address", "city", "permit_type", "project_value", "applicant", "contractor", "lifecycle_status", "source")
+    b.entity(df, "permit", name, {"scraper_id": F.col("id")} | {k: _first(df, k) for k in keep})
+    b.by_id(df, F.col("company_id"), "has_permit", ("permit", name))
+    return b.done()
+
+
+def awards_table(spark: SparkSession, df: DataFrame, source: str = "table") -> Delta:
+    """A relational awards table: contracts by title, else external id, else key, with an edge from the company of
+    ``company_id`` and one to the winner by name. No company is made: a winner that is not known is a rejected row."""
+    df, b = _by_key(df), Build(spark, source)
+    name = F.coalesce(_first(df, "title"), _first(df, "external_id"), F.concat(F.lit("award-"), F.col("id").cast("string")))
+    keep = ("external_id", "winner_company", "award_value", "currency", "award_date", "buyer_organization", "procurement_category", "source")
+    b.entity(df, "contract", name, {"scraper_id": F.col("id")} | {k: _first(df, k) for k in keep})
+    b.by_id(df, F.col("company_id"), "awarded_to", ("contract", name), {"award_date": _first(df, "award_date"), "award_value": _first(df, "award_value")})
+    b.relation(df, ("contract", name), "awarded_to", ("company", _first(df, "winner_company")))
+    return b.done()
+
+
+def organizations(spark: SparkSession, tables: dict[str, DataFrame], source: str = "table") -> Delta:
+    """The distinct buyers of all tender tables as organisations, in the order of their names."""
+    names = None
+    for table, (buyer, _, _) in TENDER_TABLES.items():
+        if table in tables:
+            mine = tables[table].select(clean(buyer).alias("name")).filter("name is not null")
+            names = mine if names is None else names.unionByName(mine)
+    b = Build(spark, source)
+    if names is not None:
+        b.entity(numbered(names.distinct(), F.col("name")).withColumnRenamed("n", "seq"), "organization", F.col("name"))
+    return b.done()
+
+
+def missing_columns(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """What a relational import of these tables lacks: the needed columns that a table doesn't have."""
+    lack = {t: [c for c in NEEDED[t] if c not in df.columns] for t, df in tables.items() if t in NEEDED}
+    return {t: c for t, c in lack.items() if c}
+
+
+def relational(spark: SparkSession, tables: dict[str, DataFrame], source: str = "table") -> list[tuple[str, Delta]]:
+    """The stages of a relational import, in the order in which they must be loaded: companies with their aliases first,
+    so that permits and awards find them, then tenders, permits, awards and buyers. Tables that are not given are passed over."""
+    if lack := missing_columns(tables):
+        raise ValueError(f"missing columns: {lack}")
+    out = [("companies", companies_table(spark, tables["companies"], source))] if "companies" in tables else []
+    out += [(t, tender_table(spark, tables[t], t, source)) for t in TENDER_TABLES if t in tables]
+    out += [(t, f(spark, tables[t], source)) for t, f in (("permits", permits_table), ("contract_awards", awards_table)) if t in tables]
+    return [*out, ("organizations", organizations(spark, tables, source))] if set(tables) & set(TENDER_TABLES) else out
+
+
 def jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """A relational table read in ranges of an integer key, in parallel."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions), **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,21 +10,20 @@ from pyspark.sql import functions as F
 
 from ..operators import store
 from ..operators.views import Graph
-from ..sources.files import Delta
+from ..plans.schema import ENTITY, HISTORY, RELATION
+from ..sources.files import Delta, relational
+from . import versions
 
 
 def import_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, to_delta: Callable[[DataFrame], Delta], now: str, fmt: str = "parquet") -> int:
     """Loads all files that have come to ``source`` since the last call into the graph at ``target``; returns its version.
 
-    Each micro-batch is merged as one delta and written as a new version, then named in ``target/CURRENT``. A batch that
-    runs twice gives the same graph: keys are natural, and a version is named by its batch."""
+    Each micro-batch is merged as one delta by ``append`` and is one version. A batch that runs again after a crash finds
+    its version and does nothing, or finds none and does all of it."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        here = current(spark, target)
-        d = to_delta(batch)
-        m = store.load(here, d.entities, d.relations, now)
-        store.save(Graph(m.entities, m.relations, now), f"{target}/v{batch_id + 1:08d}")
-        spark.createDataFrame([(batch_id + 1,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/CURRENT")
+        if batch_id + 1 not in versions.numbers(spark, target):
+            append(spark, target, to_delta(batch), now, batch_id + 1)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -31,17 +31,110 @@ def import_files(spark: SparkSession, source: str, schema: str, target: str, che
     return version(spark, target)
 
 
+def append(spark: SparkSession, target: str, delta: Delta, now: str, number: int | None = None, changed_by: str = "import", more: dict | None = None) -> dict:
+    """Merges a delta into the graph at ``target`` as its next version, all or nothing; returns what the version names.
+
+    Only kinds that the delta touches are written again, each as a folder of its own; the version's manifest names the
+    folder of every kind, the history and the rejected rows of all loads, and the numbers of this load."""
+    before = versions.read(spark, target)
+    here, load = current(spark, target), uuid.uuid4().hex
+    m = store.load(here, delta.entities, delta.relations, now, changed_by, before.get("changes", 0))
+    names = {"entities": dict(before.get("entities", {})), "relations": dict(before.get("relations", {})), "history": list(before.get("history", [])), "rejected": list(before.get("rejected", []))}
+    written = lambda r: r.select("id", "kind", F.xxhash64("confidence", "source", "valid_from", "valid_to").alias("h"))
+    touched = {
+        "entities": m.entities.filter(F.col("updated_at") == now).select("kind"),
+        "relations": written(m.relations).join(written(here.relations), ["id", "kind", "h"], "left_anti").select("kind"),
+    }
+    for table, df in (("entities", m.entities), ("relations", m.relations)):
+        kinds = [r.kind for r in touched[table].distinct().collect()]  # as many as there are kinds
+        if kinds:
+            df.filter(F.col("kind").isin(kinds)).withColumn("load", F.lit(load)).write.partitionBy("kind", "load").mode("append").parquet(f"{target}/{table}")
+            names[table] |= {k: load for k in kinds}
+    for table, df in (("history", m.history), ("rejected", m.rejected)):
+        df.write.parquet(f"{target}/{table}/{load}")
+        names[table].append(load)
+    changes = spark.read.parquet(f"{target}/history/{load}").count()
+    names |= {"changes": before.get("changes", 0) + changes, "as_of": now, "load": store.counts(here, m, now)}
+    number = number or (before.get("version", 0) + 1)
+    versions.commit(spark, target, number, before | names | (more or {}))
+    return names | {"version": number}
+
+
+def import_tables(spark: SparkSession, target: str, tables: dict[str, DataFrame], now: str, size: int = 20_000) -> dict[str, dict]:
+    """Imports relational tables into the graph at ``target``, stage by stage and page by page of ``size`` keys; returns the
+    numbers of each stage.
+
+    The last key of each stage's committed pages is in the manifest, so a call after a crash, or with tables that have
+    grown, goes on from there. Pages are ranges of the integer key, found by one pass over the keys. Companies, whose
+    aliases need the whole table, and buyers are a page each, and loading them again changes nothing."""
+    out: dict[str, dict] = {}
+    for stage, delta in relational(spark, tables):
+        whole = stage in ("companies", "organizations")
+        after = 0 if whole else versions.read(spark, target).get("after", {}).get(stage, 0)
+        ends = [None] if whole else pages(tables[stage], "id", after, size)
+        for end in ends:
+            page_ = delta
+            if end is not None:
+                df = tables[stage].filter((F.col("id") > after) & (F.col("id") <= end))
+                page_ = dict(relational(spark, {stage: df}))[stage]
+                after = end
+            done = versions.read(spark, target).get("after", {}) | ({} if end is None else {stage: end})
+            names = append(spark, target, page_, now, more={"after": done})
+            out[stage] = {k: v + out.get(stage, {}).get(k, 0) for k, v in names["load"].items()}
+    return out
+
+
+def pages(df: DataFrame, key: str, after: int, size: int) -> list[int]:
+    """The last keys of the pages of ``size`` rows that follow the key ``after``."""
+    rows = store.numbered(df.filter(F.col(key) > after).select(F.col(key).cast("long").alias("k")), F.col("k"))
+    return [r.last for r in rows.groupBy(F.floor(F.col("n") / size).alias("page")).agg(F.max("k").alias("last")).orderBy("page").collect()]
+
+
 def version(spark: SparkSession, target: str) -> int:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/CURRENT")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return 0
-    return spark.read.parquet(f"{target}/CURRENT").first().version
+    """The number of the last version, 0 before the first."""
+    return max(versions.numbers(spark, target), default=0)
 
 
 def current(spark: SparkSession, target: str, as_of: str = "1970-01-01") -> Graph:
-    """The graph of the last version, empty before the first."""
-    v = version(spark, target)
-    return store.read(spark, f"{target}/v{v:08d}", as_of) if v else store.empty(spark, as_of)
+    """The graph of the last version, empty before the first; a filter on kind opens that kind's files alone."""
+    names = versions.read(spark, target)
+    none = store.empty(spark, as_of)
+    tables = []
+    for table, empty, schema in (("entities", none.entities, ENTITY), ("relations", none.relations, RELATION)):
+        paths = [f"{target}/{table}/kind={k}/load={load}" for k, load in sorted(names.get(table, {}).items())]
+        columns = empty.columns
+        tables.append(spark.read.schema(f"{schema}, load string").option("basePath", f"{target}/{table}").parquet(*paths).select(columns) if paths else empty)
+    return Graph(*tables, as_of)
+
+
+def history(spark: SparkSession, target: str) -> DataFrame:
+    """(uid, snapshot, changed_by, changed_at, seq) of all loads; ``seq`` numbers changes in their order."""
+    loads = versions.read(spark, target).get("history", [])
+    return spark.read.schema(HISTORY).parquet(*[f"{target}/history/{x}" for x in loads]) if loads else spark.createDataFrame([], HISTORY)
+
+
+def rejected(spark: SparkSession, target: str) -> DataFrame:
+    """(seq, kind, name, what) of the rows of all loads that could not be used."""
+    loads = versions.read(spark, target).get("rejected", [])
+    return spark.read.schema(store.REJECTED).parquet(*[f"{target}/rejected/{x}" for x in loads]) if loads else spark.createDataFrame([], store.REJECTED)
+
+
+def vacuum(spark: SparkSession, target: str, keep: int = 2) -> int:
+    """Deletes manifests before the last ``keep``, and folders that none of those names, such as those of a load that
+    crashed; returns how many folders went. No load may be under way."""
+    known = versions.numbers(spark, target)
+    last = [versions.read(spark, target, n) for n in known[-keep:]]
+    gone = 0
+    for table in ("entities", "relations"):
+        for kind in versions.listed(spark, f"{target}/{table}"):
+            used = {f"load={x[table].get(kind.removeprefix('kind='))}" for x in last}
+            for load in versions.listed(spark, f"{target}/{table}/{kind}") if kind.startswith("kind=") else ():
+                if load not in used:
+                    versions.delete(spark, f"{target}/{table}/{kind}/{load}")
+                    gone += 1
+    for n in known[:-keep]:
+        versions.delete(spark, f"{target}/versions/v{n:08d}.json")
+    return gone
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
