@@ -75,3 +75,25 @@ def test_index_and_queries(spark, tmp_path):
     assert {r.language: r.files for r in g.statistics().collect()}["python"] == 1
     e2, r2 = code.reindex(g.entities, g.relations, g.entities.limit(0), g.relations.limit(0), spark.createDataFrame([("src/pkg/models.py",)], "file_path string"))
     assert e2.filter("file_path = 'src/pkg/models.py'").count() == 0 and r2.filter("file_path = 'src/pkg/models.py'").count() == 0
+
+
+def test_only_changed_files_are_parsed_again(spark, tmp_path):
+    root, kept = tree(tmp_path / "tree"), f"file://{tmp_path}/kept"
+    (tmp_path / "tree" / ".gitignore").write_text("web/\n*.json\n!conf.json\n")
+    e, _, counts = code.refresh(spark, root, kept)
+    assert counts["kept"] == 0 and not e.filter("file_path like 'web/%'").count() and e.filter("file_path = 'conf.json'").count()
+    (tmp_path / "tree" / "src/pkg/models.py").write_text(PY.replace("Dog", "Cat"))
+    (tmp_path / "tree" / "conf.json").unlink()
+    e, r, after = code.refresh(spark, root, kept)
+    assert after == {"parsed": 1, "kept": counts["parsed"] - 2, "dropped": 1}
+    names = {x.qualified_name for x in e.collect()}
+    assert "pkg.models.Cat" in names and "pkg.models.Dog" not in names and "conf.json" not in names
+    assert r.filter("kind = 'decorated_by'").count() == 1
+
+
+def test_script_and_sql_tokens():
+    e, r = parsers.parse("a.js", "// class No {}\nconst s = `class Nope {`, q = require('r');\nconst f = async (a) => a; let g = x => x; const o = {type: 1};\nexport default class K<T> extends a.B<T> implements I {}\nobj.class.foo; import type { T } from './t';")
+    assert {x[1] for x in e} == {"a", "f", "g", "K"} and {x[2] for x in r if x[1] in ("imports", "inherits")} == {"r", "a.B", "./t"}
+    e, r = parsers.parse("a.sql", "create or replace temp table \"x y\" (a int default 'it''s, ok', primary key (a)); -- from no\nalter table s.t add column if not exists c int check (c in (1, 2)), add d text; select 1 from b for update; delete from z")
+    assert [x[2] for x in e[1:]] == ["x y", "x y.a", "t.c", "t.d"]
+    assert {(x[1], x[2]) for x in r if not x[4]} == {("writes_column", "t"), ("uses_table", "b"), ("uses_table", "z"), ("writes_column", "z")}

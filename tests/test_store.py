@@ -122,3 +122,47 @@ def test_incremental_import_resumes_and_event_stream_equals_the_batch(spark, tmp
     assert table(spark.table("counts"), "window_start", "event_type", "events") == table(incremental.event_counts(events), "window_start", "event_type", "events")
     known = spark.createDataFrame([("a", "1")], "path string, hash string")
     assert [r.path for r in incremental.changed(spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string"), known).collect()] == ["b"]
+
+
+def test_a_load_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from bidlattice.streaming import versions
+
+    target = f"file://{tmp_path}/graph"
+    none = relations(spark)
+    delta = lambda *names: files.Delta(entities(spark, *[("company", n, NONE, "x", 1.0) for n in names]), none, none)
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        for _ in range(2):
+            try:
+                incremental.append(spark, target, delta("A"), "2024-01-01")
+            except OSError:
+                pass
+    assert incremental.version(spark, target) == 0 and incremental.current(spark, target).entities.count() == 0
+    assert incremental.append(spark, target, delta("A", " "), "2024-01-01")["load"] == {"entities_created": 1, "entities_updated": 0, "relations_created": 0, "rejected": 1}
+    again = incremental.append(spark, target, delta("A", "B"), "2024-01-02")
+    assert again["version"] == 2 and again["load"]["entities_created"] == again["load"]["entities_updated"] == 1
+    assert [(r.uid, r.seq) for r in incremental.history(spark, target).orderBy("seq").collect()] == [("CMP-00000001", 1), ("CMP-00000001", 2), ("CMP-00000002", 3)]
+    assert incremental.rejected(spark, target).count() == 1 and incremental.vacuum(spark, target, 1) == 3
+    assert table(incremental.current(spark, target).entities, "name") == [("A",), ("B",)]
+
+
+def test_names_of_aliases_are_their_company(spark):
+    g = graph(spark)
+    won = ("company", "ACME old", "awarded_to", "tender", "road works", NONE, "x", 1.0, None, None)
+    m = store.load(g, entities(spark, ("company", "Acme Holdings", {"k": "v"}, "x", 1.0), ("company", "Acme", {"k": "w"}, "x", 1.0)), relations(spark, won, ("company_alias", "Acme Old", "has_permit", "tender", "Road works", NONE, "x", 1.0, None, None)), "2024-02-01")
+    assert m.entities.filter("kind = 'company'").count() == 3 and m.rejected.count() == 0
+    assert table(m.relations.filter("kind in ('awarded_to', 'has_permit')"), "kind", "source_uid") == [("awarded_to", "CMP-00000001"), ("has_permit", "CMP-00000001")]
+    assert store.company_by_id(g, "cmp-00000002").first().name == "Beta" and store.company_by_id(g, "5").count() == 0
+
+
+def test_relational_pages_go_on_where_they_stopped(spark, tmp_path):
+    target = f"file://{tmp_path}/graph"
+    companies = spark.createDataFrame([(1, "Acme", "canonical", None), (2, "Acme Inc", "applicant_alias", 1)], "id long, display_name string, entity_role string, canonical_company_id long").withColumn("name", F.col("display_name"))
+    permits = spark.createDataFrame([(k, f"P{k}", None, 1 + k % 2) for k in range(1, 6)], "id long, external_id string, address string, company_id long")
+    one = incremental.import_tables(spark, target, {"companies": companies, "permits": permits.filter("id < 4")}, "2024-01-01", 2)
+    assert one["permits"]["entities_created"] == 3 and incremental.version(spark, target) == 3
+    two = incremental.import_tables(spark, target, {"companies": companies, "permits": permits}, "2024-01-02", 2)
+    g = incremental.current(spark, target)
+    assert two["permits"]["entities_created"] == 2 and g.nodes("permit").count() == 5
+    assert {r.source_uid for r in g.edges("has_permit").collect()} == {"CMP-00000001"} and g.edges("has_permit").count() == 5
+    assert files.missing_columns({"permits": permits.drop("address")}) == {"permits": ["address"]}
