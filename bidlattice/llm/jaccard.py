@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import dropped, prepare, stored
 from . import words
@@ -21,6 +22,7 @@ SEEN = 4  # sets of a slice that must have an element for it to be counted
 CHUNK = 512  # sets of one tree
 CHUNK_ELEMENTS = 1 << 20  # and their elements together
 BROADCAST_ROWS = 1_000_000  # pairs of integers that a broadcast may hold; beyond it both sides are shuffled
+IN_PLACE = 1  # rounds in which each set stands in one group alone
 FAN = 4  # children of a tree's node
 BITS = (6, 15)  # powers of two: least and most bits of a tree's bitmaps
 BITS_EACH = 4  # bits or more that a stored bitmap has for each element
@@ -357,31 +359,59 @@ def _chunks() -> F.Column:
     return F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def _first_round(named: DataFrame) -> DataFrame:
-    """Rows for trees in which each set stands once, in the largest group that it is a member of.
+def _open_groups(members: DataFrame, roots: DataFrame | None, like: Likeness) -> DataFrame:
+    """(key, set, n, component, sets, elements) of groups that have sets of several components; of groups with the same
+    sets one alone. Without ``roots``, of all groups: each set is a component.
+
+    Sets that are linked share ``lead`` keys. So each set leaves groups, those that stand for the fewest keys first in
+    one order of all, as long as they stand for fewer keys than that together: the last group in that order that two
+    linked sets share is one that both still have."""
+    named = members.withColumn("component", F.col("set"))
+    if roots is not None:
+        named = stored(members.join(roots, "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("component")), "named")
+    groups = stored(_alike(named).select("key", "sets", "keys"), "groups")
+    order = Window.partitionBy("set").orderBy("keys", F.desc("sets"), "key")  # a set has no more groups than elements
+    mine = named.join(groups, "key").withColumn("left", F.sum("keys").over(order)).filter(F.col("left") >= _lead(like)).select("key", "set", "n", "component")
+    mine = stored(mine, "held")
+    groups = _alike(mine).select("key", "sets", "elements")
+    out = stored(mine.join(stored(groups, "sizes"), "key"), "open")
+    for used in (mine, named) if roots is not None else (mine,):
+        dropped(used)
+    return out
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """(key, sets, elements, keys) of groups of several components; groups with the same sets are one, which stands for several keys."""
+    groups = rows.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.min("component").alias("c"), F.max("component").alias("d"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
+    return groups.filter("c <> d").groupBy("sets", "elements", "who").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+
+
+def _lead(like: Likeness) -> F.Column:
+    """``Likeness.lead`` of the smallest set that one of size ``n`` can be linked with."""
+    share = lambda c: F.ceil(c * F.lit(like.num) / F.lit(like.den)).cast("long")  # noqa: E731  exact for sizes below 2^53 / num
+    least = share(F.col("n"))
+    return F.least(F.lit(1) + F.floor(least / SPARE), share(least))
+
+
+def _round_in_place(mine: DataFrame) -> DataFrame:
+    """Rows for trees in which each set of open groups stands once, in the largest that it is a member of.
 
     A group of several chunks grows a tree for each; its smallest and largest sets, by id and by hash, stand in all of
     them, so that the chunks of one cluster come into one component without a comparison of chunk with chunk."""
-    top = named.groupBy("set").agg(F.max(F.struct("sets", "key", "n")).alias("t")).select("set", "t.key", "t.n")
-    mixed = F.struct(F.xxhash64("set").alias("h"), "set")
-    groups = top.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.array(F.min("set"), F.max("set"), F.min(mixed)["set"], F.max(mixed)["set"]).alias("pivots"))
-    groups = stored(groups.filter("sets > 1").select("key", _chunks().alias("chunks"), "pivots"), "first-groups")
-    mine = top.join(groups.select("key", "chunks"), "key").select(F.col("key").alias("group"), F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int").alias("i"), "set")
-    everywhere = groups.filter("chunks > 1").select(F.col("key").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "pivots").withColumn("set", F.explode("pivots")).select("group", "i", "set")
-    rows = mine.unionByName(everywhere).distinct()
-    return small(stored(rows.select("group", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set", F.col("set").alias("component")), "first-rows"))
-
-
-def _second_round(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows for trees over all groups that still have sets of several components, in pairs of chunks.
-
-    Of groups with the same sets one stays, and a group goes if one other group has all its sets: that is seen where
-    the largest group of each of its sets is the same."""
-    named = stored(members.join(roots, "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("component")), "named")
-    groups = named.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.min("component").alias("c"), F.max("component").alias("d"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("who"))
-    groups = stored(groups.filter("c <> d").groupBy("sets", "elements", "who").agg(F.min("key").alias("key")), "groups")
-    mine = stored(named.join(groups.select("key", "sets", "elements"), "key"), "grouped")
-    dropped(named)
+    top = mine.groupBy("set").agg(F.max(F.struct("sets", "key", "n", "component")).alias("t")).select("set", "t.key", "t.n", "t.component")
+    who = F.struct("set", "component")
+    mixed = F.struct(F.xxhash64("set").alias("h"), who.alias("who"))
+    groups = top.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"), F.array(F.min(who), F.max(who), F.min(mixed)["who"], F.max(mixed)["who"]).alias("pivots"))
+    groups = stored(groups.filter("sets > 1").select("key", _chunks().alias("chunks"), "pivots"), "place-groups")
+    own = top.join(groups.select("key", "chunks"), "key").select(F.col("key").alias("group"), F.pmod(F.xxhash64("set", F.lit(7)), F.col("chunks")).cast("int").alias("i"), "set", "component")
+    everywhere = groups.filter("chunks > 1").select(F.col("key").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "pivots").withColumn("p", F.explode("pivots")).select("group", "i", "p.set", "p.component")
+    rows = own.unionByName(everywhere).distinct()
+    return small(stored(rows.select("group", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set", "component"), "place-rows"))
+
+
+def _last_round(mine: DataFrame) -> DataFrame:
+    """Rows for trees over all open groups, in pairs of chunks. A group goes if one other group has all its sets: that is
+    seen where the largest group of each of its sets is the same."""
     top = stored(mine.groupBy("set").agg(F.max(F.struct("sets", "key")).alias("t")).select("set", F.col("t.key").alias("top")), "tops")
     stays = mine.join(top, "set").groupBy("key").agg(F.min("top").alias("a"), F.max("top").alias("b")).filter("a <> b or a = key").select("key")
     mine = stored(mine.join(stored(stays, "stays"), "key"), "staying")
@@ -425,10 +455,11 @@ def join(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     1. Equal sets become one (their hash). 2. A set's keys are its first elements in one order of all, frequent ones
     last; linked sets share keys, in number. Keys of one set only fall away before anything else moves, and so do sets
     that share fewer keys than linked ones do. The sets with a key are a candidate group. 3. Groups grow signature
-    trees, in chunks; a dual traversal names the pairs that can be linked. In a first round each set stands in its largest
-    group alone, its pairs are compared in place, and the links found make components. 4. The second round grows trees of
-    all groups that still have sets of several components, and passes over pairs of one component; its rows hold bitmaps
-    alone, and the pairs that no tree rules out are compared after. 5. All links make the final components.
+    trees, in chunks; a dual traversal names the pairs that can be linked. In the first IN_PLACE rounds each set stands in
+    its largest group alone, its pairs are compared in place, and the links found make components; a group whose sets
+    are all of one component has no more to tell. 4. The last round grows trees of all groups that still have sets of
+    several components, and passes over pairs of one component; its rows hold bitmaps alone, and the pairs that no tree
+    rules out, each named once, are compared after. 5. All links make the final components.
     No link between components is lost, no group is expanded into pairs or held as a whole, and the number of links of
     a document is not counted, as pairs inside a component are not compared.
     Null, empty and word-less texts have 0 shingles and are linked with nothing; null ids count as the largest, and
@@ -457,9 +488,7 @@ def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) ->
     keyed = stored(texts.mapInArrow(_keyed(shingle, like, frequent), "key long, set long, n int"), "keyed")
     members = stored(keyed.join(_shared(keyed, "keys"), "key").distinct(), "shared")
     dropped(keyed)
-    least = F.ceil(F.col("n") * F.lit(like.num) / F.lit(like.den)).cast("long")  # exact for sizes below 2^53 / num
-    need = F.least(F.lit(1) + F.floor(least / SPARE), F.ceil(least * F.lit(like.num) / F.lit(like.den)))
-    enough = stored(members.groupBy("set", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("set"), "enough")
+    enough = stored(members.groupBy("set", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _lead(like)).select("set"), "enough")
     fewer = stored(members.join(enough, "set"), "members")
     dropped(members)
     return fewer.join(_shared(fewer, "keys"), "key")
@@ -482,14 +511,15 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     stand = stored(base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc")), "stand")
     repeats = base.count() > base.select("doc_id").distinct().count()
 
-    members = _members(texts, both, shingle, like)
-    sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
-    members = stored(members.join(stored(sizes, "sizes"), "key"), "candidates")
+    members = stored(_members(texts, both, shingle, like), "candidates")
     content = _read(texts, stand, members.select("set"), shingle, repeats)
-    found = _searched(_first_round(members), content, like, "first-links", True)
-    roots = stored(components(found), "first-roots")
-    more = _compared(_searched(_second_round(members.drop("sets"), roots), content, like, "likely", False), content, like, "second-links")
-    roots = stored(components(more.unionByName(roots.select(F.col("set").alias("a"), F.col("root").alias("b")))), "roots")
+    known = lambda r: r.select(F.col("set").alias("a"), F.col("root").alias("b"))
+    roots = None
+    for _ in range(IN_PLACE):
+        found = _searched(_round_in_place(_open_groups(members, roots, like)), content, like, "links", True)
+        roots = stored(components(found if roots is None else found.unionByName(known(roots))), "roots")
+    likely = _searched(_last_round(_open_groups(members, roots, like)), content, like, "likely", False)
+    roots = stored(components(_compared(likely, content, like, "last-links").unionByName(known(roots))), "roots")
     dropped(content)
 
     named = stored(roots.join(stand, "set").select("set", "root", "doc"), "named")
