@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -62,6 +63,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/bidlattice-{name}-{uuid.uuid4().hex}"
 
 
+_COLLECTED = [0.0]
+
+
+def _collect(spark: SparkSession) -> None:
+    """Collects the garbage of both sides, every other second at most."""
+    if time.monotonic() - _COLLECTED[0] > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
+
+
 def stored(df, name: str):
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
@@ -70,8 +82,7 @@ def stored(df, name: str):
     path = scratch(spark, name)
     df.write.parquet(path)
     del df  # else its shuffle files stay until the next step
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark)
     return spark.read.schema(schema).parquet(path)
 
 
