@@ -16,7 +16,7 @@ from ..session import dropped, prepare, stored
 from . import words
 
 SHINGLE, SIMILARITY = 5, (80, 100)  # unless a caller says otherwise
-SPARE = 50  # one more key for each so many elements: linked sets then share more keys, and sets that share fewer have no link
+SPARE = 12  # one more key for each so many elements: linked sets then share more keys, and sets that share fewer, by chance, have no link
 FREQUENT = 1 << 18  # elements, at most, that are known as frequent and come last in the order of elements
 SEEN = 4  # sets of a slice that must have an element for it to be counted
 CHUNK = 512  # sets of one tree
@@ -512,13 +512,17 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     repeats = base.count() > base.select("doc_id").distinct().count()
 
     members = stored(_members(texts, both, shingle, like), "candidates")
-    content = _read(texts, stand, members.select("set"), shingle, repeats)
+    opened = _open_groups(members, None, like)
+    sets = stored(opened.select("set").distinct(), "sets-in-groups")  # linked sets share a group; all others have no link
+    content = _read(texts, stand, sets, shingle, repeats)
+    members = stored(members.join(sets, "set"), "members-in-groups")
     known = lambda r: r.select(F.col("set").alias("a"), F.col("root").alias("b"))
     roots = None
     for _ in range(IN_PLACE):
-        found = _searched(_round_in_place(_open_groups(members, roots, like)), content, like, "links", True)
+        found = _searched(_round_in_place(opened), content, like, "links", True)
         roots = stored(components(found if roots is None else found.unionByName(known(roots))), "roots")
-    likely = _searched(_last_round(_open_groups(members, roots, like)), content, like, "likely", False)
+        opened = _open_groups(members, roots, like)
+    likely = _searched(_last_round(opened), content, like, "likely", False)
     roots = stored(components(_compared(likely, content, like, "last-links").unionByName(known(roots))), "roots")
     dropped(content)
 
