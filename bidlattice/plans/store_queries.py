@@ -116,11 +116,11 @@ def _relational(spark: SparkSession, folder: str) -> DataFrame:
     """Companies with aliases, tenders, permits, awards and buyers as relational tables, loaded together: all edges."""
     s, c, o, p = (_table(spark, folder, t) for t in ("supplier", "customer", "orders", "part"))
     n = s.count()
-    same = [F.col("s_suppkey").alias("id"), F.col("s_name").alias("display_name"), F.col("s_name").alias("name")]
+    same = [(F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("display_name"), F.col("s_name").alias("name")]
     companies = s.select(*same, F.when(F.expr("s_suppkey % 3 = 0"), "").otherwise("canonical").alias("entity_role"), F.lit(None).cast("long").alias("canonical_company_id"))
-    alias = s.filter("s_suppkey % 5 = 0").select((F.col("s_suppkey") + n).alias("id"), F.concat("s_name", F.lit(" Permits")).alias("display_name"), F.lit("").alias("name"), F.lit("applicant_alias").alias("entity_role"), F.col("s_suppkey").alias("canonical_company_id"))
+    alias = s.filter("s_suppkey % 5 = 0").select((F.col("s_suppkey") + n + 1).alias("id"), F.concat("s_name", F.lit(" Permits")).alias("display_name"), F.lit("").alias("name"), F.lit("applicant_alias").alias("entity_role"), (F.col("s_suppkey") + 1).alias("canonical_company_id"))
     tenders = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("c_name").alias("organization"), F.col("o_totalprice").alias("estimated_value"))
-    permits = p.select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).alias("external_id"), F.lit(" ").alias("address"), (F.col("p_partkey") % (2 * n)).alias("company_id"))
+    permits = p.select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).alias("external_id"), F.lit(" ").alias("address"), (F.col("p_partkey") % (2 * n) + 1).alias("company_id"))
     awards = p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.lit("").alias("title"), F.concat(F.lit("A-"), F.col("p_partkey").cast("string")).alias("external_id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % n).cast("string"), 9, "0"), F.when(F.expr("p_partkey % 8 = 0"), " PERMITS").otherwise("")).alias("winner_company"), F.col("p_retailprice").alias("award_value"), F.lit(None).cast("long").alias("company_id"))
     stages = files.relational(spark, {"companies": companies.unionByName(alias), "tenders": tenders, "permits": permits, "contract_awards": awards})
     e = r = None
