@@ -88,7 +88,7 @@ class Sets(NamedTuple):
 def _sets(batches, k: int):
     for s in words.slices(batches):
         w = words.words(s.data, s.offsets, words.NON_SPACE, lower=True)
-        h = words.word_hashes(w)
+        h = words.word_digests(w)[:, 0]
         g = words.grams(h, k)
         own = [np.unique(g[a : b - k + 1]) if b - a >= k else shingles(h[a:b], k) for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
         bounds = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64)
@@ -359,11 +359,11 @@ def _chunks() -> F.Column:
     return F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def _open_groups(members: DataFrame, roots: DataFrame | None, like: Likeness) -> DataFrame:
+def _open_groups(members: DataFrame, roots: DataFrame | None, lead: F.Column) -> DataFrame:
     """(key, set, n, component, sets, elements) of groups that have sets of several components; of groups with the same
     sets one alone. Without ``roots``, of all groups: each set is a component.
 
-    Sets that are linked share ``lead`` keys. So each set leaves groups, those that stand for the fewest keys first in
+    Sets that are linked share ``lead`` (n) keys. So each set leaves groups, those that stand for the fewest keys first in
     one order of all, as long as they stand for fewer keys than that together: the last group in that order that two
     linked sets share is one that both still have."""
     named = members.withColumn("component", F.col("set"))
@@ -371,7 +371,7 @@ def _open_groups(members: DataFrame, roots: DataFrame | None, like: Likeness) ->
         named = stored(members.join(roots, "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("component")), "named")
     groups = stored(_alike(named).select("key", "sets", "keys"), "groups")
     order = Window.partitionBy("set").orderBy("keys", F.desc("sets"), "key")  # a set has no more groups than elements
-    mine = named.join(groups, "key").withColumn("left", F.sum("keys").over(order)).filter(F.col("left") >= _lead(like)).select("key", "set", "n", "component")
+    mine = named.join(groups, "key").withColumn("left", F.sum("keys").over(order)).filter(F.col("left") >= lead).select("key", "set", "n", "component")
     mine = stored(mine, "held")
     groups = _alike(mine).select("key", "sets", "elements")
     out = stored(mine.join(stored(groups, "sizes"), "key"), "open")
@@ -477,7 +477,7 @@ def with_set(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
 
 
-def _shared(keyed: DataFrame, name: str) -> DataFrame:
+def shared(keyed: DataFrame, name: str) -> DataFrame:
     """The keys of several sets."""
     return stored(keyed.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), name)
 
@@ -486,12 +486,12 @@ def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) ->
     """(key, set, n) of keys that several sets have, and sets that share as many keys as linked sets do."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(base))
     keyed = stored(texts.mapInArrow(_keyed(shingle, like, frequent), "key long, set long, n int"), "keyed")
-    members = stored(keyed.join(_shared(keyed, "keys"), "key").distinct(), "shared")
+    members = stored(keyed.join(shared(keyed, "keys"), "key").distinct(), "shared")
     dropped(keyed)
     enough = stored(members.groupBy("set", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _lead(like)).select("set"), "enough")
     fewer = stored(members.join(enough, "set"), "members")
     dropped(members)
-    return fewer.join(_shared(fewer, "keys"), "key")
+    return fewer.join(shared(fewer, "keys"), "key")
 
 
 def _read(texts: DataFrame, stand: DataFrame, sets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
@@ -508,11 +508,16 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     both = stored(texts.mapInArrow(_base(shingle), _BASE), "sets")
     base = both.filter("seen is null").select("doc_id", "n_shingles", "set")
+    members = stored(_members(texts, both, shingle, like), "candidates")
+    return joined(texts, base, members, shingle, like, _lead(like))
+
+
+def joined(texts: DataFrame, base: DataFrame, members: DataFrame, shingle: int, like: Likeness, lead: F.Column) -> DataFrame:
+    """``base`` (doc_id, n_shingles, set), stored, with component_id and root, from the candidate groups of ``members`` (key, set, n),
+    where linked sets share at least ``lead`` keys."""
     stand = stored(base.filter("set is not null").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("doc")), "stand")
     repeats = base.count() > base.select("doc_id").distinct().count()
-
-    members = stored(_members(texts, both, shingle, like), "candidates")
-    opened = _open_groups(members, None, like)
+    opened = _open_groups(members, None, lead)
     sets = stored(opened.select("set").distinct(), "sets-in-groups")  # linked sets share a group; all others have no link
     content = _read(texts, stand, sets, shingle, repeats)
     members = stored(members.join(sets, "set"), "members-in-groups")
@@ -521,7 +526,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     for _ in range(IN_PLACE):
         found = _searched(_round_in_place(opened), content, like, "links", True)
         roots = stored(components(found if roots is None else found.unionByName(known(roots))), "roots")
-        opened = _open_groups(members, roots, like)
+        opened = _open_groups(members, roots, lead)
     likely = _searched(_last_round(opened), content, like, "likely", False)
     roots = stored(components(_compared(likely, content, like, "last-links").unionByName(known(roots))), "roots")
     dropped(content)

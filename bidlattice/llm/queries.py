@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, neighbours, quality, sentence_pieces, shards, substrings, token_counts, token_files, url_filters
+from . import centroids, codes, decontaminate, jaccard, minmax, neighbours, quality, sentence_pieces, shards, substrings, token_counts, token_files, url_filters
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
+    "op11_minmax": minmax.op11_minmax,
+    "op12_codes": codes.op12_codes,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op5_url_filters": url_filters.ORACLE,
     "op6_substring_dedup": substrings.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op11_minmax": minmax.ORACLE,
+    "op12_codes": codes.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }

@@ -1,4 +1,5 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks of words."""
+"""Substring dedup: blocks cut by content, equal blocks joined with an index of reference blocks, and other blocks of a
+shared anchor compared window by window. Stands in for greedy factoring, which needs a product of two hot groups."""
 
 from __future__ import annotations
 
@@ -28,10 +29,10 @@ class _Slice:
     def __init__(self, s: words.Text):
         self.words = words.words(s.data, s.offsets, words.NON_SPACE)
         self.bounds = self.words.bounds
-        self.hashes = words.word_hashes(self.words)
+        self.hashes, others = words.word_digests(self.words).T  # anchors are made of the first, blocks and windows of the second
         n = len(self.hashes)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * words._powers(words._R, n), out=self.total[1:])
+        np.cumsum(others * words._powers(words._R, n), out=self.total[1:])
         self.back = words._powers(words._R_INV, n + 1)
         sums = self.total[self.bounds[1:]] - self.total[self.bounds[:-1]]
         self.tags = (words.mix(sums * self.back[self.bounds[:-1]]) & np.uint64(0xFFFF)).astype(np.int64)
@@ -153,10 +154,9 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc, places) of each document with windows that an earlier document has.
 
     Documents are cut into blocks by content. The first document with a block holds the reference copy, and the index
-    of references is the table of distinct blocks. A later document's equal blocks are its factors, found by equality;
-    where an anchor stands in several different blocks, those are factor boundaries, and their reference copies are
-    compared window by window. Counts combine before shuffles, and a block that very many documents share meets the
-    index in joins that split skew."""
+    of references is the table of distinct blocks. A later document's equal blocks are found by equality; where an anchor
+    stands in several different blocks, those and their reference copies are compared window by window. Counts combine
+    before shuffles, and a block that very many documents share meets the index in joins that split skew."""
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST))).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = texts.mapInArrow(_all_blocks, _BLOCK)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("a"), F.max("block").alias("b"))

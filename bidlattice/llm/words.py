@@ -11,8 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 SLICE_BYTES = 2 << 20  # of text handled at once
+WORD_SEED = 0x5DEECE66D  # of the library hash of words
 HASH_BYTES = 1 << 20  # of bytes hashed at once: eight bytes of scratch each
 
 _BYTE = np.arange(256)
@@ -113,7 +115,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool =
 
 
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A quick 64-bit hash of each word's bytes, for features and for places that are compared word by word after: words
+    of a thousand letters and more can be made so that their hashes are equal."""
     n, out, lo = len(w.starts), np.empty(len(w.starts), np.uint64), 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(w.ends, w.starts[lo] + HASH_BYTES, "right")))
@@ -127,6 +130,20 @@ def word_hashes(w: Words) -> np.ndarray:
     return mix(out)
 
 
+def word_digests(w: Words) -> np.ndarray:
+    """Two independent 64-bit hashes of each word's bytes, one a column: halves of a seeded 128-bit library hash, taken
+    once for each distinct word."""
+    offsets = np.append(0, np.cumsum(w.ends - w.starts)).astype(np.int64)
+    some = w.ends > w.starts
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts[some]] += 1
+    inside[w.ends[some]] -= 1
+    flat = np.ascontiguousarray(w.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
+    each = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    digests = b"".join([xxh3_128_digest(x, WORD_SEED) for x in each.dictionary.to_pylist()])
+    return np.frombuffer(digests, "<u8").reshape(-1, 2).astype(np.uint64)[each.indices.to_numpy()]
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each ``k`` consecutive items; ``len(h) - k + 1`` of them, none if that is below one."""
     n = len(h) - k + 1

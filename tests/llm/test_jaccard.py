@@ -124,3 +124,12 @@ def test_null_ids_repeats_and_no_rows(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(docs, 3, (90, 100)).collect())
     assert got == [("4", 2, "4"), ("4", 2, "4"), ("7", 0, "7"), ("None", 2, "4"), ("None", 2, "4"), ("None", 2, "None")]
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def test_crafted_words_do_not_link(spark):
+    """Words made so that a polynomial hash of any odd base calls them equal are two words."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    many = " ".join(f"w{i}" for i in range(19))
+    rows = jaccard.join(documents(spark, [a, b, f"{many} {a}", f"{many} {b}"]), 3, (90, 100)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3)]

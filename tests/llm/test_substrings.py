@@ -55,3 +55,11 @@ def test_shared_and_null_ids_and_no_rows(spark):
     got = sorted(((r.doc_id or 9), r.n_words, r.n_removed) for r in substrings.without_repeats(docs).collect())
     assert got == [(1, 40, 0), (1, 40, 0), (1, 41, 0), (2, 40, 40), (9, 0, 0), (9, 40, 40)]
     assert substrings.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_crafted_words_are_not_removed(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    many = " ".join(f"w{i}" for i in range(19))
+    rows = substrings.without_repeats(documents(spark, [f"{many} {a}", f"{many} {b}", f"{many} {a}"])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(0, 0), (1, 0), (2, 20)]
