@@ -127,6 +127,18 @@ def procurement_seasonality(g: Graph) -> DataFrame:
     )
 
 
+def calendar(g: Graph) -> DataFrame:
+    """(uid, year, quarter, month, level, count, share): a buyer's dated tenders rolled up from months to quarters, years and all of
+    them, each with its share of the level above; finer columns are null."""
+    t = _issued(g).filter("issue_year is not null and issue_month is not null").select(F.col("buyer").alias("uid"), F.col("issue_year").alias("year"), F.ceil(F.col("issue_month") / 3).cast("int").alias("quarter"), F.col("issue_month").alias("month"))
+    keys = ["uid", "year", "quarter", "month"]
+    n = t.groupingSets([[F.col(k) for k in keys[:i]] for i in range(4, 0, -1)], *keys).agg(F.grouping_id().alias("id"), F.count("*").alias("count"))
+    above = [F.max(F.when(F.col("id") == parent, F.col("count"))).over(Window.partitionBy(*keys[:i])) for parent, i in ((1, 3), (3, 2), (7, 1))]
+    total = F.when(F.col("id") == 0, above[0]).when(F.col("id") == 1, above[1]).when(F.col("id") == 3, above[2]).otherwise(F.col("count"))
+    level = F.when(F.col("id") == 0, "month").when(F.col("id") == 1, "quarter").when(F.col("id") == 3, "year").otherwise("all")
+    return n.select(*keys, level.alias("level"), "count", X.ratio("count", total).alias("share"))
+
+
 def preferred_industries(g: Graph) -> DataFrame:
     """(uid, industry, count, share, confidence): industries of all participants on a buyer's tenders, edges counted."""
     per = g.issued.join(g.participation, "tender").groupBy("buyer", "company").agg(F.count("*").alias("edges"))

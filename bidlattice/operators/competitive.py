@@ -108,16 +108,23 @@ def market_share(g: Graph, by: str = "company", limit: int | None = 50) -> DataF
 
 
 def all_market_shares(g: Graph) -> DataFrame:
-    """(scope, dimension, label, count, share) of buyer scopes: winner, year and the winner's city, province and industry in
-    one pass with grouping sets."""
+    """(scope, dimension, label, count, share) of buyer scopes: winner, year and the winner's city, province and industry.
+
+    One aggregate over grouping sets has the counts of all dimensions, and as its coarsest set each scope's awards with
+    a known label in each of them, which shares are of. Awards without a label in a dimension count in the others."""
     first = lambda members, key: members.groupBy(F.col("company").alias("winner")).agg(F.min(key).alias(key))
     t = g.issued.filter(X.is_kind("buyer", "organization")).join(g.winner_of, "tender").join(g.facts.select("tender", F.col("activity_year").cast("string").alias("year")), "tender")
     for members, key in ((g.cities, "city"), (g.provinces, "province"), (g.industries, "industry")):
         t = t.join(first(members, key), "winner", "left")
     dims = ["winner", "year", "city", "province", "industry"]
-    n = t.select(F.col("buyer").alias("scope"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("label")) for d in dims])).alias("x")).select("scope", "x.*")
-    n = n.filter("label is not null").groupBy("scope", "dimension", "label").agg(F.count("*").alias("count"))
-    return n.withColumn("share", X.ratio("count", F.sum("count").over(Window.partitionBy("scope", "dimension"))))
+    sets = [*[[F.col("scope"), F.col(d)] for d in dims], [F.col("scope")]]
+    n = t.select(F.col("buyer").alias("scope"), *dims).groupingSets(sets, "scope", *dims).agg(F.grouping_id().alias("id"), F.count("*").alias("count"), *[F.count(d).alias(f"n_{d}") for d in dims])
+    all_ = (1 << len(dims)) - 1  # the id of the set without any dimension
+    each = {d: all_ - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
+    pick = lambda values: F.coalesce(*[F.when(F.col("id") == each[d], v) for d, v in values.items()])
+    totals = {d: F.max(F.when(F.col("id") == all_, F.col(f"n_{d}"))).over(Window.partitionBy("scope")) for d in dims}
+    rows = n.select("scope", pick({d: F.lit(d) for d in dims}).alias("dimension"), pick({d: F.col(d) for d in dims}).alias("label"), "count", pick(totals).alias("total"))
+    return rows.filter("label is not null").select("scope", "dimension", "label", "count", X.ratio("count", "total").alias("share"))
 
 
 def challenger_companies(g: Graph, lookback_years: int = 2, limit: int | None = 20) -> DataFrame:

@@ -6,6 +6,7 @@ of arrival. Loading a delta twice changes nothing but ``updated_at``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..plans import schema
 from ..session import stored
 from .views import Graph
 
+BROADCAST_ROWS = 1_000_000  # keys that a broadcast may hold
 ENTITY_DELTA = "seq long, kind string, name string, attributes map<string,string>, source string, confidence double"
 RELATION_DELTA = (
     "seq long, source_kind string, source_name string, kind string, target_kind string, target_name string, attributes map<string,string>, "
@@ -24,12 +26,13 @@ RELATION_DELTA = (
 
 
 class Merged(NamedTuple):
-    """New tables, the history rows of what changed, and rows that could not be used."""
+    """New tables, the history rows of what changed, rows that could not be used, and the uids of entities in the delta."""
 
     entities: DataFrame
     relations: DataFrame
     history: DataFrame
     rejected: DataFrame
+    touched: DataFrame
 
 
 def empty(spark: SparkSession, as_of: str = "1970-01-01") -> Graph:
@@ -56,13 +59,21 @@ def _last(value: str, when: Column | None = None) -> Column:
 
 
 def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
-    """``current`` after an upsert of ``delta``.
+    """``current`` after an upsert of ``delta``; see ``upserted``."""
+    return upserted(current, delta, now)[0]
+
+
+def upserted(current: DataFrame, delta: DataFrame, now: str, reserve: Callable[[str, int], int] | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``current`` after an upsert of ``delta``, and the uids (uid) of the delta's entities.
 
     A company with a ``scraper_id`` is found by it alone; all else by kind and canonical name, of several the smallest
     uid. Names and canonical names are overwritten, attributes merged with later values winning, the source kept where
     the new one is null, and the confidence is the larger. New keys get uids after the largest of their prefix, in the
-    order of their first row. Rows of one delta with scraper ids are merged before those without."""
-    known = F.create_map(*[F.lit(x) for k, p in schema.PREFIXES.items() for x in (k, p)])
+    order of their first row; with ``reserve`` (kind, how many) they are numbered on from what it gives. With ``known``, a
+    ``snapshot``, an entity that isn't there gets the uid that it has there, and new numbers come after those of the
+    snapshot too. Rows of one delta with scraper ids are merged before those without."""
+    uids = current.select("uid").limit(0)
+    prefixes = F.create_map(*[F.lit(x) for k, p in schema.PREFIXES.items() for x in (k, p)])
     rows = delta.withColumn("canonical_name", X.canonical("name")).filter(F.col("kind").isin(*schema.PREFIXES) & (F.coalesce("canonical_name", F.lit("")) != ""))
     sid = F.when(F.col("kind") == "company", X.truthy(F.col("attributes")["scraper_id"]))
     rows = rows.withColumn("sid", sid)
@@ -71,6 +82,9 @@ def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
         if not mine.limit(1).count():
             continue
         there = current.withColumn("key", sid if by_id else F.col("canonical_name")).filter("key is not null").groupBy("kind", "key").agg(F.min("uid").alias("uid"))
+        if known is not None:
+            old = known.withColumn("key", F.col("scraper_id") if by_id else F.col("canonical_name")).filter("key is not null").groupBy("kind", "key").agg(F.min("uid").alias("uid"))
+            there = there.withColumn("order", F.lit(0)).unionByName(old.withColumn("order", F.lit(1))).groupBy("kind", "key").agg(F.min_by("uid", "order").alias("uid"))
         merged = mine.groupBy("kind", "key").agg(
             _last("name").alias("name"), _last("canonical_name").alias("canonical_name"),
             _last("source", F.col("source").isNotNull()).alias("source"), F.max("confidence").alias("confidence"), F.min("seq").alias("first"),
@@ -80,13 +94,17 @@ def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
         values = values.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("a", "v"))).alias("attributes"))
         merged = merged.join(values, ["kind", "key"], "left")
         merged = stored(merged.join(there, ["kind", "key"], "left"), "merged")
-        largest = current.groupBy("kind").agg(F.max(F.substring_index("uid", "-", -1).cast("long")).alias("largest"))
+        used = current.select("kind", "uid") if known is None else current.select("kind", "uid").unionByName(known.select("kind", "uid"))
+        largest = used.groupBy("kind").agg(F.max(F.substring_index("uid", "-", -1).cast("long")).alias("largest"))
         fresh = numbered(merged.filter("uid is null").select("kind", "key", "first"), F.col("kind"), F.col("first"), F.col("key"))
-        start = fresh.groupBy("kind").agg(F.min("n").alias("start"))
+        start = fresh.groupBy("kind").agg(F.min("n").alias("start"), F.count("*").alias("many"))
+        if reserve is not None:
+            own = [(r.kind, reserve(r.kind, r.many) - 1) for r in start.collect()]  # a row for each kind
+            largest = current.sparkSession.createDataFrame(own, "kind string, largest long")
         fresh = fresh.join(start, "kind").join(largest, "kind", "left")
         number = F.coalesce("largest", F.lit(0)) + F.col("n") - F.col("start") + 1
-        uids = fresh.select("kind", "key", F.concat(F.element_at(known, F.col("kind")), F.format_string("-%08d", number)).alias("new_uid"))
-        merged = merged.join(uids, ["kind", "key"], "left").withColumn("uid", F.coalesce("uid", "new_uid"))
+        given = fresh.select("kind", "key", F.concat(F.element_at(prefixes, F.col("kind")), F.format_string("-%08d", number)).alias("new_uid"))
+        merged = merged.join(given, ["kind", "key"], "left").withColumn("uid", F.coalesce("uid", "new_uid"))
         new = merged.select("uid", *[F.col(c).alias(f"d_{c}") for c in ("kind", "name", "canonical_name", "attributes", "source", "confidence")])
         none = F.create_map().cast("map<string,string>")
         out = current.join(new, "uid", "full_outer")
@@ -97,8 +115,8 @@ def merge_entities(current: DataFrame, delta: DataFrame, now: str) -> DataFrame:
             F.coalesce("d_source", "source").alias("source"), F.greatest("confidence", "d_confidence").alias("confidence"), F.coalesce("created_at", F.lit(now)).alias("created_at"),
             F.when(touched, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
         )
-        current = stored(out, "entities")
-    return current
+        current, uids = stored(out, "entities"), uids.unionByName(merged.select("uid"))
+    return current, uids.distinct()
 
 
 def _aliases(g: Graph) -> DataFrame:
@@ -164,11 +182,12 @@ def merge_relations(current: DataFrame, delta: DataFrame, now: str) -> DataFrame
 REJECTED = "seq long, kind string, name string, what string"
 
 
-def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_by: str = "import", changes: int = 0) -> Merged:
+def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_by: str = "import", changes: int = 0, reserve: Callable[[str, int], int] | None = None) -> Merged:
     """The graph's tables after both deltas. Entities of unknown kind or without a name, and relations of unknown kind or
     endpoints, are rejected rows. Alias edges come first, so that names of aliases find their companies in the same load.
     History rows are numbered on from ``changes``, those of one load in the order of their uids."""
-    e = merge_entities(g.entities, without_aliases(g, entities, relations), now)
+    e, touched = upserted(g.entities, without_aliases(g, entities, relations), now, reserve)
+    touched = stored(touched, "touched")
     alias_edges, r, lost = relations.filter("kind = 'alias_of'"), g.relations, relations.limit(0)
     if alias_edges.limit(1).count():
         usable, lost = resolved(Graph(e, r, g.as_of), alias_edges)
@@ -177,17 +196,56 @@ def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_
     r = stored(merge_relations(r, usable, now), "relations")
     bad = entities.filter(~F.coalesce(F.col("kind").isin(*schema.PREFIXES), F.lit(False)) | (F.coalesce(X.canonical("name"), F.lit("")) == ""))
     rejected = bad.select("seq", "kind", "name", F.lit("entity").alias("what")).unionByName(lost.unionByName(more).select("seq", "kind", F.concat_ws(" -> ", "source_name", "target_name").alias("name"), F.lit("relation").alias("what")))
-    history = e.filter(F.col("updated_at") == now).select("uid", F.to_json(F.struct("kind", "name", "attributes", "source", "confidence")).alias("snapshot"), F.lit(changed_by).alias("changed_by"), F.lit(now).alias("changed_at"))
+    history = e.join(touched, "uid", "left_semi").select("uid", F.to_json(F.struct("kind", "name", "attributes", "source", "confidence")).alias("snapshot"), F.lit(changed_by).alias("changed_by"), F.lit(now).alias("changed_at"))
     history = numbered(history, F.col("uid")).select("uid", "snapshot", "changed_by", "changed_at", (F.col("n") + changes + 1).alias("seq"))
-    return Merged(e, r, history, rejected)
+    return Merged(e, r, history, rejected, touched)
+
 
+def counts(before: Graph, entities: DataFrame, relations: DataFrame, rejected: DataFrame) -> dict[str, int]:
+    """Numbers of one load, from the rows that it writes: entities and relations created, entities updated, rows rejected."""
+    there = F.col("there").isNotNull()
+    e = entities.join(before.entities.select("uid", F.lit(1).alias("there")), "uid", "left").agg(F.count_if(~there).alias("new"), F.count_if(there).alias("old")).first()
+    r = relations.join(before.relations.select("id"), "id", "left_anti").count()
+    return {"entities_created": e.new, "entities_updated": e.old, "relations_created": r, "rejected": rejected.count()}
 
-def counts(before: Graph, m: Merged, now: str) -> dict[str, int]:
-    """Numbers of one load: entities and relations created, entities updated, rows rejected."""
-    e = m.entities.filter(F.col("updated_at") == now).agg(F.count_if(F.col("created_at") == now).alias("created"), F.count("*").alias("all")).first()
-    known = before.entities.join(m.entities.filter((F.col("updated_at") == now) & (F.col("created_at") == now)).select("uid"), "uid", "left_semi").count()
-    created = e.created - known
-    return {"entities_created": created, "entities_updated": e["all"] - created, "relations_created": m.relations.count() - before.relations.count(), "rejected": m.rejected.count()}
+
+def _some(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df``'s rows with one of ``keys``, which are stored and are broadcast while there are BROADCAST_ROWS at most."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
+
+
+def wanted(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, canonical_name) and (id) by which a delta finds what is there: names of its entities and endpoints, those of companies
+    as aliases too, and their scraper ids."""
+    own = [entities.select("kind", X.canonical("name").alias("canonical_name"), X.truthy(F.col("attributes")["scraper_id"]).alias("id"))]
+    none = F.lit(None).cast("string")
+    for end in ("source", "target"):
+        own.append(relations.select(F.col(f"{end}_kind").alias("kind"), X.canonical(f"{end}_name").alias("canonical_name"), (F.col(f"{end}_id") if f"{end}_id" in relations.columns else none).alias("id")))
+    both = own[0].unionByName(own[1]).unionByName(own[2])
+    names = both.filter("canonical_name <> ''").select("kind", "canonical_name")
+    names = names.unionByName(names.filter("kind = 'company'").withColumn("kind", F.lit("company_alias")))
+    keys = names.distinct().withColumn("id", F.lit(None).cast("string")).unionByName(both.select("id").filter("id is not null").distinct(), allowMissingColumns=True)
+    keys = stored(keys, "wanted")
+    return keys.filter("id is null").drop("id"), keys.filter("id is not null").select("id")
+
+
+def relevant(g: Graph, names: DataFrame, ids: DataFrame) -> Graph:
+    """The part of ``g`` that a delta with these names and ids (``wanted``) can meet: loading the delta into it changes what
+    loading it into ``g`` does.
+
+    That is the entities of those names or scraper ids; what their alias edges lead to; and the edges among all those."""
+    sid = X.truthy(F.col("attributes")["scraper_id"])
+    by_name = _some(g.entities, names, ["kind", "canonical_name"])
+    by_id = _some(g.nodes("company", "company_alias").withColumn("id", sid), ids, ["id"]).drop("id")
+    found = stored(by_name.unionByName(by_id).dropDuplicates(["uid"]), "named")
+    front = found
+    while front.filter("kind = 'company_alias'").limit(1).count():
+        there = stored(_some(g.edges("alias_of"), stored(front.select(F.col("uid").alias("source_uid")), "aliases"), ["source_uid"]).select(F.col("target_uid").alias("uid")).distinct().join(found.select("uid"), "uid", "left_anti"), "reached")
+        front = stored(_some(g.nodes("company", "company_alias"), there, ["uid"]), "reached")
+        found = found.unionByName(front)
+    uids = stored(found.select("uid"), "uids")
+    edges = _some(_some(g.relations, uids.withColumnRenamed("uid", "source_uid"), ["source_uid"]), uids.withColumnRenamed("uid", "target_uid"), ["target_uid"])
+    return Graph(stored(found, "relevant"), stored(edges, "relevant"), g.as_of)
 
 
 def company_by_id(g: Graph, company_id: str) -> DataFrame:
@@ -284,6 +342,27 @@ def alias_integrity(g: Graph) -> DataFrame:
     return wrong.unionByName(source).unionByName(lone)
 
 
+def snapshot(entities: DataFrame) -> DataFrame:
+    """(kind, canonical_name, scraper_id, uid): what a re-import needs to give entities the uids they had. A company with a scraper
+    id is known by it, all else by name."""
+    return entities.select("kind", "canonical_name", F.when(F.col("kind") == "company", X.truthy(F.col("attributes")["scraper_id"])).alias("scraper_id"), "uid")
+
+
+def reimported(known: DataFrame, delta: DataFrame, now: str, current: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A delta of entities loaded into an empty graph, or ``current``, under the uids of a snapshot; and the problems (problem, uid),
+    none of which may be there before the result is used: entities of the snapshot that have another uid now, and uids
+    that another entity had. Uids of entities that are gone are not given again."""
+    known = stored(known, "snapshot")
+    out, _ = upserted(empty(delta.sparkSession).entities if current is None else current, delta, now, known=known)
+    out = stored(out, "reimported")
+    now_ = snapshot(out)
+    key = lambda df: df.select("kind", F.when(F.col("scraper_id").isNotNull(), F.concat(F.lit("id|"), "scraper_id")).otherwise(F.concat(F.lit("name|"), "canonical_name")).alias("key"), "uid")
+    a, b = key(known).groupBy("kind", "key").agg(F.min("uid").alias("old")), key(now_).groupBy("kind", "key").agg(F.min("uid").alias("uid"))
+    moved = a.join(b, ["kind", "key"]).filter("old <> uid").select(F.lit("uid changed").alias("problem"), F.col("old").alias("uid"))
+    taken = key(known).withColumnRenamed("key", "before").join(key(now_).drop("kind"), "uid").join(a.select(F.col("key").alias("before"), "kind"), ["kind", "before"]).filter("key <> before and not startswith(key, 'id|') and not startswith(before, 'id|')")
+    return out, moved.unionByName(taken.select(F.lit("uid of another").alias("problem"), "uid"))
+
+
 def uid_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(kind, canonical_name, before_uid, after_uid, change): missing, new or changed uids of two versions."""
     a, b = (x.groupBy("kind", "canonical_name").agg(F.min("uid").alias(n)) for x, n in ((before, "before_uid"), (after, "after_uid")))

@@ -23,6 +23,7 @@ QUERIES = {
     "buyer_competitiveness": buyer.buyer_competitiveness,
     "buyer_timeline": buyer.buyer_timeline,
     "buyer_tender_forecast": buyer.tender_forecast,
+    "buyer_calendar": buyer.calendar,
     "buyer_profile": lambda g: buyer.profile(g).select("uid", "summary.total_tenders", "patterns.busiest_year", "value.median_value", "concentration.hhi", "competitiveness.competitiveness_level", "forecast.forecast_basis"),
 }
 
@@ -43,6 +44,10 @@ _FORECAST = """f as (select buyer as uid, count(*) as total_tenders, count(*) as
 fc as (select *, case when months > 1 then round((last - first) / (months - 1)::double, 1) end as cadence from f)"""
 
 ORACLES = {
+    "buyer_calendar": sql(
+        f"""select buyer as uid, y as year, q as quarter, m as month, ['month', 'quarter', '', 'year', '', '', '', 'all'][id + 1] as level, n as "count", {ratio("n", "total")} as share
+        from (select *, case id when 0 then sum(n) filter (id = 0) over (partition by buyer, y, q) when 1 then sum(n) filter (id = 0) over (partition by buyer, y) else sum(n) filter (id = 0) over (partition by buyer) end as total
+          from (select buyer, y, q, m, grouping(y, q, m) as id, count(*) as n from (select buyer, y, ((m + 2) // 3)::int as q, m from issued) group by buyer, rollup (y, q, m)))""", _ISSUED),
     "buyer_summary": sql(
         f"""select buyer as uid, name, total_tenders, coalesce(active, 0) as active_suppliers, coalesce(h, 0.0) as award_hhi, top_supplier, top_n as top_supplier_awards, {confidence("total_tenders")} as confidence
         from org join totals using (buyer) left join (select buyer, count(*) as active, {hhi("n")} as h from aw group by 1) using (buyer)

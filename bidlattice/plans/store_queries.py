@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import exprs as X
-from ..operators import company, relationship, store, traverse
+from ..operators import adjacency, company, relationship, store, text_index, traverse
 from ..operators.views import Graph
 from ..session import scratch, stored
 from ..sources import code, files, star
 from ..streaming import incremental
-from .graph_queries import _ADJ, _R, START
+from .graph_queries import _ADJ, _E, _R, START
+from .graph_queries import ORACLES as GRAPH_ORACLES
 from .oracles import sql
 
 DAY, NEXT = "2001-01-01", "2001-01-02"
@@ -50,17 +51,18 @@ def _edges_twice(spark: SparkSession, folder: str) -> DataFrame:
     return two.relations.select("id", "source_uid", "target_uid", "kind", "confidence", "created_at")
 
 
-_MADE: dict[tuple, object] = {}
+_MADE: dict[tuple, tuple[str, object]] = {}
 
 
 def _once(make):
-    """``make`` (spark, folder), whose tables are stored, once for each session and folder."""
+    """``make`` (spark, folder), whose tables are stored, once for each session and folder, and again when a table has changed."""
 
     def made(spark: SparkSession, folder: str):
         key = (make.__name__, spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), folder)
-        if key not in _MADE:
-            _MADE[key] = make(spark, folder)
-        return _MADE[key]
+        signs = star.signs(spark, folder, (*star.TABLES, "documents"))
+        if key not in _MADE or _MADE[key][0] != signs:
+            _MADE[key] = (signs, make(spark, folder))
+        return _MADE[key][1]
 
     return made
 
@@ -112,8 +114,8 @@ def _alias_identity(spark: SparkSession, folder: str) -> DataFrame:
     return who.select("uid", "name", F.array_join("aliases", ",").alias("aliases"), F.col("external_ids")["id_duns"].cast("long").alias("duns"), F.col("attributes")["city"].alias("city"))
 
 
-def _relational(spark: SparkSession, folder: str) -> DataFrame:
-    """Companies with aliases, tenders, permits, awards and buyers as relational tables, loaded together: all edges."""
+def _relational_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Companies with aliases, tenders, permits and awards as relational tables."""
     s, c, o, p = (_table(spark, folder, t) for t in ("supplier", "customer", "orders", "part"))
     n = s.count()
     same = [(F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("display_name"), F.col("s_name").alias("name")]
@@ -122,7 +124,12 @@ def _relational(spark: SparkSession, folder: str) -> DataFrame:
     tenders = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("c_name").alias("organization"), F.col("o_totalprice").alias("estimated_value"))
     permits = p.select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).alias("external_id"), F.lit(" ").alias("address"), (F.col("p_partkey") % (2 * n) + 1).alias("company_id"))
     awards = p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.lit("").alias("title"), F.concat(F.lit("A-"), F.col("p_partkey").cast("string")).alias("external_id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % n).cast("string"), 9, "0"), F.when(F.expr("p_partkey % 8 = 0"), " PERMITS").otherwise("")).alias("winner_company"), F.col("p_retailprice").alias("award_value"), F.lit(None).cast("long").alias("company_id"))
-    stages = files.relational(spark, {"companies": companies.unionByName(alias), "tenders": tenders, "permits": permits, "contract_awards": awards})
+    return {"companies": companies.unionByName(alias), "tenders": tenders, "permits": permits, "contract_awards": awards}
+
+
+def _relational(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies with aliases, tenders, permits, awards and buyers as relational tables, loaded together: all edges."""
+    stages = files.relational(spark, _relational_tables(spark, folder))
     e = r = None
     for k, (_, d) in enumerate(stages):
         own = d.entities.withColumn("seq", F.col("seq") + F.lit(k << 50)), d.relations.withColumn("seq", F.col("seq") + F.lit(k << 50))
@@ -133,6 +140,65 @@ def _relational(spark: SparkSession, folder: str) -> DataFrame:
     return ends.select("kind", "source", "target")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The relational tables loaded stage by stage, tenders in two pages, and then once more, which adds nothing: all entities."""
+    tables, target = _relational_tables(spark, folder), scratch(spark, "pages")
+    size = tables["tenders"].count() // 2 + 1
+    for _ in range(2):
+        incremental.import_tables(spark, target, tables, DAY, size)
+    g = incremental.current(spark, target)
+    return g.entities.select("kind", "name")
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies and buyers streamed into one graph, each from a folder and with a checkpoint of its own, in turn; old files
+    go in between, and the last call reads its folder again with a new checkpoint: all entities."""
+    at, none = scratch(spark, "sources"), spark.createDataFrame([], store.RELATION_DELTA)
+    for table, key, kind, part, check in (("supplier", "s_suppkey", "company", 0, "a"), ("customer", "c_custkey", "organization", 0, "b"), ("supplier", "s_suppkey", "company", 1, "a"), ("customer", "c_custkey", "organization", 1, "new")):
+        rows = _table(spark, folder, table).filter(F.col(key) % 2 == part).select(F.col(key).alias("key"), F.col(f"{key[0]}_name").alias("name"))
+        rows.write.mode("append").parquet(f"{at}/{table}")
+        delta = lambda batch, kind=kind: files.Delta(_entities(batch, F.col("key"), kind, F.col("name")), none, none)
+        incremental.import_files(spark, f"{at}/{table}", "key long, name string", f"{at}/graph", f"{at}/check-{check}", delta, DAY)
+        incremental.vacuum(spark, f"{at}/graph", 1)
+    return incremental.current(spark, f"{at}/graph").entities.select("uid", "kind", "name")
+
+
+def _reimport(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies loaded anew into an empty graph under the uids of an old one: in another order, some gone, some new."""
+    s = _table(spark, folder, "supplier").withColumn("up", F.col("s_suppkey").cast("long"))
+    old = store.merge_entities(store.empty(spark).entities, _entities(s.filter("s_suppkey % 5 <> 1"), F.col("up"), "company", F.col("s_name")), DAY)
+    again = _entities(s.filter("s_suppkey % 7 <> 2"), -F.col("up"), "company", F.upper("s_name"))
+    new, problems = store.reimported(store.snapshot(old), again, NEXT)
+    if problems.limit(1).count():
+        raise ValueError("uids have changed")
+    return new.select("uid", "name", "created_at")
+
+
+@_once
+def _index(spark: SparkSession, folder: str) -> str:
+    """An index of all documents, of which a third was first there with another text, and a third came later."""
+    docs, target = _table(spark, folder, "documents"), scratch(spark, "index")
+    third = F.col("doc_id") % 3
+    text_index.append(spark, target, docs.filter(third < 2).withColumn("text", F.when(third == 1, F.concat(F.lit("idiot of the with "), F.reverse("text"))).otherwise(F.col("text"))), "doc_id", "text")
+    text_index.append(spark, target, docs.filter(third > 0), "doc_id", "text")
+    return target
+
+
+#: Alternatives, a phrase, a word, a phrase that must not be there.
+ASKED = '"of the" with -"the and" or idiot'
+
+
+@_once
+def _adjacency(spark: SparkSession, folder: str) -> adjacency.Stored:
+    return adjacency.write(star.kept(spark, folder), scratch(spark, "adjacency"))
+
+
+def _stored_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    g = star.kept(spark, folder)
+    seeds = g.nodes("company").filter("uid <= 'CMP-00000020'").select("uid")
+    return adjacency.neighbors(g, _adjacency(spark, folder), seeds)
+
+
 def _dated(spark: SparkSession, folder: str) -> Graph:
     """The star graph with dated awards, and parts as permits of companies."""
     g, n = star.kept(spark, folder), _table(spark, folder, "supplier").count()
@@ -231,6 +297,13 @@ QUERIES = {
     "dated_yearly_stats": lambda spark, folder: company.yearly_stats(_dated(spark, folder)),
     "subcontractor_chains": lambda spark, folder: relationship.subcontractor_chains(_working(spark, folder), 2, 10).select("uid", F.array_join("chain", ",").alias("chain")),
     "path_hops": lambda spark, folder: _paths(star.kept(spark, folder)),
+    "import_sources": _sources,
+    "relational_pages": _pages,
+    "reimport_uids": _reimport,
+    "index_search": lambda spark, folder: text_index.bm25(spark, _index(spark, folder), "idiot worthless", 50).withColumnRenamed("key", "doc_id"),
+    "index_match": lambda spark, folder: text_index.match(spark, _index(spark, folder), ASKED).withColumnRenamed("key", "doc_id"),
+    "stored_neighbors": _stored_neighbors,
+    "stored_two_hops": lambda spark, folder: adjacency.two_hops(_adjacency(spark, folder), star.kept(spark, folder).nodes("company").select("uid")),
     "code_entities": _code_entities,
     "code_relations": _code_relations,
 }
@@ -262,6 +335,26 @@ ORACLES = {
         select 'alias_of' as kind, s_name || ' Permits' as source, s_name as target from supplier where s_suppkey % 5 = 0
         union all select 'has_permit', company, case when p_partkey % 2 = 0 then 'P-' || p_partkey else 'permit-' || p_partkey end from part, n, c where c.id = p_partkey % (2 * n)
         union all select 'awarded_to', 'A-' || p_partkey, s_name from part, n join supplier on s_suppkey = p_partkey % n where p_partkey % 4 = 0 and (p_partkey % 8 <> 0 or s_suppkey % 5 = 0)""",
+    "import_sources": """select printf('CMP-%08d', row_number() over (order by s_suppkey % 2, s_suppkey)) as uid, 'company' as kind, s_name as name from supplier
+        union all select printf('ORG-%08d', row_number() over (order by c_custkey % 2, c_custkey)), 'organization', c_name from customer""",
+    "relational_pages": """select 'company' as kind, s_name as name from supplier union all select 'company_alias', s_name || ' Permits' from supplier where s_suppkey % 5 = 0
+        union all select 'tender', 'Order ' || o_orderkey from orders union all select 'organization', c_name from customer semi join orders on o_custkey = c_custkey
+        union all select 'permit', case when p_partkey % 2 = 0 then 'P-' || p_partkey else 'permit-' || p_partkey end from part union all select 'contract', 'A-' || p_partkey from part where p_partkey % 4 = 0""",
+    "reimport_uids": f"""with o as (select s_suppkey, row_number() over (order by s_suppkey) as n from supplier where s_suppkey % 5 <> 1),
+        f as (select s_suppkey, (select count(*) from o) + row_number() over (order by s_suppkey desc) as n from supplier where s_suppkey % 5 = 1 and s_suppkey % 7 <> 2)
+        select printf('CMP-%08d', n) as uid, upper(s_name) as name, '{NEXT}' as created_at from supplier join (from o union all from f) using (s_suppkey) where s_suppkey % 7 <> 2""",
+    "index_search": GRAPH_ORACLES["search_documents"] + " order by score desc, doc_id limit 50",
+    "index_match": r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+        tok as (select doc_id, unnest(w) as term, unnest(range(len(w))) as p from t), two as (select *, lead(term) over (partition by doc_id order by p) as nxt from tok),
+        a as (select doc_id, p as s, p + 1 as e from two where term = 'of' and nxt = 'the'), b as (select doc_id, p as s, p as e from tok where term = 'with'), c as (select doc_id, p as s, p as e from tok where term = 'idiot'),
+        n as (select distinct doc_id from two where term = 'the' and nxt = 'and'),
+        cand as (select a.doc_id, least(a.s, b.s) as s, greatest(a.e, b.e) as e from a join b using (doc_id) where a.doc_id not in (select doc_id from n) union all from c),
+        best as (select doc_id, e, max(s) as s from cand group by 1, 2),
+        cov as (select * from (select *, max(s) over (partition by doc_id order by e rows between unbounded preceding and 1 preceding) as m from best) where m is null or s > m),
+        sp as (select cov.doc_id, s, e, count(*) as k from cov join tok on tok.doc_id = cov.doc_id and p between s and e and term in ('of', 'the', 'with', 'idiot') group by 1, 2, 3)
+        select doc_id, floor(sum(0.1::double / (2 + e - s - k)) * 1e6::double + 0.500001::double) / 1e6::double as rank from sp group by 1""".replace("\\", "\\"),
+    "stored_neighbors": sql("select adj.uid, direction, adj.kind as relation, other, ent.kind as other_kind, name as other_name from adj join ent on ent.uid = other where adj.uid between 'CMP-00000001' and 'CMP-00000020'", _E, _R, _ADJ),
+    "stored_two_hops": sql("select x.uid, count(*) as walks, count(distinct y.other) as ends from adj x join adj y on y.uid = x.other where x.uid like 'CMP-%' group by 1", _R, _ADJ),
     "csv_import": "select 'entity' as what, 'company' as kind, count(*) as n from supplier union all select 'entity', 'city', count(distinct s_nationkey) from supplier union all select 'relation', 'in_city', count(*) from supplier",
     "dated_yearly_stats": sql(
         """select uid, y as year, count(*) filter (k = 'c') as contract_count, coalesce(round(sum(v) filter (k = 'c'), 2), 0.0) as contract_value, count(*) filter (k = 'p') as permit_count, coalesce(round(sum(v) filter (k = 'p'), 2), 0.0) as permit_value from (

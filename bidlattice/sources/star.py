@@ -76,6 +76,16 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(union(entities), union(relations), AS_OF)
 
 
+def signs(spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES) -> str:
+    """When the files of the tables were written, and their bytes."""
+    out = []
+    for n in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()) if fs.exists(at) else None)
+    return str(out)
+
+
 _KEPT: dict[tuple, tuple[str, Graph]] = {}
 
 
@@ -84,17 +94,13 @@ def kept(spark: SparkSession, folder: str) -> Graph:
     all queries of a session on one folder are queries on one stored graph, whose views are stored as well. A graph is
     stored anew when a table's files have changed or the stored ones are gone."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    signs = []
-    for n in TABLES:
-        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.parquet")
-        fs = at.getFileSystem(conf)
-        signs.append((fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()))
+    now = signs(spark, folder)
     key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), folder)
-    if key in _KEPT and _KEPT[key][0] == str(signs):
+    if key in _KEPT and _KEPT[key][0] == now:
         at = jvm.org.apache.hadoop.fs.Path(_KEPT[key][1].entities.inputFiles()[0])
         if at.getFileSystem(conf).exists(at):
             return _KEPT[key][1]
     at = scratch(spark, "graph")
     store.save(graph(spark, folder), at)
-    _KEPT[key] = (str(signs), store.read(spark, at, AS_OF, kept=True))
+    _KEPT[key] = (now, store.read(spark, at, AS_OF, kept=True))
     return _KEPT[key][1]

@@ -141,8 +141,9 @@ def test_a_load_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert incremental.append(spark, target, delta("A", " "), "2024-01-01")["load"] == {"entities_created": 1, "entities_updated": 0, "relations_created": 0, "rejected": 1}
     again = incremental.append(spark, target, delta("A", "B"), "2024-01-02")
     assert again["version"] == 2 and again["load"]["entities_created"] == again["load"]["entities_updated"] == 1
-    assert [(r.uid, r.seq) for r in incremental.history(spark, target).orderBy("seq").collect()] == [("CMP-00000001", 1), ("CMP-00000001", 2), ("CMP-00000002", 3)]
-    assert incremental.rejected(spark, target).count() == 1 and incremental.vacuum(spark, target, 1) == 3
+    one, same, other = incremental.history(spark, target).orderBy("seq").collect()  # numbers that crashed loads had leased are not used again
+    assert [one.seq, same.seq, other.seq] == [1, 2, 3] and one.uid == same.uid < other.uid
+    assert incremental.rejected(spark, target).count() == 1 and incremental.vacuum(spark, target, 1) == 2
     assert table(incremental.current(spark, target).entities, "name") == [("A",), ("B",)]
 
 
