@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import exprs as X
-from ..operators import adjacency, company, relationship, store, text_index, traverse
+from ..operators import adjacency, company, matching, nested, relationship, store, text_index, traverse
 from ..operators.views import Graph
 from ..session import scratch, stored
 from ..sources import code, files, star
@@ -174,6 +174,35 @@ def _reimport(spark: SparkSession, folder: str) -> DataFrame:
     return new.select("uid", "name", "created_at")
 
 
+def _registers(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers, a second register that has each under another form of its name, and customers: companies of all three."""
+    s = _table(spark, folder, "supplier")
+    variant = F.when(F.expr("s_suppkey % 3 = 0"), F.concat(F.upper("s_name"), F.lit(" Ltd."))).when(F.expr("s_suppkey % 3 = 1"), F.concat(F.lit("Somebody DBA: "), "s_name")).otherwise(F.replace("s_name", F.lit("Supplier"), F.lit("Suplier")))
+    own = s.select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.lit("a").alias("register"))
+    other = s.select((F.col("s_suppkey") + (1 << 40)).alias("id"), variant.alias("name"), F.lit("b").alias("register"))
+    buyers = _table(spark, folder, "customer").select((F.col("c_custkey") + (1 << 41)).alias("id"), F.col("c_name").alias("name"), F.lit("c").alias("register"))
+    m = matching.merged(own.unionByName(other).unionByName(buyers))
+    return m.select("match", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("registers", ",").alias("registers"), "rows")
+
+
+@_once
+def _nested(spark: SparkSession, folder: str) -> str:
+    """Orders as entities with nested attributes, of which the status is a column too."""
+    c = _table(spark, folder, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("profile")).alias("buyer"))
+    o = _table(spark, folder, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"))
+    attributes = F.to_json(F.struct("buyer", F.col("o_orderstatus").alias("status"), F.array("o_orderpriority", F.date_format("o_orderdate", "yyyy")).alias("tags"), F.col("o_totalprice").alias("value")))
+    at = scratch(spark, "nested")
+    nested.write(o.select("o_orderkey", attributes.alias("attributes")), at, {"status": "string", "value": "double"})
+    return at
+
+
+def _contained(spark: SparkSession, folder: str) -> DataFrame:
+    """Urgent open orders of 1997 by buyers of one segment, asked for by containment, and what stands at paths of them."""
+    found = nested.find(nested.read(spark, _nested(spark, folder)), {"status": "O", "tags": ["1997", "1-URGENT"], "buyer": {"profile": {"segment": "BUILDING"}}})
+    v = F.col("attributes")
+    return found.select("o_orderkey", nested.at(v, "buyer", "name", as_="string").alias("buyer"), nested.at(v, "buyer", "profile", "nation", as_="long").alias("nation"), nested.at(v, "value", as_="double").alias("value"))
+
+
 @_once
 def _index(spark: SparkSession, folder: str) -> str:
     """An index of all documents, of which a third was first there with another text, and a third came later."""
@@ -300,6 +329,8 @@ QUERIES = {
     "import_sources": _sources,
     "relational_pages": _pages,
     "reimport_uids": _reimport,
+    "nested_attributes": _contained,
+    "registers_matched": _registers,
     "index_search": lambda spark, folder: text_index.bm25(spark, _index(spark, folder), "idiot worthless", 50).withColumnRenamed("key", "doc_id"),
     "index_match": lambda spark, folder: text_index.match(spark, _index(spark, folder), ASKED).withColumnRenamed("key", "doc_id"),
     "stored_neighbors": _stored_neighbors,
@@ -343,6 +374,10 @@ ORACLES = {
     "reimport_uids": f"""with o as (select s_suppkey, row_number() over (order by s_suppkey) as n from supplier where s_suppkey % 5 <> 1),
         f as (select s_suppkey, (select count(*) from o) + row_number() over (order by s_suppkey desc) as n from supplier where s_suppkey % 5 = 1 and s_suppkey % 7 <> 2)
         select printf('CMP-%08d', n) as uid, upper(s_name) as name, '{NEXT}' as created_at from supplier join (from o union all from f) using (s_suppkey) where s_suppkey % 7 <> 2""",
+    "nested_attributes": """select o_orderkey, c_name as buyer, c_nationkey::bigint as nation, o_totalprice as value from orders join customer on c_custkey = o_custkey
+        where o_orderstatus = 'O' and o_orderpriority = '1-URGENT' and year(o_orderdate) = 1997 and c_mktsegment = 'BUILDING'""",
+    "registers_matched": f"""select s_suppkey::bigint as match, s_name as name, case s_suppkey % 3 when 0 then upper(s_name) || ' Ltd.' when 1 then 'Somebody DBA: ' || s_name else replace(s_name, 'Supplier', 'Suplier') end as aliases, 'a,b' as registers, 2::bigint as rows from supplier
+        union all select c_custkey + {1 << 41}, c_name, '', 'c', 1 from customer""",
     "index_search": GRAPH_ORACLES["search_documents"] + " order by score desc, doc_id limit 50",
     "index_match": r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
         tok as (select doc_id, unnest(w) as term, unnest(range(len(w))) as p from t), two as (select *, lead(term) over (partition by doc_id order by p) as nxt from tok),
