@@ -14,7 +14,9 @@ import pyarrow as pa
 from xxhash import xxh3_128_digest
 
 SLICE_BYTES = 2 << 20  # of text handled at once
-WORD_SEED = 0x5DEECE66D  # of the library hash of words
+LANES = 3  # integers of eight bytes that a word may have to be hashed without the library
+WORD_SEED = 0x5DEECE66D  # of the library hash of longer words
+WORD_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 HASH_BYTES = 1 << 20  # of bytes hashed at once: eight bytes of scratch each
 
 _BYTE = np.arange(256)
@@ -131,17 +133,29 @@ def word_hashes(w: Words) -> np.ndarray:
 
 
 def word_digests(w: Words) -> np.ndarray:
-    """Two independent 64-bit hashes of each word's bytes, one a column: halves of a seeded 128-bit library hash, taken
-    once for each distinct word."""
-    offsets = np.append(0, np.cumsum(w.ends - w.starts)).astype(np.int64)
-    some = w.ends > w.starts
-    inside = np.zeros(len(w.data) + 1, np.int8)
-    inside[w.starts[some]] += 1
-    inside[w.ends[some]] -= 1
-    flat = np.ascontiguousarray(w.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
-    each = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
-    digests = b"".join([xxh3_128_digest(x, WORD_SEED) for x in each.dictionary.to_pylist()])
-    return np.frombuffer(digests, "<u8").reshape(-1, 2).astype(np.uint64)[each.indices.to_numpy()]
+    """Two independent 64-bit hashes of each word's bytes, one a column.
+
+    Words of up to 8 * LANES bytes are read as 64-bit integers, which are mixed in one after another from two seeds and
+    the length: words of one length that differ in one integer never have equal hashes. Longer words get both halves of
+    a seeded 128-bit library hash."""
+    n, size = len(w.data), w.ends - w.starts
+    padded = np.zeros(n + 8 * LANES, np.uint8)
+    padded[:n] = w.data
+    at = np.ndarray(n + 8 * LANES - 7, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = np.empty((len(size), 2), np.uint64)
+    for k in (0, 1):
+        out[:, k] = mix(size.astype(np.uint64) * np.uint64(_R) + WORD_SEEDS[k])
+    rows = np.arange(len(size))
+    for lane in range(LANES):
+        rows = rows[size[rows] > 8 * lane]
+        left = np.minimum(size[rows] - 8 * lane, 8).astype(np.uint64)
+        value = at[w.starts[rows] + 8 * lane] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        for k in (0, 1):
+            out[rows, k] = mix(out[rows, k] ^ value)
+    long = np.flatnonzero(size > 8 * LANES)
+    if len(long):
+        out[long] = np.frombuffer(b"".join([xxh3_128_digest(w.word(i), WORD_SEED) for i in long.tolist()]), "<u8").reshape(-1, 2)
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

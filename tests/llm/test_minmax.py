@@ -58,3 +58,16 @@ def test_crafted_words_are_told_apart():
     assert (found[0] == found[2]).all() and (found[0] != found[1]).all() and found[0, 0] != found[0, 1]
     empty = words.words(np.zeros(0, np.uint8), np.zeros(1, np.int64), words.NON_SPACE)
     assert words.word_digests(empty).shape == (0, 2)
+
+
+def test_hashes_of_words_of_all_lengths():
+    """Equal words have equal hashes wherever they stand; words that differ in a byte, or by being longer, have others."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in range(1, 60) for _ in range(30)] + [b"a", b"aa", b"\xc3\xa9", b"a" * 24, b"a" * 25]
+    joined = b" ".join(texts + texts[::-1])
+    found = words.words(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), words.NON_SPACE)
+    hashes = words.word_digests(found)
+    assert [found.word(i) for i in range(len(hashes))] == texts + texts[::-1]
+    for k in (0, 1):
+        assert (hashes[: len(texts), k] == hashes[len(texts) :, k][::-1]).all() and len(np.unique(hashes[:, k])) == len(set(texts))
+    assert len(np.unique(hashes)) == 2 * len(set(texts))
