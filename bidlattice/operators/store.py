@@ -188,14 +188,15 @@ def load(g: Graph, entities: DataFrame, relations: DataFrame, now: str, changed_
     History rows are numbered on from ``changes``, those of one load in the order of their uids."""
     e, touched = upserted(g.entities, without_aliases(g, entities, relations), now, reserve)
     touched = stored(touched, "touched")
-    alias_edges, r, lost = relations.filter("kind = 'alias_of'"), g.relations, relations.limit(0)
-    if alias_edges.limit(1).count():
-        usable, lost = resolved(Graph(e, r, g.as_of), alias_edges)
-        r = stored(merge_relations(r, usable, now), "alias-relations")
-    usable, more = resolved(Graph(e, r, g.as_of), relations.filter("kind is null or kind <> 'alias_of'"))
-    r = stored(merge_relations(r, usable, now), "relations")
+    alias_of = F.coalesce(F.col("kind") == "alias_of", F.lit(False))
+    r, lost = g.relations, relations.limit(0)
+    there = {x.alias for x in relations.select(alias_of.alias("alias")).distinct().collect()}
+    for first in (True, False):
+        if first in there:
+            usable, more = resolved(Graph(e, r, g.as_of), relations.filter(alias_of == F.lit(first)))
+            r, lost = stored(merge_relations(r, usable, now), "relations"), lost.unionByName(more, allowMissingColumns=True)
     bad = entities.filter(~F.coalesce(F.col("kind").isin(*schema.PREFIXES), F.lit(False)) | (F.coalesce(X.canonical("name"), F.lit("")) == ""))
-    rejected = bad.select("seq", "kind", "name", F.lit("entity").alias("what")).unionByName(lost.unionByName(more).select("seq", "kind", F.concat_ws(" -> ", "source_name", "target_name").alias("name"), F.lit("relation").alias("what")))
+    rejected = bad.select("seq", "kind", "name", F.lit("entity").alias("what")).unionByName(lost.select("seq", "kind", F.concat_ws(" -> ", "source_name", "target_name").alias("name"), F.lit("relation").alias("what")))
     history = e.join(touched, "uid", "left_semi").select("uid", F.to_json(F.struct("kind", "name", "attributes", "source", "confidence")).alias("snapshot"), F.lit(changed_by).alias("changed_by"), F.lit(now).alias("changed_at"))
     history = numbered(history, F.col("uid")).select("uid", "snapshot", "changed_by", "changed_at", (F.col("n") + changes + 1).alias("seq"))
     return Merged(e, r, history, rejected, touched)
@@ -230,22 +231,22 @@ def wanted(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def relevant(g: Graph, names: DataFrame, ids: DataFrame) -> Graph:
-    """The part of ``g`` that a delta with these names and ids (``wanted``) can meet: loading the delta into it changes what
+    """The part of ``g`` that a delta with these names and ids (``wanted``, stored) can meet: loading the delta into it changes what
     loading it into ``g`` does.
 
     That is the entities of those names or scraper ids; what their alias edges lead to; and the edges among all those."""
     sid = X.truthy(F.col("attributes")["scraper_id"])
-    by_name = _some(g.entities, names, ["kind", "canonical_name"])
-    by_id = _some(g.nodes("company", "company_alias").withColumn("id", sid), ids, ["id"]).drop("id")
-    found = stored(by_name.unionByName(by_id).dropDuplicates(["uid"]), "named")
-    front = found
+    found = _some(g.entities, names, ["kind", "canonical_name"])
+    if ids.limit(1).count():
+        found = found.unionByName(_some(g.nodes("company", "company_alias").withColumn("id", sid), ids, ["id"]).drop("id")).dropDuplicates(["uid"])
+    found = front = stored(found, "named")
     while front.filter("kind = 'company_alias'").limit(1).count():
         there = stored(_some(g.edges("alias_of"), stored(front.select(F.col("uid").alias("source_uid")), "aliases"), ["source_uid"]).select(F.col("target_uid").alias("uid")).distinct().join(found.select("uid"), "uid", "left_anti"), "reached")
         front = stored(_some(g.nodes("company", "company_alias"), there, ["uid"]), "reached")
         found = found.unionByName(front)
-    uids = stored(found.select("uid"), "uids")
-    edges = _some(_some(g.relations, uids.withColumnRenamed("uid", "source_uid"), ["source_uid"]), uids.withColumnRenamed("uid", "target_uid"), ["target_uid"])
-    return Graph(stored(found, "relevant"), stored(edges, "relevant"), g.as_of)
+    ends = lambda end: found.select(F.col("uid").alias(end))
+    edges = _some(_some(g.relations, ends("source_uid"), ["source_uid"]), ends("target_uid"), ["target_uid"])
+    return Graph(found, stored(edges, "relevant"), g.as_of)
 
 
 def company_by_id(g: Graph, company_id: str) -> DataFrame:
