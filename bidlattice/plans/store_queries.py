@@ -264,42 +264,24 @@ def _csv(spark: SparkSession, folder: str) -> DataFrame:
     return store.statistics(Graph(m.entities, m.relations, DAY))
 
 
-#: A small source tree, and what is in it.
-TREE = {
-    "src/app/models.py": "class Base:\n    def save(self):\n        return check(self)\n\n\nclass User(Base):\n    pass\n\n\ndef check(x):\n    return x\n",
-    "web/view.ts": "import { api } from './api';\nexport class Panel extends Widget {}\nrouter.get('/users', show);\n",
-    "db/tables.sql": "create table users (id int, name text);\nselect name from users;\n",
-    "skipped/x.py": "def hidden(): pass\n",
-    ".gitignore": "skipped/\n",
-}
-_CODE = [
-    ("module", "app.models", 1), ("class", "app.models.Base", 1), ("method", "app.models.Base.save", 2), ("class", "app.models.User", 6), ("function", "app.models.check", 10), ("module", "web.view", 1), ("class", "web.view.Panel", 2),
-    ("api_route", "web.view:GET /users", 3), ("module", "db.tables", 1), ("sql_table", "users", 1), ("sql_column", "users.id", 1), ("sql_column", "users.name", 1),
-]
-_EDGES = [
-    ("app.models", "defines", "app.models.Base"), ("app.models.Base", "contains", "app.models.Base.save"), ("app.models.Base.save", "calls", "app.models.check"), ("app.models", "defines", "app.models.User"), ("app.models.User", "inherits", "app.models.Base"),
-    ("app.models", "defines", "app.models.check"), ("web.view", "imports", "?./api"), ("web.view", "defines", "web.view.Panel"), ("web.view.Panel", "inherits", "?Widget"), ("web.view", "defines", "web.view:GET /users"), ("db.tables", "defines", "users"),
-    ("users", "contains", "users.id"), ("users", "contains", "users.name"), ("db.tables", "uses_table", "users"),
-]
-
-
-def _tree(spark: SparkSession) -> str:
-    root = scratch(spark, "tree")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name, text in TREE.items():
-        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        stream = at.getFileSystem(conf).create(at)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-    return root
+@_once
+def _code(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The code graph of source files made from tables: a class for each nation, one that inherits from it for each of its
+    suppliers, and a table definition for each part."""
+    text = lambda template, *columns: F.format_string(template, *[F.col(c).cast("string") for c in columns])
+    supplier = "from app.n%1$s import N%1$s\n\n\nclass S%2$s(N%1$s):\n    def save(self):\n        return check_%2$s(self)\n\n\ndef check_%2$s(x):\n    return x\n"
+    made = _table(spark, folder, "supplier").select(text("src/app/s%s.py", "s_suppkey").alias("path"), text(supplier, "s_nationkey", "s_suppkey").alias("content"))
+    made = made.unionByName(_table(spark, folder, "nation").select(text("src/app/n%s.py", "n_nationkey").alias("path"), text("class N%s:\n    pass\n", "n_nationkey").alias("content")))
+    made = made.unionByName(_table(spark, folder, "part").select(text("db/p%s.sql", "p_partkey").alias("path"), text("create table p%1$s (id int, brand text);\nselect brand from p%1$s;\n", "p_partkey").alias("content")))
+    return code.resolved(stored(code.parsed_files(made.select("path", F.encode("content", "UTF-8").alias("content"), F.md5("content").alias("hash"))), "parsed"))
 
 
 def _code_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return code.index(spark, _tree(spark))[0].select("kind", "qualified_name", F.col("line_start").cast("long").alias("line_start"))
+    return _code(spark, folder)[0].select("kind", "qualified_name", F.col("line_start").cast("long").alias("line_start"))
 
 
 def _code_relations(spark: SparkSession, folder: str) -> DataFrame:
-    e, r = code.index(spark, _tree(spark))
+    e, r = _code(spark, folder)
     names = e.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("source"))
     ends = e.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("name"))
     return r.join(names, "source_id").join(ends, "target_id", "left").select("source", "kind", F.coalesce("name", "target_id").alias("target"))
@@ -346,10 +328,6 @@ _AL = """al as (select printf('ALI-%08d', row_number() over (order by o, s_suppk
 _ID = "(select s_suppkey, row_number() over (order by s_suppkey) as k from supplier where s_suppkey % 2 = 0)"
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
-
-
 ORACLES = {
     "import_edges_twice": f"with {_S}, {_N} select substr(sha256(uid || ':in_city:' || city), 1, 16) as id, uid as source_uid, city as target_uid, 'in_city' as kind, 0.9::double as confidence, '{DAY}' as created_at from s join n using (n_nationkey)",
     "import_versions": f"with {_S} select uid, s_name as name, case when s_suppkey % 10 = 0 then s_acctbal end as balance, '{DAY}' as created_at, case when s_suppkey % 10 = 0 then '{NEXT}' else '{DAY}' end as updated_at from s",
@@ -404,7 +382,11 @@ ORACLES = {
         union all select y.other, 2, ['{START}', x.rel, x.other, y.rel, y.other] from a1 x join a1 y on y.uid = x.other where x.uid = '{START}')) where hops = h group by 1, 2) where goal like 'CMP-%'
         union all select company, null, null from home where company <> '{START}' and company not in (select y.other from a1 x join a1 y on y.uid = x.other where x.uid = '{START}') and company not in (select other from a1 where uid = '{START}')""",
         _R, _ADJ, "a1 as (select uid, other, min(kind) as rel from adj group by 1, 2)"),
-    "code_entities": f"select * from (values {_values(_CODE)}) as t(kind, qualified_name, line_start)",
-    "code_relations": f"select * from (values {_values(_EDGES)}) as t(source, kind, target)",
+    "code_entities": """with x as (select 'app.s' || s_suppkey as m, 'S' || s_suppkey as c, 'check_' || s_suppkey as f from supplier), p as (select 'p' || p_partkey as t from part), n as (select 'app.n' || n_nationkey as m, 'N' || n_nationkey as c from nation)
+        select 'module' as kind, m as qualified_name, 1::bigint as line_start from x union all select 'class', m || '.' || c, 4 from x union all select 'method', m || '.' || c || '.save', 5 from x union all select 'function', m || '.' || f, 9 from x
+        union all select 'module', m, 1 from n union all select 'class', m || '.' || c, 1 from n union all select 'module', 'db.' || t, 1 from p union all select 'sql_table', t, 1 from p union all select 'sql_column', t || unnest(['.id', '.brand']), 1 from p""",
+    "code_relations": """with x as (select 'app.s' || s_suppkey as m, 'app.s' || s_suppkey || '.S' || s_suppkey as c, 'app.s' || s_suppkey || '.check_' || s_suppkey as f, 'app.n' || s_nationkey as n, 'app.n' || s_nationkey || '.N' || s_nationkey as b from supplier), p as (select 'p' || p_partkey as t from part)
+        select m as source, 'imports' as kind, n as target from x union all select m, 'imports_name', b from x union all select m, 'defines', c from x union all select c, 'inherits', b from x union all select c, 'contains', c || '.save' from x
+        union all select c || '.save', 'calls', f from x union all select m, 'defines', f from x union all select 'app.n' || n_nationkey, 'defines', 'app.n' || n_nationkey || '.N' || n_nationkey from nation
+        union all select 'db.' || t, 'defines', t from p union all select t, 'contains', t || unnest(['.id', '.brand']) from p union all select 'db.' || t, 'uses_table', t from p""",
 }
-ORACLES["code_entities"] = ORACLES["code_entities"].replace("select *", "select kind, qualified_name, line_start::bigint as line_start")
