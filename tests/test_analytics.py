@@ -14,7 +14,7 @@ from bidlattice.plans import catalog, schema
 from bidlattice.sources import star
 
 DATA = "/root/testdata/sf0.001"
-SLOW = ("executive_decision", "executive_risk_register", "executive_strategic_priorities", "opportunity_profile", "opportunity_explain", "opportunity_risk", "portfolio_impact", "executive_opportunity_pipeline", "opportunity_executive_summary")
+SLOW = ("executive_decision", "executive_risk_register", "executive_strategic_priorities", "opportunity_profile", "opportunity_explain", "opportunity_risk", "portfolio_impact", "executive_opportunity_pipeline", "opportunity_executive_summary", "relational_pages")
 
 
 def plain(v):
