@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from .pairs import Kind, counted
 from .views import Graph
 
 
@@ -34,14 +35,15 @@ def _meetings(g: Graph, companies: DataFrame | None = None) -> DataFrame:
 
 def direct_competitors(g: Graph, companies: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
     """(uid, rival, shared_tenders, shared_buyers, competition_score, confidence): one point a shared tender, half a shared buyer."""
-    met = _meetings(g, companies).select("company", "rival", "tender").distinct().groupBy("company", "rival").agg(F.count("*").alias("t"))
-    mine = _own(g, companies).join(g.buyer_of, "tender").select("company", "buyer").distinct()
-    theirs = g.participation.join(g.issued, "tender").select(F.col("company").alias("rival"), "buyer").distinct()
-    shared = mine.join(theirs, "buyer").filter("company <> rival").groupBy("company", "rival").agg(F.count("*").alias("b"))
-    out = met.join(shared, ["company", "rival"], "full_outer")
-    t, b = F.coalesce("t", F.lit(0)), F.coalesce("b", F.lit(0))
-    out = out.select(F.col("company").alias("uid"), "rival", t.alias("shared_tenders"), b.alias("shared_buyers"), X.rounded(t * 1.0 + b * 0.5, 2).alias("competition_score"), X.confidence(t + b).alias("confidence"))
-    return _top(out, "uid", [F.desc("competition_score"), "rival"], limit)
+    own, all_ = _own(g, companies), g.participation
+    kinds = {
+        "shared_tenders": Kind(own.select("company", "tender"), None if companies is None else all_.select("company", "tender")),
+        "shared_buyers": Kind(own.join(g.buyer_of, "tender").select("company", "buyer"), all_.join(g.issued, "tender").select("company", "buyer")),
+    }
+    out = counted(kinds)
+    score = X.rounded(F.col("shared_tenders") * 1.0 + F.col("shared_buyers") * 0.5, 2)
+    out = out._replace(pairs=out.pairs.withColumn("competition_score", score)).top([F.desc("competition_score"), "b"], limit)
+    return out.named("uid", "rival").select("uid", "rival", "shared_tenders", "shared_buyers", "competition_score", X.confidence(F.col("shared_tenders") + F.col("shared_buyers")).alias("confidence"))
 
 
 def emerging_competitors(g: Graph, companies: DataFrame | None = None, lookback_years: int = 2, limit: int | None = 30) -> DataFrame:
