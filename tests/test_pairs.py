@@ -7,10 +7,13 @@ from itertools import product
 
 import pytest
 
-from bidlattice.operators import competitive, pairs
+from bidlattice.operators import competitive, pairs, relationship
+from bidlattice.plans import schema
 
 from .test_analytics import graph
 
+X_WEIGHT = schema.WEIGHTS.get("works_with", schema.DEFAULT_WEIGHT)
+
 
 @pytest.fixture(scope="module")
 def edges():
@@ -49,3 +52,32 @@ def test_direct_competitors_in_blocks(spark, edges, monkeypatch):
     some = competitive.direct_competitors(g, spark.createDataFrame([("CMP-03",)], "company string"), 2).collect()
     assert [r.rival for r in sorted(some, key=lambda r: (-r.competition_score, r.rival))] == [b_ for _, b_ in sorted(((-t[k] - b[k] / 2, k[1]) for k in t | b if k[0] == "CMP-03"))[:2]]
     assert not any("rival" in x for x in exchanges(df))  # no pair is shuffled
+
+
+def test_strength_and_shared_in_blocks(spark, edges, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 1)
+    more = [*edges, ("CMP-01", "works_with", "CMP-02"), ("CMP-02", "works_with", "CMP-01"), ("CMP-77", "works_with", "CMP-78"), ("CMP-05", "works_with", "CMP-05"), ("CMP-66", "participated_in", "TEN-98"), ("CMP-67", "participated_in", "TEN-98")]
+    g = graph(spark, more)
+    buyer = {s: t for s, k, t in more if k == "issued_by"}
+    on = part(more)
+    bidders = {(s, t) for s, k, t in more if k in ("awarded_to", "submitted_bid")}
+    tenders, buyers = shared(on), shared((c, buyer[t]) for c, t in bidders if t in buyer)
+    places = shared((s, t) for s, k, t in more if k in ("in_city", "in_province"))
+    thirds = {}
+    for (a, t), (b, u) in product(on, on):
+        if a < b and t == u:
+            thirds.setdefault((a, b), set()).update(c for c, v in bidders if v == t and c not in (a, b))
+    direct = Counter(tuple(sorted((s, t))) for s, k, t in more if k == "works_with")
+    df = relationship.strength(g)
+    got = {(r.uid_a, r.uid_b): r for r in df.collect()}
+    assert set(got) == {p for p in tenders | buyers | places if p[0] < p[1]} | set(direct)
+    assert len(got) == df.count()
+    for p, r in got.items():
+        want = (buyers[p], len(thirds.get(p, ())), 0, places[p], tenders[p], direct[p])
+        assert tuple(r)[2:8] == want
+        pieces = sorted([X_WEIGHT] * direct[p] + [0.3] * sum(want[:5]), reverse=True)
+        assert abs(r.relationship_strength - min(1, sum(w * 0.7**i for i, w in enumerate(pieces)))) < 1e-4
+    assert not any("uid_b" in x for x in exchanges(df))  # no pair is shuffled
+    assert {(r.uid_a, r.uid_b): r.shared_competitor_count for r in relationship.shared_competitors(g).collect()} == {p: len(c) for p, c in thirds.items() if c}
+    inferred = relationship.infer_relationships(g, None).filter("family = 'geographic_cluster_peer'")
+    assert {(r.uid, r.other): r.n for r in inferred.collect()} == dict(places)
