@@ -7,7 +7,7 @@ from itertools import product
 
 import pytest
 
-from bidlattice.operators import competitive, pairs, relationship
+from bidlattice.operators import competitive, opportunity, pairs, relationship
 from bidlattice.plans import schema
 
 from .test_analytics import graph
@@ -81,3 +81,13 @@ def test_strength_and_shared_in_blocks(spark, edges, monkeypatch):
     assert {(r.uid_a, r.uid_b): r.shared_competitor_count for r in relationship.shared_competitors(g).collect()} == {p: len(c) for p, c in thirds.items() if c}
     inferred = relationship.infer_relationships(g, None).filter("family = 'geographic_cluster_peer'")
     assert {(r.uid, r.other): r.n for r in inferred.collect()} == dict(places)
+
+
+def test_best_tenders_equal_those_of_all_pairs(spark, edges):
+    more = [*edges, *[(f"CMP-{c:02}", "in_industry", f"IND-{c % 4}") for c in range(25)]]
+    facts = {f"TEN-{t}": {"value": str(10 ** (t % 8)), "valid_from": f"{2020 + t % 5}-01-01", "closing_date": "2024-07-01" if t % 3 else "2024-01-01"} for t in range(40)}
+    g = graph(spark, more, facts)
+    got = opportunity.best_opportunities(g, limit=3)
+    want = opportunity.best_opportunities(g, opportunity.every_pair(g), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert opportunity._may_lead(g, 3).count() < opportunity.every_pair(g).count()  # not every pair is joined
