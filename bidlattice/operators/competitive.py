@@ -48,14 +48,33 @@ def direct_competitors(g: Graph, companies: DataFrame | None = None, limit: int
 
 def emerging_competitors(g: Graph, companies: DataFrame | None = None, lookback_years: int = 2, limit: int | None = 30) -> DataFrame:
     """(uid, rival, recent_appearances, older_appearances, is_new_entrant, growth_ratio, confidence): rivals met more often since the cutoff year."""
-    cutoff = int(g.as_of[:4]) - lookback_years
-    met = _meetings(g, companies).join(g.facts.select("tender", "issue_year"), "tender")
-    y = F.col("issue_year")
-    out = met.groupBy(F.col("company").alias("uid"), "rival").agg(F.count_if(y >= cutoff).alias("recent_appearances"), F.count_if(y < cutoff).alias("older_appearances"))
+    recent, older, _ = _by_age(g, _own(g, companies), lookback_years)
+    all_ = (None, None) if companies is None else _by_age(g, g.participation, lookback_years)[:2]
+    found = counted({"recent_appearances": Kind(recent, all_[0], edges=True), "older_appearances": Kind(older, all_[1], edges=True)})
     ratio = F.col("recent_appearances") / F.greatest("older_appearances", F.lit(1))
-    out = out.withColumns({"is_new_entrant": F.col("older_appearances") == 0, "growth_ratio": X.rounded(ratio, 2), "confidence": X.confidence("recent_appearances")})
-    out = out.filter((F.col("recent_appearances") > 0) & (F.col("is_new_entrant") | (ratio > 1)))
-    return _top(out, "uid", [F.desc("growth_ratio"), "rival"], limit)
+    pairs = found.pairs.withColumns({"is_new_entrant": F.col("older_appearances") == 0, "growth_ratio": X.rounded(ratio, 2), "confidence": X.confidence("recent_appearances")})
+    pairs = pairs.filter((F.col("recent_appearances") > 0) & (F.col("is_new_entrant") | (ratio > 1)))
+    return found._replace(pairs=pairs).top([F.desc("growth_ratio"), "b"], limit).named("uid", "rival")
+
+
+def _by_age(g: Graph, edges: DataFrame, lookback_years: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(company, tender) of ``edges`` with tenders issued since the cutoff year, before it, and of no known year."""
+    cutoff, e, y = int(g.as_of[:4]) - lookback_years, edges.select("company", "tender"), F.col("issue_year")
+    dated = e.join(g.facts.select("tender", "issue_year").filter("issue_year is not null"), "tender").select("company", "tender", "issue_year")
+    part = lambda c: dated.filter(c).select("company", "tender")
+    return part(y >= cutoff), part(y < cutoff), e.join(g.facts.filter("issue_year is not null").select("tender"), "tender", "left_anti").select("company", "tender")
+
+
+def rival_counts(g: Graph, lookback_years: int = 2) -> DataFrame:
+    """(company, rivals, direct, emerging): how many companies each meets on tenders, how many direct competitors it has (``direct_competitors``)
+    and how many emerging ones (``emerging_competitors``), from one count of pairs, which are added up where they are counted."""
+    names = ("recent", "older", "undated")
+    kinds = {n: Kind(e, edges=True) for n, e in zip(names, _by_age(g, g.participation, lookback_years))}
+    kinds["buyers"] = Kind(g.participation.join(g.buyer_of, "tender").select("company", "buyer"), g.participation.join(g.issued, "tender").select("company", "buyer"))
+    found = counted(kinds)
+    emerging = F.col("recent") > F.col("older")  # also where there are no older ones
+    n = found.pairs.groupBy("a").agg(F.count_if(F.col("recent") + F.col("older") + F.col("undated") > 0).alias("rivals"), F.count("*").alias("direct"), F.count_if(emerging).alias("emerging"))
+    return n.join(found.numbers.select(F.col("n").alias("a"), F.col("uid").alias("company")), "a").drop("a")
 
 
 def co_bidders(g: Graph, companies: DataFrame | None = None, min_count: int = 1, limit: int | None = 50) -> DataFrame:
@@ -207,12 +226,14 @@ def competitor_rankings(g: Graph, by: str = "wins", limit: int | None = 30) -> D
     return _top(n, "scope", [F.desc(by), "company"], limit)
 
 
-def competitive_pressure(g: Graph) -> DataFrame:
+def competitive_pressure(g: Graph, met: DataFrame | None = None) -> DataFrame:
     """(uid, competitive_pressure_score, pressure_level, competitor_density, win_pressure, co_bid_intensity, buyer_hhi,
     unique_competitors, total_tender_events).
 
-    Buyer HHI is the mean over the three buyers of smallest uid that the company meets."""
-    met = _meetings(g).groupBy("company").agg(F.count_distinct("rival").alias("rivals"))
+    Buyer HHI is the mean over the three buyers of smallest uid that the company meets. ``met``: (company, rivals) where known."""
+    if met is None:
+        found = counted({"n": Kind(g.participation.select("company", "tender"))})
+        met = found.pairs.groupBy("a").agg(F.count("*").alias("rivals")).join(found.numbers.select(F.col("n").alias("a"), F.col("uid").alias("company")), "a").select("company", "rivals")
     sizes = g.participation.groupBy("tender").agg(F.count("*").alias("edges"))
     events = g.participation.join(sizes, "tender").groupBy("company").agg(F.count("*").alias("events"), F.avg(F.col("edges") - 1).alias("co"))
     w = Window.partitionBy("company").orderBy("buyer")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import stored
 from . import company, competitive, opportunity, relationship
 from .views import Graph
 
@@ -24,13 +25,14 @@ def company_situation(g: Graph) -> DataFrame:
 
 
 def market_position(g: Graph) -> DataFrame:
-    """(uid, pressure_score, pressure_level, classification, win_rate, direct_competitors, emerging_threats)."""
-    direct = competitive.direct_competitors(g, limit=5).groupBy("uid").agg(F.count("*").alias("direct_competitors"))
-    new = competitive.emerging_competitors(g, limit=3).groupBy("uid").agg(F.count("*").alias("emerging_threats"))
-    p = competitive.competitive_pressure(g).select("uid", F.col("competitive_pressure_score").alias("pressure_score"), "pressure_level", X.rounded(1 - F.col("win_pressure"), 4).alias("win_rate"))
+    """(uid, pressure_score, pressure_level, classification, win_rate, direct_competitors, emerging_threats): at most five
+    direct competitors and three emerging ones, as reports show them."""
+    met = stored(competitive.rival_counts(g), "rivals")
+    p = competitive.competitive_pressure(g, met.select("company", "rivals")).select("uid", F.col("competitive_pressure_score").alias("pressure_score"), "pressure_level", X.rounded(1 - F.col("win_pressure"), 4).alias("win_rate"))
     kind = X.bands("win_rate", (0.5, "incumbent"), (0.2, "challenger"), otherwise="emerging")
-    out = p.join(direct, "uid", "left").join(new, "uid", "left")
-    return out.select("uid", "pressure_score", "pressure_level", kind.alias("classification"), "win_rate", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("direct_competitors", "emerging_threats")])
+    most = lambda c, n: F.least(F.coalesce(c, F.lit(0)), F.lit(n).cast("long"))
+    out = p.join(met.withColumnRenamed("company", "uid"), "uid", "left")
+    return out.select("uid", "pressure_score", "pressure_level", kind.alias("classification"), "win_rate", most("direct", 5).alias("direct_competitors"), most("emerging", 3).alias("emerging_threats"))
 
 
 def relationship_map(g: Graph) -> DataFrame:

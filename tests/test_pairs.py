@@ -7,7 +7,7 @@ from itertools import product
 
 import pytest
 
-from bidlattice.operators import competitive, opportunity, pairs, relationship
+from bidlattice.operators import competitive, executive, opportunity, pairs, relationship
 from bidlattice.plans import schema
 
 from .test_analytics import graph
@@ -91,3 +91,36 @@ def test_best_tenders_equal_those_of_all_pairs(spark, edges):
     want = opportunity.best_opportunities(g, opportunity.every_pair(g), 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert opportunity._may_lead(g, 3).count() < opportunity.every_pair(g).count()  # not every pair is joined
+
+
+def met_by_age(edges, years, cutoff):
+    """Pairs of edges of two companies on a tender, by (company, rival): since the cutoff, before it, and of no known year."""
+    recent, older, undated = Counter(), Counter(), Counter()
+    on = [(s, t) for s, k, t in edges if t.startswith("TEN")]
+    for (a, t), (b, u) in product(on, on):
+        if t == u and a != b:
+            y = years.get(t)
+            (undated if y is None else recent if y >= cutoff else older)[a, b] += 1
+    return recent, older, undated
+
+
+def test_emerging_and_market_position_in_blocks(spark, edges, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 1)
+    years = {f"TEN-{t}": 2018 + t % 7 for t in range(40) if t % 9}
+    g = graph(spark, edges, {t: {"valid_from": f"{y}-02-01"} for t, y in years.items()})
+    recent, older, undated = met_by_age(edges, years, 2022)
+    new = {p for p in recent if recent[p] > older[p]}
+    df = competitive.emerging_competitors(g, limit=None)
+    assert {(r.uid, r.rival): (r.recent_appearances, r.older_appearances) for r in df.collect()} == {p: (recent[p], older[p]) for p in new}
+    some = competitive.emerging_competitors(g, spark.createDataFrame([("CMP-03",)], "company string"), limit=None).collect()
+    assert {r.rival for r in some} == {b for a, b in new if a == "CMP-03"}
+    met = {*recent, *older, *undated}
+    buyer = {s: t for s, k, t in edges if k == "issued_by"}
+    direct = met | set(shared((c, buyer[x]) for c, x in part(edges) if x in buyer))
+    n = lambda ps, uid: sum(a == uid for a, _ in ps)
+    position = executive.market_position(g)
+    got = {r.uid: (r.direct_competitors, r.emerging_threats) for r in position.collect()}
+    assert got == {u: (min(5, n(direct, u)), min(3, n(new, u))) for u in got} and len(got) == 26
+    assert {r.uid: r.unique_competitors for r in competitive.competitive_pressure(g).collect()} == {u: n(met, u) for u in got}
+    for f in (df, position, competitive.competitive_pressure(g), executive.risk_register(g)):
+        assert not any("rival" in x for x in exchanges(f))  # no pair is shuffled
