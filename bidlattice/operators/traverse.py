@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..session import stored
 from .competitive import _top
+from .pairs import Kind, counted
 from .views import Graph
 
 
@@ -78,12 +79,12 @@ def paths(g: Graph, pairs: DataFrame, max_depth: int = 6, kinds: list[str] | Non
 
 def related_companies(g: Graph, seeds: DataFrame | None = None, limit: int | None = 20) -> DataFrame:
     """(uid, other, links): companies one hop away, or two hops through anything but a company."""
-    a = g.adjacency.select("uid", "other").distinct()
-    start = a.filter(X.is_kind("uid", "company"))
-    if seeds is not None:
-        start = start.join(seeds.select("uid").distinct(), "uid", "left_semi")
-    near = start.filter(X.is_kind("other", "company"))
-    mid = start.filter(~X.is_kind("other", "company")).withColumnRenamed("other", "via")
-    far = mid.join(a.withColumnRenamed("uid", "via"), "via").filter(X.is_kind("other", "company") & (F.col("other") != F.col("uid"))).select("uid", "other")
-    out = near.unionByName(far).groupBy("uid", "other").agg(F.count("*").alias("links"))
-    return _top(out, "uid", [F.desc("links"), "other"], limit)
+    e = g.relations.select("source_uid", "target_uid")
+    out = e.select(F.col("source_uid").alias("uid"), F.col("target_uid").alias("other")).unionByName(e.select(F.col("target_uid").alias("uid"), F.col("source_uid").alias("other"))).filter(X.is_kind("uid", "company") & F.col("other").isNotNull())
+    # Companies share a node that is none, and an edge between two of them is a key that only they have.
+    via = F.when(X.is_kind("other", "company"), F.concat_ws(":", F.least("uid", "other"), F.greatest("uid", "other"))).otherwise(F.col("other"))
+    mine = out if seeds is None else out.join(seeds.select("uid").distinct(), "uid", "left_semi")
+    members = lambda df: df.select("uid", via.alias("via"))
+    found = counted({"links": Kind(members(mine), None if seeds is None else members(out))}, most=None if limit is None else ("links", limit)).named("uid", "other")
+    loops = mine.filter("uid = other").select("uid").distinct().select("uid", F.col("uid").alias("other"), F.lit(1).cast("long").alias("links"))
+    return _top(found.unionByName(loops), "uid", [F.desc("links"), "other"], limit)

@@ -7,7 +7,7 @@ from itertools import product
 
 import pytest
 
-from bidlattice.operators import competitive, executive, opportunity, pairs, relationship
+from bidlattice.operators import competitive, executive, opportunity, pairs, relationship, traverse
 from bidlattice.plans import schema
 
 from .test_analytics import graph
@@ -124,3 +124,19 @@ def test_emerging_and_market_position_in_blocks(spark, edges, monkeypatch):
     assert {r.uid: r.unique_competitors for r in competitive.competitive_pressure(g).collect()} == {u: n(met, u) for u in got}
     for f in (df, position, competitive.competitive_pressure(g), executive.risk_register(g)):
         assert not any("rival" in x for x in exchanges(f))  # no pair is shuffled
+
+
+def test_related_companies_in_blocks(spark, edges, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 1)
+    more = [*edges, ("CMP-01", "works_with", "CMP-02"), ("CMP-02", "works_with", "CMP-01"), ("CMP-77", "works_with", "CMP-78"), ("CMP-05", "works_with", "CMP-05")]
+    links = Counter(shared((s, t) for s, k, t in more if s.startswith("CMP") and not t.startswith("CMP")))
+    links.update({p for s, k, t in more if s.startswith("CMP") and t.startswith("CMP") for p in ((s, t), (t, s))})
+    df = traverse.related_companies(graph(spark, more), limit=4)
+    want = {a: sorted((-n, b) for (c, b), n in links.items() if c == a)[:4] for a, _ in links}
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.uid, []).append((-r.links, r.other))
+    assert {a: sorted(x) for a, x in got.items()} == want
+    assert not any("other" in x and "uid" in x for x in exchanges(df))  # pairs stay in their task
+    some = traverse.related_companies(graph(spark, more), spark.createDataFrame([("CMP-02",)], "uid string"), 4)
+    assert sorted((-r.links, r.other) for r in some.collect()) == want["CMP-02"]
