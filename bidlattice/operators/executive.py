@@ -37,8 +37,7 @@ def market_position(g: Graph) -> DataFrame:
 
 def relationship_map(g: Graph) -> DataFrame:
     """(uid, partner_count, inferred_count, chain_count): at most ten partners and ten inferred links, as reports show them."""
-    partners = relationship.recurring_partnerships(g, 1, 10).groupBy("uid").agg(F.count("*").alias("partner_count"))
-    inferred = relationship.infer_relationships(g, 10).groupBy("uid").agg(F.least(F.count("*"), F.lit(10)).alias("inferred_count"))
+    partners, inferred = relationship.partner_count(g, 10), relationship.inferred_count(g, 10)
     chains = relationship.subcontractor_chains(g).groupBy("uid").agg(F.count("*").alias("chain_count"))
     out = g.names("company").select("uid").join(partners, "uid", "left").join(inferred, "uid", "left").join(chains, "uid", "left")
     return out.select("uid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("partner_count", "inferred_count", "chain_count")])

@@ -140,3 +140,19 @@ def test_related_companies_in_blocks(spark, edges, monkeypatch):
     assert not any("other" in x and "uid" in x for x in exchanges(df))  # pairs stay in their task
     some = traverse.related_companies(graph(spark, more), spark.createDataFrame([("CMP-02",)], "uid string"), 4)
     assert sorted((-r.links, r.other) for r in some.collect()) == want["CMP-02"]
+
+
+def test_relationship_map_in_blocks(spark, edges, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 1)
+    g = graph(spark, edges)
+    lonely = graph(spark, [e for e in edges if e[1] not in ("in_city", "in_province")])
+    for at in (g, lonely):
+        links = Counter(r.uid for r in relationship.infer_relationships(at, 10).collect())
+        want = {r.uid: min(10, links[r.uid]) for r in at.names("company").collect()}
+        partners = Counter(r.uid for r in relationship.recurring_partnerships(at, 1, 10).collect())
+        df = executive.relationship_map(at)
+        assert {r.uid: (r.partner_count, r.inferred_count) for r in df.collect()} == {u: (partners[u], n) for u, n in want.items()}
+        for limit in (2, 40):
+            links = Counter(r.uid for r in relationship.infer_relationships(at, limit).collect())
+            assert {r.uid: r.inferred_count for r in relationship.inferred_count(at, limit).collect()} == {u: min(limit, links[u]) for u in want}
+        assert not any("uid" in x and "other" in x for x in exchanges(relationship.partner_count(at, 10)))  # no pair is shuffled
