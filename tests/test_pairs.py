@@ -156,3 +156,19 @@ def test_relationship_map_in_blocks(spark, edges, monkeypatch):
             links = Counter(r.uid for r in relationship.infer_relationships(at, limit).collect())
             assert {r.uid: r.inferred_count for r in relationship.inferred_count(at, limit).collect()} == {u: min(limit, links[u]) for u in want}
         assert not any("uid" in x and "other" in x for x in exchanges(relationship.partner_count(at, 10)))  # no pair is shuffled
+
+
+def test_scores_shuffle_no_sets_and_profiles_score_once(spark, edges):
+    more = [*edges, *[(f"CMP-{c:02}", "in_industry", f"IND-{c % 4}") for c in range(3, 25)]]  # some have no industry
+    g = graph(spark, more, {f"TEN-{t}": {"value": str(10 ** (t % 8)), "valid_from": "2023-01-01", "closing_date": "2024-07-01"} for t in range(40)})
+    own = opportunity.taking_part(g)
+    columns = ["company", "tender", *opportunity.WEIGHTS, "score"]
+    df = opportunity.score(g, own).select(columns)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, opportunity.score(g, own.filter("tender is not null")).select(columns).collect()))
+    lucky = opportunity.score(g, own.join(g.industries.select("company").distinct(), "company", "left_semi")).select(columns)
+    assert {r.industry_history for r in df.filter("company in ('CMP-01', 'CMP-02')").collect()} != {0.3}  # these look their histories up
+    assert set(map(tuple, lucky.collect())) < set(map(tuple, df.collect()))
+    whole = graph(spark, [*edges, *[(f"CMP-{c:02}", "in_industry", f"IND-{c % 4}") for c in (*range(25), 88)]])
+    assert not any("inds" in x for x in exchanges(opportunity.score(whole, opportunity.taking_part(whole))))  # sets of industries are no keys of a shuffle
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(opportunity.profile(g, own)) == joins(opportunity.score(g, own))
