@@ -83,13 +83,31 @@ def yearly_stats(g: Graph) -> DataFrame:
     return _valued(g).groupBy("uid", year.alias("year")).agg(F.count_if("is_contract").alias("contract_count"), v(F.col("is_contract")).alias("contract_value"), F.count_if(~F.col("is_contract")).alias("permit_count"), v(~F.col("is_contract")).alias("permit_value"))
 
 
-def buyers(g: Graph) -> DataFrame:
-    """(uid, buyer, tender_count): organisations that issued tenders the company won or bid on, and those linked to it directly with 0."""
+def _buyers(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """(uid, buyer): of each tender that a company won or bid on, the organisations that issued it; and those linked to it directly."""
     mine = g.participation.filter(F.col("role").isin(*_NEW)).select("company", "tender").distinct()
-    out = mine.join(g.issued.filter(X.is_kind("buyer", "organization")), "tender").groupBy(F.col("company").alias("uid"), "buyer").agg(F.count("*").alias("n"))
+    out = mine.join(g.issued.filter(X.is_kind("buyer", "organization")), "tender").select(F.col("company").alias("uid"), "buyer")
     direct = g.edges("awarded_by", "issues").filter(X.is_kind("source_uid", "organization") & X.is_kind("target_uid", "company"))
-    direct = direct.select(F.col("target_uid").alias("uid"), F.col("source_uid").alias("buyer"), F.lit(0).cast("long").alias("n"))
-    return out.unionByName(direct).groupBy("uid", "buyer").agg(F.max("n").alias("tender_count"))
+    return out, direct.select(F.col("target_uid").alias("uid"), F.col("source_uid").alias("buyer"))
+
+
+def buyers(g: Graph) -> DataFrame:
+    """(uid, buyer, tender_count): organisations that issued tenders the company won or bid on, and those linked to it directly with 0."""
+    out, direct = _buyers(g)
+    out = out.groupBy("uid", "buyer").agg(F.count("*").alias("n")).unionByName(direct.withColumn("n", F.lit(0).cast("long")))
+    return out.groupBy("uid", "buyer").agg(F.max("n").alias("tender_count"))
+
+
+def single_buyer(g: Graph) -> DataFrame:
+    """(uid, single_buyer): whether the company has one buyer alone (``buyers``), told by the least and the greatest of them."""
+    out, direct = _buyers(g)
+    return out.unionByName(direct).groupBy("uid").agg((F.min("buyer") == F.max("buyer")).alias("single_buyer"))
+
+
+def bid_counts(g: Graph) -> DataFrame:
+    """(uid, bid_count): tenders won and submitted as ``summary`` counts them; companies without any have no row."""
+    p = g.participation.filter(F.col("role").isin(*_NEW)).select("company", "tender").join(g.facts.select("tender"), "tender")
+    return p.groupBy(F.col("company").alias("uid")).agg(F.count("*").alias("bid_count"))
 
 
 def competitors(g: Graph, limit: int | None = 20) -> DataFrame:

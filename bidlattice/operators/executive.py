@@ -24,15 +24,21 @@ def company_situation(g: Graph) -> DataFrame:
     return out.select("uid", "win_rate", "bid_count", F.coalesce("trend", F.lit("insufficient_data")).alias("trend"), F.col("b.buyer").alias("top_buyer"), X.rounded(health, 4).alias("health_score"), F.col("confidence_score").alias("confidence"))
 
 
+def _pressed(g: Graph) -> DataFrame:
+    """(uid, pressure_score, pressure_level, win_rate, direct_competitors): pressure grows with up to twenty rivals met, and at most
+    five direct competitors are counted."""
+    met = competitive.rivals_up_to(g, 20)
+    direct = competitive.direct_up_to(g, 5, met).select(F.col("company").alias("uid"), "direct")
+    p = competitive.competitive_pressure(g, met).select("uid", F.col("competitive_pressure_score").alias("pressure_score"), "pressure_level", X.rounded(1 - F.col("win_pressure"), 4).alias("win_rate"))
+    return p.join(direct, "uid", "left").select(*p.columns, F.coalesce("direct", F.lit(0).cast("long")).alias("direct_competitors"))
+
+
 def market_position(g: Graph) -> DataFrame:
     """(uid, pressure_score, pressure_level, classification, win_rate, direct_competitors, emerging_threats): at most five
     direct competitors and three emerging ones, as reports show them."""
-    met = stored(competitive.rival_counts(g), "rivals")
-    p = competitive.competitive_pressure(g, met.select("company", "rivals")).select("uid", F.col("competitive_pressure_score").alias("pressure_score"), "pressure_level", X.rounded(1 - F.col("win_pressure"), 4).alias("win_rate"))
     kind = X.bands("win_rate", (0.5, "incumbent"), (0.2, "challenger"), otherwise="emerging")
-    most = lambda c, n: F.least(F.coalesce(c, F.lit(0)), F.lit(n).cast("long"))
-    out = p.join(met.withColumnRenamed("company", "uid"), "uid", "left")
-    return out.select("uid", "pressure_score", "pressure_level", kind.alias("classification"), "win_rate", most("direct", 5).alias("direct_competitors"), most("emerging", 3).alias("emerging_threats"))
+    out = _pressed(g).join(competitive.emerging_up_to(g, 3).withColumnRenamed("company", "uid"), "uid", "left")
+    return out.select("uid", "pressure_score", "pressure_level", kind.alias("classification"), "win_rate", "direct_competitors", F.coalesce("emerging", F.lit(0).cast("long")).alias("emerging_threats"))
 
 
 def relationship_map(g: Graph) -> DataFrame:
@@ -73,10 +79,10 @@ def strategic_priorities(g: Graph, limit: int = 10) -> DataFrame:
 def risk_register(g: Graph) -> DataFrame:
     """(uid, overall_risk, risk_count, risk_factors): five rules, the worst severity first."""
     n_open = opportunity.open_tenders(g).count()
-    n = company.buyers(g).groupBy("uid").agg(F.count("*").alias("buyer_count"))
-    out = market_position(g).join(company_situation(g).select("uid", "bid_count"), "uid").join(n, "uid", "left")
+    pressed, bids, lone = stored(_pressed(g), "pressed"), stored(company.bid_counts(g), "bids"), stored(company.single_buyer(g), "single")
+    out = pressed.join(bids, "uid", "left").join(lone, "uid", "left").withColumn("bid_count", F.coalesce("bid_count", F.lit(0)))
     rules = [
-        ("single_buyer_dependency", "high", F.col("buyer_count") == 1), ("very_low_win_rate", "high", (F.col("bid_count") >= 5) & (F.col("win_rate") < 0.15)),
+        ("single_buyer_dependency", "high", F.col("single_buyer")), ("very_low_win_rate", "high", (F.col("bid_count") >= 5) & (F.col("win_rate") < 0.15)),
         ("empty_pipeline", "medium", F.lit(n_open == 0)), ("high_competitive_pressure", "medium", F.col("pressure_score") >= 0.7),
         ("competition_detected", "low", (F.col("direct_competitors") > 0) & (F.col("pressure_score") < 0.7)),
     ]

@@ -7,7 +7,7 @@ from itertools import product
 
 import pytest
 
-from bidlattice.operators import competitive, executive, opportunity, pairs, relationship, traverse
+from bidlattice.operators import company, competitive, executive, opportunity, pairs, relationship, traverse
 from bidlattice.plans import schema
 
 from .test_analytics import graph
@@ -126,6 +126,30 @@ def test_emerging_and_market_position_in_blocks(spark, edges, monkeypatch):
         assert not any("rival" in x for x in exchanges(f))  # no pair is shuffled
 
 
+def test_counts_up_to_a_limit_by_parts_of_the_others(spark, edges, monkeypatch):
+    monkeypatch.setattr(competitive, "SPARE", 1)  # 26 companies: parts of an eighth and more come before all
+    years = {f"TEN-{t}": 2018 + t % 7 for t in range(40) if t % 9}
+    g = graph(spark, edges, {t: {"valid_from": f"{y}-02-01"} for t, y in years.items()})
+    recent, older, undated = met_by_age(edges, years, 2022)
+    new, met, buyer = {p for p in recent if recent[p] > older[p]}, {*recent, *older, *undated}, {s: t for s, k, t in edges if k == "issued_by"}
+    direct = met | set(shared((c, buyer[x]) for c, x in part(edges) if x in buyer))
+    looked = []
+    whole = competitive.counted
+    monkeypatch.setattr(competitive, "counted", lambda kinds: looked.append(1) or whole(kinds))
+    companies = [r.uid for r in g.names("company").collect()]
+    for limit in (1, 3, 12):
+        some = competitive.rivals_up_to(g, limit)
+        for df, pairs_ in ((some, met), (competitive.direct_up_to(g, limit, some), direct), (competitive.emerging_up_to(g, limit), new)):
+            got = df.collect()
+            assert len({r[0] for r in got}) == len(got)
+            assert {c: 0 for c in companies} | dict(map(tuple, got)) == {c: min(limit, sum(a == c for a, _ in pairs_)) for c in companies}
+    assert len(looked) > 9  # several parts
+    buyers = {c: {buyer[t] for x, t in part(edges) if x == c and t in buyer} for c in companies}
+    single = {r.uid for r in company.single_buyer(g).filter("single_buyer").collect()}
+    assert single == {c for c, b in buyers.items() if len(b) == 1} == {r.uid for r in company.buyers(g).groupBy("uid").count().filter("count = 1").collect()}
+    assert {r.uid: r.bid_count for r in company.bid_counts(g).collect()} == {r.uid: r.n for r in company.summary(g).selectExpr("uid", "tenders_won + tenders_submitted as n").filter("n > 0").collect()}
+
+
 def test_related_companies_in_blocks(spark, edges, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK_ROWS", 1)
     more = [*edges, ("CMP-01", "works_with", "CMP-02"), ("CMP-02", "works_with", "CMP-01"), ("CMP-77", "works_with", "CMP-78"), ("CMP-05", "works_with", "CMP-05")]
