@@ -477,21 +477,23 @@ def with_set(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())]))
 
 
-def shared(keyed: DataFrame, name: str) -> DataFrame:
-    """The keys of several sets."""
-    return stored(keyed.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), name)
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows (key, set, n) whose key several sets have. They are dealt by the key once, and told where they lie."""
+    key = Window.partitionBy("key")
+    return keyed.withColumns({"a": F.min("set").over(key), "b": F.max("set").over(key)}).filter("a <> b").select("key", "set", "n")
 
 
 def _members(texts: DataFrame, base: DataFrame, shingle: int, like: Likeness) -> DataFrame:
-    """(key, set, n) of keys that several sets have, and sets that share as many keys as linked sets do."""
+    """(key, set, n), stored, of keys that several sets have, and sets that share as many keys as linked sets do; a few keys may be
+    left that one of these sets alone has, which make no group."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(base))
     keyed = stored(texts.mapInArrow(_keyed(shingle, like, frequent), "key long, set long, n int"), "keyed")
-    members = stored(keyed.join(shared(keyed, "keys"), "key").distinct(), "shared")
+    members = stored(shared(keyed).distinct(), "shared")
     dropped(keyed)
     enough = stored(members.groupBy("set", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _lead(like)).select("set"), "enough")
-    fewer = stored(members.join(enough, "set"), "members")
+    fewer = stored(members.join(small(enough), "set").select("key", "set", "n"), "candidates")
     dropped(members)
-    return fewer.join(shared(fewer, "keys"), "key")
+    return fewer
 
 
 def _read(texts: DataFrame, stand: DataFrame, sets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
@@ -508,7 +510,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     both = stored(texts.mapInArrow(_base(shingle), _BASE), "sets")
     base = both.filter("seen is null").select("doc_id", "n_shingles", "set")
-    members = stored(_members(texts, both, shingle, like), "candidates")
+    members = _members(texts, both, shingle, like)
     return joined(texts, base, members, shingle, like, _lead(like))
 
 
@@ -520,7 +522,7 @@ def joined(texts: DataFrame, base: DataFrame, members: DataFrame, shingle: int,
     opened = _open_groups(members, None, lead)
     sets = stored(opened.select("set").distinct(), "sets-in-groups")  # linked sets share a group; all others have no link
     content = _read(texts, stand, sets, shingle, repeats)
-    members = stored(members.join(sets, "set"), "members-in-groups")
+    members = stored(members.join(small(sets), "set"), "members-in-groups")
     known = lambda r: r.select(F.col("set").alias("a"), F.col("root").alias("b"))
     roots = None
     for _ in range(IN_PLACE):

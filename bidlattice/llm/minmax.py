@@ -83,7 +83,7 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] =
     groups = groups_of(similarity[0] / similarity[1])
     base = stored(texts.mapInArrow(_base(shingle, groups), _BASE), "signatures")
     keyed = base.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "set", F.col("n_shingles").cast("int").alias("n"))
-    members = stored(keyed.join(jaccard.shared(keyed, "keys"), "key").distinct(), "candidates")
+    members = stored(jaccard.shared(keyed).distinct(), "candidates")
     out = jaccard.joined(texts, base.select("doc_id", "n_shingles", "set"), members, shingle, like, F.lit(1)).drop("set", "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

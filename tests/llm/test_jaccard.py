@@ -133,3 +133,14 @@ def test_crafted_words_do_not_link(spark):
     many = " ".join(f"w{i}" for i in range(19))
     rows = jaccard.join(documents(spark, [a, b, f"{many} {a}", f"{many} {b}"]), 3, (90, 100)).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_rows_with_shared_keys_are_dealt_once(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(60) - 30, rng.randrange(40), 7) for _ in range(90)] + [(99, 1, 7), (99, 1, 7), (98, 5, 7), (98, -5, 7)]
+    df = jaccard.shared(spark.createDataFrame(rows, "key long, set long, n int").repartition(3)).distinct()
+    sets = {}
+    for k, s, _ in rows:
+        sets.setdefault(k, set()).add(s)
+    assert sorted(map(tuple, df.collect())) == sorted({r for r in rows if len(sets[r[0]]) > 1})
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(") == 1  # a join with the keys would deal them again
