@@ -140,9 +140,11 @@ def _meta_matrix(codes):
 
 def _choose(rows, buckets, y, n) -> np.ndarray:
     """The buckets whose presence differs most between the classes, by chi-square; sorted."""
-    bad = np.bincount(buckets, weights=y[rows].astype(np.float32), minlength=BUCKETS)
-    total = np.bincount(buckets, minlength=BUCKETS)
-    share = y.mean()
+    return _telling(np.bincount(buckets, weights=y[rows].astype(np.float32), minlength=BUCKETS), np.bincount(buckets, minlength=BUCKETS), y.mean(), n)
+
+
+def _telling(bad: np.ndarray, total: np.ndarray, share: float, n: int) -> np.ndarray:
+    """As ``_choose``, from each bucket's rows of class 1 and of both, among ``n`` rows with this share of class 1."""
     expected = total * share
     chi = (bad - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - total / n), 1e-9)
     best = np.argsort(-chi, kind="stable")[:CHOSEN]
@@ -182,11 +184,12 @@ def _split(y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 class _Part:
     """Rows that one fit sees, rows that it scores for calibration, and the fit's features and weights."""
 
-    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray, train: np.ndarray, hold: np.ndarray):
+    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray, train: np.ndarray, hold: np.ndarray, chosen: np.ndarray | None = None):
         own = labelled.take(train)
         mean, spread = own.numbers.mean(0), own.numbers.std(0) + 1e-3
         none = View(np.zeros(1), 0, 0)
-        self.head = Head(_choose(own.rows, own.buckets, y[train], len(train)), mean, spread, none, none, np.zeros(3))
+        chosen = _choose(own.rows, own.buckets, y[train], len(train)) if chosen is None else chosen
+        self.head = Head(chosen, mean, spread, none, none, np.zeros(3))
         self.y, self.weight = y[train], weight[train]
         self.train, self.hold = self.matrices(own), self.matrices(labelled.take(hold))
         self.b: dict[str, np.ndarray] = {}
@@ -212,12 +215,13 @@ def _confident(head: Head, f: Features) -> dict[tuple[str, int], np.ndarray]:
 
 
 class Trainer:
-    """Fits, calibrates and combines the two views of one target on labelled rows of both classes."""
+    """Fits, calibrates and combines the two views of one target on labelled rows of both classes. ``chosen``: the buckets of
+    each part of the split, where ``labelled`` has no others."""
 
-    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray):
+    def __init__(self, labelled: Features, y: np.ndarray, weight: np.ndarray, chosen: list[np.ndarray] | None = None):
         weight = weight / weight.mean()
         split = _split(y)
-        self.parts = [_Part(labelled, y, weight, *p) for p in split]
+        self.parts = [_Part(labelled, y, weight, *p, c) for p, c in zip(split, chosen or [None] * len(split), strict=True)]
         hold = np.concatenate([h for _, h in split])
         self.y, self.weight = y[hold], weight[hold]
         self.nothing = (labelled.take(np.zeros(0, np.int64)), np.zeros(0))
@@ -323,6 +327,50 @@ def _features(batch) -> Features:
     return Features(np.repeat(np.arange(n, dtype=np.int32), sizes), buckets, numbers.reshape(n, -1), meta.reshape(n, -1))
 
 
+def _counted(labelled: DataFrame, place: dict[str, int], splits: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The buckets that ``_choose`` gives for each of ``splits`` (rows, their classes). Buckets are counted where the features lie, so
+    that the driver holds a count for each bucket, of one split at a time, however long the texts are."""
+    marks = np.full((len(splits), len(place)), -1, np.int8)
+    for k, (rows, y) in enumerate(splits):
+        marks[k, rows] = y
+    held = labelled.sparkSession.sparkContext.broadcast((place, marks))
+
+    def run(batches):
+        place, marks = held.value
+        for b in batches:
+            f, own = _features(b), marks[:, [place[i] for i in b.column("doc_id").to_pylist()]]
+            for k, mark in enumerate(own):
+                mark = mark[f.rows]
+                found, at = np.unique(f.buckets[mark >= 0], return_inverse=True)
+                n, bad = (np.bincount(at, w, len(found)).astype(np.int64) for w in (None, mark[mark >= 0] == 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found, pa.int32()), pa.array(n), pa.array(bad)], ["split", "bucket", "n", "bad"])
+
+    counts = stored(labelled.mapInArrow(run, "split int, bucket int, n long, bad long").groupBy("split", "bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "counts")
+    out = []
+    for k, (rows, y) in enumerate(splits):
+        own = counts.filter(F.col("split") == k).select("bucket", "n", "bad").toArrow()
+        total, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+        total[own["bucket"].to_numpy()], bad[own["bucket"].to_numpy()] = own["n"].to_numpy(), own["bad"].to_numpy()
+        out.append(_telling(bad, total, y.mean(), len(rows)))
+    dropped(counts)
+    return out
+
+
+def _only(use: np.ndarray, df: DataFrame) -> DataFrame:
+    """Rows of _FEATURES with the buckets of the mask ``use`` alone."""
+    held = df.sparkSession.sparkContext.broadcast(use)
+
+    def run(batches):
+        for b in batches:
+            f = _features(b)
+            at = held.value[f.buckets]
+            ends = np.append(0, np.cumsum(np.bincount(f.rows[at], minlength=b.num_rows)))
+            buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.buckets[at], pa.int32()))
+            yield b.set_column(b.schema.get_field_index("buckets"), "buckets", buckets)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _refill(unlabelled: DataFrame, trainers: dict[str, Trainer], turn: int) -> None:
     """Gives the views rows that the other view is confident of, out of all ``unlabelled`` rows, POOL at most: the first
     in an order of hashes that is another in each round. The rows are counted first, so few more than needed are sent."""
@@ -382,21 +430,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not wanted:
         return {t: 0.0 for t in TARGETS}
     ids = F.broadcast(spark.createDataFrame([(i,) for i in wanted], "id string"))  # LABELLED at most
-    got = _featured(own.join(ids, F.col("doc_id") == F.col("id"), "left_semi")).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
-    place = {i: k for k, i in enumerate(got["doc_id"].to_pylist())}  # of repeated documents one
-    got = got.take(pa.array([place[i] for i in wanted], pa.int64())).combine_chunks()
-    labelled = _features(got.to_batches()[0])
+    place = {i: k for k, i in enumerate(wanted)}
+    found = stored(_featured(own.join(ids, F.col("doc_id") == F.col("id"), "left_semi")), "labelled")
+    if found.count() > len(wanted):  # of repeated documents one
+        found = stored(found.groupBy("doc_id").agg(F.max_by(F.struct("h", "buckets", "numbers", "meta"), "h").alias("row")).select("doc_id", "row.*"), "labelled")
     marks, weight = [m for m, _ in wanted.values()], np.array([w for _, w in wanted.values()], float)
     out: dict[str, Head | float] = {}
-    trainers: dict[str, Trainer] = {}
+    known_rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for k, t in enumerate(TARGETS):
         y = np.array([-1 if m[k] is None else m[k] for m in marks])
         at = np.flatnonzero(y >= 0)
         if len(np.unique(y[at])) < 2:
             out[t] = float(y[at].mean()) if len(at) else 0.0
         else:
-            trainers[t] = Trainer(labelled.take(at), y[at], weight[at])
+            known_rows[t] = at, y[at]
+    trainers: dict[str, Trainer] = {}
+    if known_rows:
+        splits = [(t, at[train], y[train]) for t, (at, y) in known_rows.items() for train, _ in _split(y)]
+        chosen = _counted(found, place, [(rows, y) for _, rows, y in splits])
+        got = _only(_used(chosen), found).toArrow()
+        got = got.take(pa.array(np.argsort([place[i] for i in got["doc_id"].to_pylist()]))).combine_chunks()
+        labelled = _features(got.to_batches()[0])
+        for t, (at, y) in known_rows.items():
+            trainers[t] = Trainer(labelled.take(at), y, weight[at], [c for (u, _, _), c in zip(splits, chosen, strict=True) if u == t])
             trainers[t].fit()
+    dropped(found)
     if trainers:
         use = _used([p.head.chosen for x in trainers.values() for p in x.parts])
         rest = stored(_featured(own.join(ids, F.col("doc_id") == F.col("id"), "left_anti"), use).drop("doc_id"), "features")

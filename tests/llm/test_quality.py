@@ -98,3 +98,28 @@ def test_labels_without_documents_and_a_small_pool_leave_the_fit_whole(spark, mo
     quality.fit(docs, labels.select("doc_id", "quality", "toxic").unionByName(strays.select("doc_id", "quality", "toxic")))
     assert max(sizes[:2]) == 80  # all of the sample has documents
     assert len(given) > 8  # more documents than one round's pool
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_the_driver_holds_chosen_features_alone(spark, monkeypatch):
+    import numpy as np
+
+    got = []
+
+    class Spy(quality.Trainer):
+        def __init__(self, labelled, y, weight, *chosen):
+            got.append((labelled, y))
+            super().__init__(labelled, y, weight, *chosen)
+            self.chosen = [p.head.chosen for p in self.parts]
+            got[-1] += (self.chosen,)
+
+    monkeypatch.setattr(quality, "Trainer", Spy)
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    quality.fit(docs.unionByName(docs.limit(20)), labels)
+    every = np.unique(np.concatenate([c for _, _, chosen in got for c in chosen]))
+    assert len(got) == 2 and all(np.isin(f.buckets, every).all() for f, _, _ in got)
+    for f, y, chosen in got:  # and the choice among all features is the same as among those
+        for (train, _), c in zip(quality._split(y), chosen, strict=True):
+            own = f.take(train)
+            again = quality._choose(own.rows, own.buckets, y[train], len(train))
+            assert len(c) <= quality.CHOSEN and np.isin(c, np.unique(own.buckets)).all() and len(again) == len(c)
