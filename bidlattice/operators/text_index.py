@@ -13,12 +13,14 @@ import re
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..session import scratch, stored
+from ..session import dropped, prepare, scratch, stored
 from ..streaming import versions
 from . import search
 
@@ -65,35 +67,60 @@ def _write(spark: SparkSession, target: str, segment: str, rows: DataFrame, file
     rows.sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP).parquet(at)
     back = spark.read.parquet(at)
     back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{target}/files/{segment}")  # a row for each file
-    bounds = back.groupBy("segment", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
-    bounds.repartitionByRange(max(1, files // 4), "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{target}/bounds/{segment}")
+    dealt = back.select("segment", "term", "block", "tf", "length").repartitionByRange(files, "term", "block")  # and so by what is counted
+    bounds = dealt.groupBy("segment", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"))
+    bounds.sortWithinPartitions("term", "block").write.parquet(f"{target}/bounds/{segment}")
 
 
 _BOUNDS = "segment string, term string, block long, n long, tf int, length int"
 
 
+def _placed(split: DataFrame, names: dict) -> DataFrame:
+    """(key, length, term, positions) of each distinct term of ``split`` (key, terms), and of each text a row without a term: what
+    is shuffled after is a row for each term of a text and not for each word."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("terms")
+            offsets = lists.offsets.to_numpy()
+            flat, sizes = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode(), np.diff(offsets)
+            position = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            code = np.repeat(np.arange(b.num_rows), sizes) * len(flat.dictionary) + flat.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(code[order]) > 0)) if len(code) else np.zeros(0, np.int64)
+            row, term = np.divmod(code[order[starts]], max(len(flat.dictionary), 1))
+            length, places = pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(position[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), length, pa.nulls(b.num_rows, flat.dictionary.type), pa.nulls(b.num_rows, places.type)], _PLACED)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), length.take(pa.array(row)), flat.dictionary.take(pa.array(term)), places], _PLACED)
+
+    return split.mapInArrow(run, f"key {names['key']}, length int, term string, positions array<int>")
+
+
+_PLACED = ["key", "length", "term", "positions"]
+
+
 def append(spark: SparkSession, target: str, df: DataFrame, key: str, text: str) -> dict:
     """Adds texts as a segment of their own, and returns the manifest. Nothing that is there is written again.
 
     A key that is there already is replaced. Rows without a key are not indexed; of rows that share a key the one with
     the greatest text is. Texts without words count as texts of length 0."""
+    prepare(spark)
     names = versions.read(spark, target) or {"segments": [], "dead": [], "texts": 0, "words": 0, "key": df.schema[key].dataType.simpleString()}
     segment = uuid.uuid4().hex
     texts = df.select(F.col(key).cast(names["key"]).alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null")
     n = texts.agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")).first()
     if n.n > n["keys"]:
         texts = texts.groupBy("key").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    split = texts.select("key", search.terms("text").alias("terms"))
-    split.select(F.lit(segment).alias("segment"), "key", F.size("terms").alias("length")).write.parquet(f"{target}/texts/{segment}")
+    found = stored(_placed(texts.select("key", search.terms("text").alias("terms")), names), "placed")  # texts are split once
+    found.filter("term is null").select(F.lit(segment).alias("segment"), "key", "length").write.parquet(f"{target}/texts/{segment}")
     schema = f"segment string, key {names['key']}, length int"
     own = spark.read.schema(schema).parquet(f"{target}/texts/{segment}")
     words = own.agg(F.sum("length")).first()[0] or 0
     blocks, files = max(1, math.ceil(n["keys"] / BLOCK)), max(1, math.ceil(words / FILE_ROWS))
 
-    each = split.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
-    each = each.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).repartitionByRange(files, "term", "block", "key")
-    rows = each.groupBy("term", "block", "key", "length").agg(F.sort_array(F.collect_list("position")).alias("positions"))  # one text's
-    _write(spark, target, segment, rows.select(F.lit(segment).alias("segment"), "term", "block", "key", "length", F.size("positions").alias("tf"), "positions"), files)
+    rows = found.filter("term is not null").select(F.lit(segment).alias("segment"), "term", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "length", F.size("positions").alias("tf"), "positions")
+    _write(spark, target, segment, rows.repartitionByRange(files, "term", "block", "key"), files)
+    dropped(found)
 
     gone = 0
     if names["segments"]:

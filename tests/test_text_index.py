@@ -136,3 +136,12 @@ def test_only_files_and_blocks_that_may_matter_are_read(spark, monkeypatch):
     best = [r.key for r in text_index.bm25(spark, target, "w499 w498", 4).collect()]
     want = search.bm25(df, "id", "body", "w499 w498").orderBy(F.desc("score"), "key").limit(4)
     assert best == [r.key for r in want.collect()] and read[1] < 125 // 4  # of 125 blocks
+
+
+def test_a_text_is_a_row_for_each_term_before_any_shuffle(spark):
+    found = texts()
+    df = rows(spark, found).select(F.col("id").alias("key"), search.terms("body").alias("terms"))
+    got = text_index._placed(df, {"key": "string"}).collect()
+    assert {(r.key, r.length) for r in got if r.term is None} == {(k, len(tokens(t))) for k, t in found.items()}
+    want = {(k, w): [i for i, x in enumerate(tokens(t)) if x == w] for k, t in found.items() for w in tokens(t)}
+    assert {(r.key, r.term): r.positions for r in got if r.term is not None} == want and len(got) == len(want) + len(found)
