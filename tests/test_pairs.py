@@ -1,16 +1,18 @@
 """Pairs counted in blocks against brute force, with many blocks, and without a shuffle of pairs."""
 
+import os
 import random
 import re
 from collections import Counter
 from itertools import product
 
+import duckdb
 import pytest
 
 from bidlattice.operators import company, competitive, executive, opportunity, pairs, relationship, traverse
-from bidlattice.plans import schema
+from bidlattice.plans import catalog, company_queries, schema
 
-from .test_analytics import graph
+from .test_analytics import DATA, graph
 
 X_WEIGHT = schema.WEIGHTS.get("works_with", schema.DEFAULT_WEIGHT)
 
@@ -196,3 +198,50 @@ def test_scores_shuffle_no_sets_and_profiles_score_once(spark, edges):
     assert not any("inds" in x for x in exchanges(opportunity.score(whole, opportunity.taking_part(whole))))  # sets of industries are no keys of a shuffle
     joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(opportunity.profile(g, own)) == joins(opportunity.score(g, own))
+
+
+@pytest.mark.parametrize("side", [4, 2_048])
+def test_competitors_shared_by_pairs_that_never_met(spark, edges, monkeypatch, side):
+    monkeypatch.setattr(pairs, "SIDE", side)
+    monkeypatch.setattr(pairs, "COLUMNS", 3 if side == 4 else 4_096)
+    more = [*edges, ("CMP-66", "participated_in", "TEN-98"), ("CMP-67", "participated_in", "TEN-98"), ("CMP-88", "submitted_bid", "TEN-1"), ("CMP-90", "participated_in", "TEN-2"), ("CMP-67", "in_province", "PRV-1"), ("CMP-66", "works_with", "CMP-67")]
+    g, on = graph(spark, more), part(more)
+    bidders = {(s, t) for s, k, t in more if k in ("awarded_to", "submitted_bid")}
+    of, third, met = {}, {}, {}
+    for c, t in on:
+        of.setdefault(c, set()).add(t)
+    for c, t in bidders:
+        third.setdefault(t, set()).add(c)
+    met = {c: {x for t in ts for x in third.get(t, ())} - {c} for c, ts in of.items()}
+    want, far = {}, 0
+    for a, b in product(of, of):
+        if a < b:
+            common = of[a] & of[b]
+            n = len({x for t in common for x in third.get(t, ())} - {a, b}) if common else len(met[a] & met[b])
+            far += bool(n and not common)
+            want |= {(a, b): n} if n else {}
+    assert far > 5
+    assert {(r.uid_a, r.uid_b): r.shared_competitor_count for r in relationship.shared_competitors(g, far=True).collect()} == want
+    df = relationship.strength(g, far=True)
+    got = {(r.uid_a, r.uid_b): r for r in df.collect()}
+    plain = {(r.uid_a, r.uid_b): r for r in relationship.strength(g).collect()}
+    assert len(got) == df.count() and set(got) == set(plain) | set(want)
+    assert {p: r.shared_competitor_count for p, r in got.items() if r.shared_competitor_count} == want
+    others = ("shared_buyer_count", "shared_industry_count", "shared_location_count", "co_appearances", "direct_count")
+    assert all(tuple(got[p][c] for c in others) == tuple(r[c] for c in others) for p, r in plain.items())
+    given = spark.createDataFrame(list(want), "uid_a string, uid_b string")
+    assert {(r.uid_a, r.uid_b): r for r in relationship.strength(g, given).collect()} == {p: got[p] for p in want}
+    assert not any("uid_b" in x for x in exchanges(df))  # no pair is shuffled
+
+
+@pytest.mark.parametrize("name", ["shared_competitors"])
+def test_registered_queries_and_sql_have_pairs_that_never_met(spark, name):
+    on = [(0, 0), (0, 2), (1, 1), (1, 2)]  # (order, supplier): suppliers 0 and 1 both meet 2, and never each other
+    g = graph(spark, [(f"CMP-{s + 1:08}", "submitted_bid" if s == 2 else "awarded_to", f"TEN-{o + 1:08}") for o, s in on])
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.sql(f"create table {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'" + (" limit 0" if f.startswith(("supplier", "orders", "part.")) else ""))
+    c.sql(f"create or replace table lineitem as select * exclude (o, s) replace (o as l_orderkey, s as l_suppkey, -s as l_extendedprice) from lineitem cross join (values {', '.join(map(str, on))}) v(o, s) qualify row_number() over (partition by o, s) = 1")
+    rows = company_queries.QUERIES[name](g).collect()
+    want = {(r[0], r[1]) for r in c.sql(catalog.ORACLES[name]).fetchall()}
+    assert {(r.uid_a, r.uid_b) for r in rows} == want and ("CMP-00000001", "CMP-00000002") in want
