@@ -234,7 +234,7 @@ def test_competitors_shared_by_pairs_that_never_met(spark, edges, monkeypatch, s
     assert not any("uid_b" in x for x in exchanges(df))  # no pair is shuffled
 
 
-@pytest.mark.parametrize("name", ["shared_competitors", "relationship_strength"])
+@pytest.mark.parametrize("name", ["shared_competitors", "relationship_strength", "relationship_explain"])
 def test_registered_queries_and_sql_have_pairs_that_never_met(spark, name):
     on = [(0, 0), (0, 2), (1, 1), (1, 2)]  # (order, supplier): suppliers 0 and 1 both meet 2, and never each other
     g = graph(spark, [(f"CMP-{s + 1:08}", "submitted_bid" if s == 2 else "awarded_to", f"TEN-{o + 1:08}") for o, s in on])
