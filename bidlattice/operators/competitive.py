@@ -42,10 +42,9 @@ def direct_competitors(g: Graph, companies: DataFrame | None = None, limit: int
         "shared_tenders": Kind(own.select("company", "tender"), None if companies is None else all_.select("company", "tender")),
         "shared_buyers": Kind(own.join(g.buyer_of, "tender").select("company", "buyer"), all_.join(g.issued, "tender").select("company", "buyer")),
     }
-    out = counted(kinds)
-    score = X.rounded(F.col("shared_tenders") * 1.0 + F.col("shared_buyers") * 0.5, 2)
-    out = out._replace(pairs=out.pairs.withColumn("competition_score", score)).top([F.desc("competition_score"), "b"], limit)
-    return out.named("uid", "rival").select("uid", "rival", "shared_tenders", "shared_buyers", "competition_score", X.confidence(F.col("shared_tenders") + F.col("shared_buyers")).alias("confidence"))
+    out = counted(kinds, most=None if limit is None else ({"shared_tenders": 2, "shared_buyers": 1}, limit)).named("uid", "rival")
+    out = out.withColumn("competition_score", X.rounded(F.col("shared_tenders") * 1.0 + F.col("shared_buyers") * 0.5, 2))
+    return out.select("uid", "rival", "shared_tenders", "shared_buyers", "competition_score", X.confidence(F.col("shared_tenders") + F.col("shared_buyers")).alias("confidence"))
 
 
 def emerging_competitors(g: Graph, companies: DataFrame | None = None, lookback_years: int = 2, limit: int | None = 30) -> DataFrame:

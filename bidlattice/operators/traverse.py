@@ -85,6 +85,6 @@ def related_companies(g: Graph, seeds: DataFrame | None = None, limit: int | Non
     via = F.when(X.is_kind("other", "company"), F.concat_ws(":", F.least("uid", "other"), F.greatest("uid", "other"))).otherwise(F.col("other"))
     mine = out if seeds is None else out.join(seeds.select("uid").distinct(), "uid", "left_semi")
     members = lambda df: df.select("uid", via.alias("via"))
-    found = counted({"links": Kind(members(mine), None if seeds is None else members(out))}, most=None if limit is None else ("links", limit)).named("uid", "other")
+    found = counted({"links": Kind(members(mine), None if seeds is None else members(out))}, most=None if limit is None else ({"links": 1}, limit)).named("uid", "other")
     loops = mine.filter("uid = other").select("uid").distinct().select("uid", F.col("uid").alias("other"), F.lit(1).cast("long").alias("links"))
     return _top(found.unionByName(loops), "uid", [F.desc("links"), "other"], limit)

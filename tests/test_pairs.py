@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import product
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from bidlattice.operators import company, competitive, executive, opportunity, pairs, relationship, traverse
@@ -245,3 +246,22 @@ def test_registered_queries_and_sql_have_pairs_that_never_met(spark, name):
     rows = company_queries.QUERIES[name](g).collect()
     want = {(r[0], r[1]) for r in c.sql(catalog.ORACLES[name]).fetchall()}
     assert {(r.uid_a, r.uid_b) for r in rows} == want and ("CMP-00000001", "CMP-00000002") in want
+
+
+@pytest.mark.parametrize("cells", [0, 50_000_000])
+def test_blocks_of_one_partition_are_counted_one_by_one(monkeypatch, cells):
+    monkeypatch.setattr(pairs, "CELLS", cells)
+    rnd = random.Random(5)
+    n, blocks, limit = 40, 8, 3
+    keys = [(kind, sorted(rnd.sample(range(n), 6))) for kind in (0, 1) for _ in range(60)]
+    rows = sorted(((kind, [c for c in x if c * blocks // n == b], x, [], b) for kind, x in keys for b in range(blocks) if any(c * blocks // n == b for c in x)), key=lambda r: r[4])
+    types = [pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int32()]
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7]), types)], list("kfstb")) for i in range(0, len(rows), 7)]
+    held = []
+    for kept in (pairs._Sorted, pairs._Dense):
+        monkeypatch.setattr(kept, "result", lambda self, whole=kept.result: held.append(1) or whole(self))
+    got = [r for b in pairs._counter(["tenders", "buyers"], None, False, ({"tenders": 2, "buyers": 1}, limit), n, blocks)(batches) for r in b.to_pylist()]
+    t, b = (shared((c, i) for i, (k, x) in enumerate(keys) if k == kind for c in x) for kind in (0, 1))
+    want = {p for a in range(n) for p in sorted((p for p in t | b if p[0] == a), key=lambda p: (-2 * t[p] - b[p], p))[:limit]}
+    assert {(r["a"], r["b"]): (r["tenders"], r["buyers"]) for r in got} == {p: (t[p], b[p]) for p in want} and len(got) == len(want)
+    assert len(held) == blocks  # each block's counts go before the next one's come
